@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from customsloom.llm import kneser_ney
+import corpus_pipeline
+from customsloom.llm import kneser_ney, mixing, order_minhash, ppm_language, string_tiling
 from customsloom.llm.common import table
 
 
@@ -14,8 +15,31 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_language.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_tiling.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
+    "op2_ppm_language": op2_ppm_language,
+    "op6_string_tiling": op6_string_tiling,
+    "op9_order_minhash": op9_order_minhash,
+    "op10_mixing": op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
