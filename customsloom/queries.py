@@ -1,10 +1,8 @@
-"""Registry of the queries over the supplied tables and of their SQL."""
+"""All queries over the supplied tables, with their SQL: importing the plans registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from customsloom.plans import activity, invoices, knowledge, pricing, quality, rollups  # noqa: F401
+from customsloom.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
