@@ -45,7 +45,12 @@ def keywords(text: Column, stopwords: list[str], least: int = 3) -> Column:
 
 def ngrams(tokens: Column, least: int = 2, most: int = 4, chars: int = 6) -> Column:
     """Distinct phrases of ``least`` to ``most`` neighbouring tokens with at least ``chars`` characters."""
-    parts = [F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)]
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))
+        return F.when(F.size(tokens) >= n, F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    parts = [runs(n) for n in range(least, most + 1)]
     return F.array_distinct(F.filter(F.concat(*parts), lambda p: F.length(p) >= chars))
 
 
