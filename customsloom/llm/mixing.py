@@ -6,8 +6,10 @@ domain, sum of r * n * p over documents, come near target weight times all token
 gradient.  A step needs the domains' current totals alone, a handful of numbers that Spark sums over all documents; each
 document's rate follows from the steps so far, which tasks replay from those numbers.  So no rate is collected or shuffled.
 
-The gradient is taken per token (preconditioned by n), which bounds its Lipschitz constant by 1 and makes a rate a function of
-the posteriors; ``ridge`` pulls rates towards 1 and makes them unique.
+Errors are relative: each domain's is over its share at rates 1.  The gradient is taken per token (preconditioned by n), which
+makes a rate a function of the posteriors; the matrix of the steps is then nonnegative with the positive eigenvector
+sqrt(share) of eigenvalue 1, so its Lipschitz constant is 1, and where posteriors are sure it is near the identity, so that a
+few steps suffice.  ``ridge`` pulls rates towards 1 and makes them unique.
 
 Defined cases.  A null or empty text has no tokens, the posteriors of an empty text and the rate that goes with them.  Labels
 that are null, or whose document isn't there, teach nothing; repeated ones count each time.  Target weights of domains without
@@ -210,7 +212,7 @@ def _posteriors(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def solve(members: DataFrame, weights: np.ndarray, steps: int = STEPS, ridge: float = RIDGE, tolerance: float = 1e-5) -> list[np.ndarray]:
+def solve(members: DataFrame, weights: np.ndarray, steps: int = STEPS, ridge: float = RIDGE, tolerance: float = 1e-4) -> list[np.ndarray]:
     """The gradients of the steps; ``members`` has n_tokens and p.  Ends early when every domain's share is within tolerance of its last."""
     k = len(weights)
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
@@ -227,9 +229,11 @@ def solve(members: DataFrame, weights: np.ndarray, steps: int = STEPS, ridge: fl
         got = members.select("n_tokens", "p").mapInArrow(sums, "d int, s double").groupBy("d").agg(F.sum("s").alias("s")).collect()
         now = np.zeros(k)
         for r in got:
-            now[r["d"]] = r["s"]
-        gradients.append(now / total - weights)
-        if len(gradients) > 5 and np.abs(gradients[-1] - gradients[-2]).max() < tolerance and np.abs(gradients[-2] - gradients[-3]).max() < tolerance:
+            now[r["d"]] = r["s"] / total
+        if not gradients:
+            share = np.maximum(now, 1e-9)  # at rates 1
+        gradients.append((now - weights) / share)
+        if len(gradients) > 3 and all(np.abs((gradients[-i] - gradients[-i - 1]) * share).max() < tolerance for i in (1, 2)):
             break
     return gradients
 
