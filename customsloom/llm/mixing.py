@@ -32,7 +32,7 @@ from customsloom.llm.common import mix as mix_hash
 #: Bits of a feature's hash, and the ratios of a text beside the hashed features.
 BITS, DENSE = 18, 9
 #: Labelled documents of a domain that the classifier is fitted on, about.
-SAMPLE_DOCS = 1_500
+SAMPLE_DOCS = 1_000
 #: Standard errors by which a feature's document share must differ between a domain and the rest to count.
 TELLING = 5.0
 RIDGE = 1e-3
@@ -111,9 +111,7 @@ class Classifier:
 
 
 def _telling(label: np.ndarray, row: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
-    """Features whose share of documents differs clearly between some domain and the rest."""
-    pair = np.unique(row * (1 << BITS) + word)
-    row, word = pair >> BITS, pair & ((1 << BITS) - 1)
+    """Features whose share of documents differs clearly between some domain and the rest; of distinct (row, word)."""
     n, keep = len(label), np.zeros(1 << BITS, bool)
     seen = np.bincount(word, minlength=1 << BITS)
     for d in range(k):
@@ -124,24 +122,24 @@ def _telling(label: np.ndarray, row: np.ndarray, word: np.ndarray, k: int) -> np
     return keep & (seen >= 5)
 
 
-def _fitted(domains: list[str], label: np.ndarray, f: Features, rounds: int = 300, decay: float = 1e-4) -> Classifier:
+def _fitted(domains: list[str], label: np.ndarray, f: Features, rounds: int = 150, decay: float = 1e-4) -> Classifier:
     """Full-batch Adam with a fixed number of rounds over the telling features; domains weigh alike."""
     k, n = len(domains), len(label)
-    row = np.repeat(np.arange(n), np.diff(f.start))
-    keep = _telling(label, row, f.word, k)
-    rank = np.cumsum(keep) - 1
-    used = keep[f.word]
-    row, word = row[used], rank[f.word[used]]
+    pair, count = np.unique((np.repeat(np.arange(n), np.diff(f.start)) << BITS) + f.word, return_counts=True)
+    row, word = pair >> BITS, pair & ((1 << BITS) - 1)
+    keep = _telling(label, row, word, k)
+    used = keep[word]
+    row, word, count = row[used], (np.cumsum(keep) - 1)[word[used]], count[used].astype(float)
     m = int(keep.sum())
     weight = (n / k / np.bincount(label, minlength=k))[label][:, None] / n
     truth = np.eye(k)[label]
     p = [np.zeros((m, k)), np.zeros((DENSE, k))]
     mean, var = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     for step in range(1, rounds + 1):
-        z = f.dense @ p[1] + np.stack([np.bincount(row, p[0][word, d], n) for d in range(k)], 1)
+        z = f.dense @ p[1] + np.stack([np.bincount(row, count * p[0][word, d], n) for d in range(k)], 1)
         z = np.exp(z - z.max(1, keepdims=True))
         error = (z / z.sum(1, keepdims=True) - truth) * weight
-        grad = [np.stack([np.bincount(word, error[row, d], m) for d in range(k)], 1) + decay * p[0], f.dense.T @ error + decay * p[1]]
+        grad = [np.stack([np.bincount(word, count * error[row, d], m) for d in range(k)], 1) + decay * p[0], f.dense.T @ error + decay * p[1]]
         for i, g in enumerate(grad):
             mean[i] = 0.9 * mean[i] + 0.1 * g
             var[i] = 0.99 * var[i] + 0.01 * g * g
