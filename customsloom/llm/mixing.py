@@ -35,7 +35,8 @@ BITS, DENSE = 18, 9
 SAMPLE_DOCS = 1_000
 #: Standard errors by which a feature's document share must differ between a domain and the rest to count.
 TELLING = 5.0
-RIDGE = 1e-3
+#: Pull of rates towards 1: large enough that a small chance of an unwanted domain lowers a rate and does not end it.
+RIDGE = 0.05
 STEPS = 60
 
 
