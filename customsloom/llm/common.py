@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 #: Bytes of text that are worked on at once; bounds the temporary arrays of a task to some tens of MB.
 BLOCK_BYTES = 1 << 20
+#: Most bytes and rows of an Arrow batch that goes to a worker where texts are long (``bounded_batches``).
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 _MULT, _MULT_INV = 0x9E3779B97F4A7C15 | 5, pow(0x9E3779B97F4A7C15 | 5, -1, 1 << 64)
 
 
@@ -56,6 +58,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold at most BATCH_BYTES and BATCH_ROWS, for rows with one or two whole texts: the session's limits go down, not up."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).removesuffix("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # one with a unit is the user's own
+            spark.conf.set(name, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
