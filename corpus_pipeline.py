@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from customsloom.llm import mixing, order_minhash, ppm_language, string_tiling
-from customsloom.llm.common import table, written
+from customsloom.llm.common import bounded_batches, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found: those without letters and those that fit no language better than the rest go."""
+    bounded_batches(spark)
     return ppm_language.keep_identified(docs, ppm_language.fit(docs))
 
 
@@ -24,11 +25,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no item of ``benchmark``."""
+    bounded_batches(spark)
     return string_tiling.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the rates at which the domains of ``labels`` meet their target weights; rate 0 goes."""
+    bounded_batches(spark)
     out = mixing.mix(docs, table(spark, sf_dir, "labels"), mixing.label_domain(), mixing.TARGETS)
     posteriors = {f"p_{d}": F.coalesce(F.col("posteriors")[d], F.lit(0.0)) for d in sorted(mixing.TARGETS)}
     return out.where("rate > 0").withColumns(posteriors).drop("posteriors")
