@@ -5,9 +5,10 @@ that repeats count.  A sketch takes the ``per_sketch`` k-mers of least hash and
 share it with a chance that falls with their edit similarity.  Of equal texts one stands for all.  Texts with a sketch in
 common are a bucket; in each, every text is aligned with the bucket's leader (chosen by a hash of its own for each sketch).
 Then two components of linked texts in each bucket that holds several lead and are aligned with the others there: the one with
-the text of most links, and one by another hash.  So a text meets many members of a large group, its hubs among them, the work
-grows with the rows in buckets alone, and no group is expanded into all its pairs (README: how often that misses a link that
-all pairs of all texts would find).
+the text of most links, and one by another hash.  These rounds find most links at little cost.  At last every pair of texts in
+a bucket that are still in different components is taken: those whose lengths or counts of k-mers by cells of their hash (an
+upper bound of the k-mers in common) exclude a similarity of 0.8 fall, all others are aligned.  So the links are those of all
+pairs that share a sketch.  Large buckets are dealt in blocks of two chunks.
 
 Similarity of two texts: k-mers matched in order (longest common subsequence) over all k-mers, m / (n1 + n2 - m); at least 0.8.
 It equals the multiset Jaccard similarity of the k-mers wherever these keep their order, and is below it elsewhere.
@@ -39,6 +40,9 @@ PER_SKETCH = 6
 SHORT, SHORT_SKETCHES = 30, 8
 _SEEDS = mix(np.arange(1, SKETCHES + SHORT_SKETCHES + 1, dtype=U64) * U64(0xA24BAED4963EE407))
 _CELLS = 1 << 18
+#: Least and most cells of a text's counts of k-mers; most bytes and texts of a chunk of a bucket, about.
+COUNT_CELLS = (64, 4096)
+CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 2_048
 
 
 def labelled(h: np.ndarray) -> np.ndarray:
@@ -78,6 +82,46 @@ def sketches(h: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def cell_counts(h: np.ndarray) -> bytes:
+    """Counts of a text's labelled k-mers by the low bits of their hash, a byte a cell; empty where a count doesn't fit."""
+    size = min(COUNT_CELLS[1], max(COUNT_CELLS[0], 1 << (len(h) - 1).bit_length()))
+    counts = np.bincount((labelled(h) & U64(size - 1)).astype(np.int64), minlength=size)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def possible(kmers: np.ndarray, component: np.ndarray, side: np.ndarray | None, counts: list[bytes], least: float = LEAST) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, later texts) of different components (and sides, where given) whose similarity may reach ``least``.
+
+    Two texts have at most as many k-mers in common as the sum of the lesser counts of each cell; the larger of two unequal
+    numbers of cells is folded, which keeps that true.
+    """
+    size = np.array([len(c) for c in counts])
+    tables = {k: np.frombuffer(b"".join(c for c in counts if len(c) == k), np.uint8).reshape(-1, k) for k in set(size.tolist()) - {0}}
+    place = np.zeros(len(size), np.int64)
+    for k in tables:
+        place[size == k] = np.arange((size == k).sum())
+    folds: dict[tuple[int, int], np.ndarray] = {}
+
+    def folded(k: int, to: int) -> np.ndarray:
+        if (k, to) not in folds:
+            folds[k, to] = tables[k] if k == to else tables[k].reshape(-1, k // to, to).sum(1, dtype=np.uint16)
+        return folds[k, to]
+
+    for i in range(len(size) - 1):
+        apart = component[i + 1 :] != component[i]
+        if side is not None:
+            apart &= side[i + 1 :] != side[i]
+        at = i + 1 + np.flatnonzero(apart)
+        at = at[np.minimum(kmers[at], kmers[i]) >= least * np.maximum(kmers[at], kmers[i])]
+        most = np.minimum(kmers[at], kmers[i]).astype(np.int64)
+        for k in set(size[at].tolist()) - {0} if size[i] else ():
+            own, to = size[at] == k, min(k, int(size[i]))
+            most[own] = np.minimum(folded(k, to)[place[at[own]]], folded(int(size[i]), to)[place[i]]).sum(1, dtype=np.int64)
+        at = at[most / (kmers[at] + kmers[i] - most) >= least]
+        if len(at):
+            yield i, at
+
+
 def fingerprints(hashes: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each text's words in order; 0 for none."""
     out = np.zeros(len(doc_start) - 1, U64)
@@ -133,9 +177,9 @@ def _aligned(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, common:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns id, text to id, text's fingerprint (null without words), number of k-mers, signatures."""
+    """Columns id, text to id, text's fingerprint (null without words), number of k-mers, signatures, counts by cells."""
     for b in batches:
-        prints, sizes, signatures = [], [], []
+        prints, sizes, signatures, counts = [], [], [], []
         for _, data, offsets in blocks(lowered(b.column(1).cast(pa.large_string()))):
             t = tokenise(data, offsets, words_only=True)
             prints.append(fingerprints(t.hashes, t.doc_start))
@@ -143,12 +187,13 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lo, hi in zip(t.doc_start[:-1], t.doc_start[1:] - WORDS + 1, strict=True):
                 sizes.append(max(0, hi - lo))
                 signatures.append(sketches(h[lo:hi]).view(np.int64) if hi > lo else np.zeros(0, np.int64))
+                counts.append(cell_counts(h[lo:hi]) if hi > lo else b"")
         if prints:
             p = np.concatenate(prints)
             ends = np.cumsum([0, *map(len, signatures)])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(p.view(np.int64), mask=p == 0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(signatures)))],
-                ["id", "print", "kmers", "signatures"],
+                [b.column(0), pa.array(p.view(np.int64), mask=p == 0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(signatures))), pa.array(counts, pa.binary())],
+                ["id", "print", "kmers", "signatures", "counts"],
             )
 
 
@@ -185,14 +230,59 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_verified, "a bigint, b bigint, distance double, similar boolean")
 
 
+def _unexcluded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Column texts (of a block: print, kmers, component, side, counts) to a, b: pairs that no bound excludes."""
+    for b in batches:
+        for k in range(b.num_rows):
+            t = b.column(0).slice(k, 1).flatten()
+            name, kmers, component, side = (t.field(c).to_numpy(zero_copy_only=False) for c in ("print", "kmers", "component", "side"))
+            left, right, held = [], [], 0
+            for i, at in possible(kmers, component, side if side.any() else None, t.field("counts").to_pylist()):
+                left.append(np.minimum(name[at], name[i]))
+                right.append(np.maximum(name[at], name[i]))
+                held += len(at)
+                if held > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                    left, right, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+
+def _rest(members: DataFrame, distinct: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b): all pairs of texts of different components with a bucket in common that no bound excludes."""
+    known = members.select("sig", "print", "kmers").join(parts.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
+    room = F.sum(F.least(F.greatest(F.col("kmers") * 2, F.lit(COUNT_CELLS[0])), F.lit(COUNT_CELLS[1])))
+    mixed = known.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), room.alias("room"))
+    # a pair alone in its bucket is tested: one of the two leads
+    mixed = mixed.where("lo != hi AND n > 2").select("sig", F.ceil(F.greatest(F.col("n") / CHUNK_TEXTS, F.col("room") / CHUNK_BYTES)).alias("chunks"))
+    rows = known.join(mixed, "sig").withColumn("chunk", F.pmod(F.xxhash64("print", F.lit(3)), F.col("chunks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    rows = rows.join(distinct.select("print", "counts"), "print")
+    text = F.struct("print", "kmers", "component", (F.col("chunk") > F.col("other")).cast("int").alias("side"), "counts")
+    block = rows.groupBy("sig", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).agg(F.collect_list(text).alias("texts"))  # two chunks
+    return block.select("texts").mapInArrow(_unexcluded, "a bigint, b bigint").distinct()
+
+
+def _joined(parts: DataFrame, new: DataFrame) -> DataFrame:
+    """Components after the links a, b of ``new`` between components of before, which they join."""
+    if not new.limit(1).count():
+        return parts
+    name = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    new = new.select("a", "b").join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    joined = written(connected_components(new).select(F.col("node").alias("component"), F.col("component").alias("whole")), "joined")
+    old = parts.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    alone = joined.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(parts.select("node"), "node", "left_anti")
+    return written(old.unionAll(alone), "parts")
+
+
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, print) of every row, and (print, component) of the prints that are linked to another."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("id", "text")
     kind = dict(docs.dtypes)["id"]
-    sketched = rows.mapInArrow(_sketched, f"id {kind}, print bigint, kmers int, signatures array<bigint>")
+    sketched = rows.mapInArrow(_sketched, f"id {kind}, print bigint, kmers int, signatures array<bigint>, counts binary")
     sketched = written(sketched, "sketches")
-    distinct = sketched.where("kmers > 0").groupBy("print").agg(F.min("id").alias("id"), F.first("kmers").alias("kmers"), F.first("signatures").alias("signatures"))
+    distinct = sketched.where("kmers > 0").groupBy("print").agg(F.min("id").alias("id"), F.first("kmers").alias("kmers"), F.first("signatures").alias("signatures"), F.first("counts").alias("counts"))
     distinct = written(distinct, "distinct")
     each = distinct.select("print", "id", "kmers", F.explode("signatures").alias("sig"))
     order = F.struct(F.xxhash64("sig", "print"), F.col("print"))
@@ -218,14 +308,11 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.where(f"least(m.x.kmers, m.y.kmers) >= {LEAST} * greatest(m.x.kmers, m.y.kmers)").select(F.least("m.x.print", "m.y.print").alias("a"), F.greatest("m.x.print", "m.y.print").alias("b")).distinct()
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(_verify(pairs.join(done, ["a", "b"], "left_anti"), texts), "tested")
-    new = more.where("similar")
-    if new.limit(1).count():  # between components of before, which they join
-        name = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-        new = new.select("a", "b").join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
-        joined = written(connected_components(new).select(F.col("node").alias("component"), F.col("component").alias("whole")), "joined")
-        old = parts.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
-        alone = joined.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(parts.select("node"), "node", "left_anti")
-        parts = written(old.unionAll(alone), "parts")
+    parts = _joined(parts, more.where("similar"))
+    done = done.unionAll(more.select("a", "b"))
+    rest = written(_rest(members, distinct, parts).join(done, ["a", "b"], "left_anti"), "rest")
+    if rest.limit(1).count():
+        parts = _joined(parts, _verify(rest, texts).where("similar"))
     return sketched.select("id", "print"), parts
 
 

@@ -80,6 +80,42 @@ def test_a_large_group_keeps_together(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(100))
 
 
+def test_texts_of_one_template_find_their_own_copies(spark):
+    """Texts of a common template are 0.79 similar; the pairs among them, 0.82, share hardly a sketch of their own."""
+    template, rows = text(42, 92), []
+    for i in range(80):
+        rows.append((i, " ".join([template, *(f"p{i // 2}w{j}" for j in range(2)), *(f"t{i}w{j}" for j in range(10))])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["class_id"] for r in omh.classes(docs).collect()} == {i: i // 2 * 2 for i in range(80)}
+
+
+def test_bounds_exclude_no_similar_pair():
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in (5, 60, 70, 125, 130, 300, 5000):
+        base = rng.integers(1, 2**63, n).astype(np.uint64)
+        base[: n // 5] = base[0]
+        for share in (0, 0.05, 0.1, 0.2, 0.5):
+            other = np.where(rng.random(n) < share, rng.integers(1, 2**63, n).astype(np.uint64), base)
+            texts += [other, other[: n - n // 10]]
+    sizes, parts = np.array([len(t) for t in texts]), np.arange(len(texts))
+    got = {(i, j) for i, at in omh.possible(sizes, parts, None, [omh.cell_counts(t) for t in texts]) for j in at.tolist()}
+    similar = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if omh.similarity(texts[i], texts[j])[0] >= omh.LEAST}
+    assert similar and similar <= got and len(got) < len(similar) * 2
+    assert not {(i, j) for i, at in omh.possible(sizes, parts * 0, None, [omh.cell_counts(t) for t in texts]) for j in at}
+
+
+def test_buckets_in_blocks_give_the_same_pairs(spark, monkeypatch):
+    rows = [(1, p, 100, p % 7) for p in range(50)] + [(2, p, 100, p % 7) for p in range(40, 60)] + [(3, 1, 100, 1), (3, 8, 100, 1)]
+    members = spark.createDataFrame([r[:3] for r in rows], "sig bigint, print bigint, kmers int")
+    parts = spark.createDataFrame(sorted({(r[1], r[3]) for r in rows}), "node bigint, component bigint")
+    distinct = spark.createDataFrame([(p, bytearray()) for p in range(60)], "print bigint, counts binary")
+    want = {(a, b) for s in (range(50), range(40, 60)) for a in s for b in s if a < b and a % 7 != b % 7}
+    for most in (2_048, 8):
+        monkeypatch.setattr(omh, "CHUNK_TEXTS", most)
+        assert {(r["a"], r["b"]) for r in omh._rest(members, distinct, parts).collect()} == want
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert omh.classes(docs).count() == 0 and omh.deduplicate(docs).count() == 0
