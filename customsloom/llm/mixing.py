@@ -9,7 +9,10 @@ document's rate follows from the steps so far, which tasks replay from those num
 Errors are relative: each domain's is over its share at rates 1.  The gradient is taken per token (preconditioned by n), which
 makes a rate a function of the posteriors; the matrix of the steps is then nonnegative with the positive eigenvector
 sqrt(share) of eigenvalue 1, so its Lipschitz constant is 1, and where posteriors are sure it is near the identity, so that a
-few steps suffice.  ``ridge`` pulls rates towards 1 and makes them unique.
+few steps suffice.  ``ridge`` pulls rates towards 1 and makes them unique; ``reached`` tells how near the totals come.
+
+A document goes (rate 0) exactly where a domain of target 0 is likelier than every other one; the rest keep a rate of at least
+``LEAST_RATE``, whatever the fit.  Documents that go count for nothing in the totals, but for the domains' shares at rates 1.
 
 Defined cases.  A null or empty text has no tokens, the posteriors of an empty text and the rate that goes with them.  Labels
 that are null, or whose document isn't there, teach nothing; repeated ones count each time.  Target weights of domains without
@@ -38,6 +41,8 @@ TELLING = 5.0
 #: Pull of rates towards 1: large enough that a small chance of an unwanted domain lowers a rate and does not end it.
 RIDGE = 0.05
 STEPS = 60
+#: Rate of a document that the fit would end though its likeliest domain is wanted.
+LEAST_RATE = 1e-3
 
 
 def _table(*spans: tuple[int, int]) -> np.ndarray:
@@ -195,23 +200,29 @@ def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text
     return docs.mapInArrow(scored, f"{schema}, n_tokens bigint, p array<double>")
 
 
-def replay(p: np.ndarray, gradients: list[np.ndarray], ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, point to take the next gradient at) of documents with posteriors p after the steps of ``gradients``."""
+def unwanted(p: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Whether a domain of weight 0 is likelier than all others, by document."""
+    no = weights <= 0
+    return p[:, no].max(1) > p[:, ~no].max(1) if no.any() and not no.all() else np.zeros(len(p), bool)
+
+
+def replay(p: np.ndarray, gradients: list[np.ndarray], ridge: float, gone: np.ndarray | None = None, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, point to take the next gradient at) of documents with posteriors p after the steps of ``gradients``; 0 where ``gone``."""
     x = y = np.ones(len(p))
     t = 1.0
     for g in gradients:
-        new = np.maximum(0.0, y - (p @ g + ridge * (y - 1)) / (1 + ridge))
+        new = np.maximum(floor, y - (p @ g + ridge * (y - 1)) / (1 + ridge))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t_new * (new - x)
         x, t = new, t_new
-    return x, y
+    return (x, y) if gone is None else (np.where(gone, 0.0, x), np.where(gone, 0.0, y))
 
 
 def _posteriors(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def solve(members: DataFrame, weights: np.ndarray, steps: int = STEPS, ridge: float = RIDGE, tolerance: float = 1e-4) -> list[np.ndarray]:
+def solve(members: DataFrame, weights: np.ndarray, steps: int = STEPS, ridge: float = RIDGE, tolerance: float = 1e-4, floor: float = 0.0) -> list[np.ndarray]:
     """The gradients of the steps; ``members`` has n_tokens and p.  Ends early when every domain's share is within tolerance of its last."""
     k = len(weights)
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
@@ -219,18 +230,18 @@ def solve(members: DataFrame, weights: np.ndarray, steps: int = STEPS, ridge: fl
     while total and len(gradients) < steps:
 
         def sums(batches: Iterator[pa.RecordBatch], gradients=tuple(gradients)) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k)
+            out = np.zeros(2 * k)  # at the point of the next gradient, and at rates 1
             for b in batches:
-                p = _posteriors(b.column(1), k)
-                out += (replay(p, list(gradients), ridge)[1] * b.column(0).to_numpy()) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(out)], ["d", "s"])
+                p, n = _posteriors(b.column(1), k), b.column(0).to_numpy()
+                out[:k] += (replay(p, list(gradients), ridge, unwanted(p, weights), floor)[1] * n) @ p
+                out[k:] += n @ p
+            yield pa.RecordBatch.from_arrays([pa.array(range(2 * k), pa.int32()), pa.array(out)], ["d", "s"])
 
         got = members.select("n_tokens", "p").mapInArrow(sums, "d int, s double").groupBy("d").agg(F.sum("s").alias("s")).collect()
-        now = np.zeros(k)
+        sums_of = np.zeros(2 * k)
         for r in got:
-            now[r["d"]] = r["s"] / total
-        if not gradients:
-            share = np.maximum(now, 1e-9)  # at rates 1
+            sums_of[r["d"]] = r["s"] / total
+        now, share = sums_of[:k], np.maximum(sums_of[k:], 1e-9)
         gradients.append((now - weights) / share)
         if len(gradients) > 3 and all(np.abs((gradients[-i] - gradients[-i - 1]) * share).max() < tolerance for i in (1, 2)):
             break
@@ -246,12 +257,13 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: Mapping[str
     members = written(memberships(docs, model, id_col, text_col), "members")
     wanted = np.array([max(0.0, float(targets.get(d, 0))) for d in model.domains])
     wanted = wanted / wanted.sum() if wanted.sum() else np.full(len(wanted), 1 / len(wanted))
-    gradients, k = solve(members, wanted, steps, ridge), len(wanted)
+    gradients, k = solve(members, wanted, steps, ridge, floor=LEAST_RATE), len(wanted)
     names = members.columns
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replay(_posteriors(b.column(len(names) - 1), k), gradients, ridge)[0])], [*names, "rate"])
+            p = _posteriors(b.column(len(names) - 1), k)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replay(p, gradients, ridge, unwanted(p, wanted), LEAST_RATE)[0])], [*names, "rate"])
 
     schema = ", ".join(f"{n} {t}" for n, t in members.dtypes)
     out = members.mapInArrow(rated, f"{schema}, rate double")
@@ -259,6 +271,14 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: Mapping[str
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=False)), "n_tokens", posteriors.alias("posteriors"), "rate")
 
 
+def reached(mixed: DataFrame) -> DataFrame:
+    """Per domain of what ``mix`` gives: its tokens at the rates over all tokens (to hold against the targets)."""
+    tokens = F.col("n_tokens").cast("double")
+    each = mixed.select((F.col("rate") * tokens).alias("kept"), F.explode("posteriors").alias("domain", "p"))
+    sums = each.groupBy("domain").agg(F.sum(F.col("kept") * F.col("p")).alias("s"))
+    return sums.crossJoin(mixed.agg(F.sum(tokens).alias("total"))).select("domain", F.try_divide("s", "total").alias("weight"))
+
+
 #: The weights that the corpus is mixed to, by the domains of label_domain().
 TARGETS = {"high": 0.9, "low": 0.1, "toxic": 0.0}
 

@@ -47,6 +47,28 @@ def test_steps_reach_the_least_squares(spark):
     assert np.abs(((rates - r) * n) @ p / n.sum()).max() < 1e-3
 
 
+def test_unwanted_documents_go_and_no_others(spark):
+    docs, kinds = table(spark)
+    got = mixing.mix(docs, labelled(spark, kinds), mixing.label_domain(), mixing.TARGETS)
+    rows = got.collect()
+    assert {r["doc_id"] for r in rows if r["rate"] == 0} == {i for i, k in kinds.items() if k == "toxic"}
+    weight = {r["domain"]: r["weight"] for r in mixing.reached(got).collect()}
+    total = sum(r["n_tokens"] for r in rows)
+    assert all(abs(w - sum(r["n_tokens"] * r["rate"] * r["posteriors"][d] for r in rows) / total) < 1e-9 for d, w in weight.items())
+    assert weight["toxic"] < 0.005
+
+
+def test_removal_depends_on_a_documents_own_posteriors(spark):
+    """Whatever toxic chance clean documents have, sure toxic ones go, and a clean one of toxic chance 0.3 stays."""
+    w = np.array([0.9, 0.1, 0.0])
+    for leak in (0.0, 0.001, 0.02):
+        p = np.array([[0.99 - leak, 0.01, leak]] * 55 + [[0.01, 0.99 - leak, leak]] * 40 + [[0.005, 0.005, 0.99]] * 5 + [[0.0, 0.7, 0.3]])
+        members = spark.createDataFrame([(100, x.tolist()) for x in p], "n_tokens bigint, p array<double>")
+        gradients = mixing.solve(members, w, floor=mixing.LEAST_RATE)
+        rate = mixing.replay(p, gradients, mixing.RIDGE, mixing.unwanted(p, w), mixing.LEAST_RATE)[0]
+        assert (rate[95:100] == 0).all() and (rate[:95] > 0).all() and rate[100] > 0
+
+
 def test_odd_rows(spark):
     docs, kinds = table(spark, 60)
     odd = spark.createDataFrame([(1000, None), (1001, ""), (None, "vile nasty rotten"), (3, text(3, 60)), (1002, text(9, 20_000))], "doc_id bigint, text string")
