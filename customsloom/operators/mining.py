@@ -37,10 +37,10 @@ def heading_profiles(rows: DataFrame, text_col: str = "description", codes: int
     return weight.join(best, "heading", "left").join(common, "heading", "left")
 
 
-def phrase_stats(rows: DataFrame, text_col: str = "description") -> DataFrame:
+def phrase_stats(rows: DataFrame, text_col: str = "description", sizes: tuple[int, int] = (2, 3)) -> DataFrame:
     """Per (phrase, cn8): texts that hold it, distinct ones, and those of the seed beside the others."""
     words = rows.select("cn8", "source", F.xxhash64(text_col).alias("text"), search_tokens(fold(F.col(text_col)), 2).alias("words"))
-    each = words.select("cn8", "source", "text", F.explode(ngrams(F.col("words"), 2, 3)).alias("phrase"))
+    each = words.select("cn8", "source", "text", F.explode(ngrams(F.col("words"), *sizes)).alias("phrase"))
     return each.groupBy("phrase", "cn8").agg(F.count("*").alias("frequency"), F.count_distinct("text").alias("unique_descriptions"), F.count_if(F.col("source") == "seed").alias("seed_hits"), F.count_if(F.col("source") != "seed").alias("other_hits"))
 
 

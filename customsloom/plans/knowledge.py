@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from customsloom.operators import mining, ranking, search
 from customsloom.plans.bindings import DECLARATIONS, code_of, declarations, table
-from customsloom.plans.registry import query
+from customsloom.plans.registry import ORACLES, query
 
 
 def _r(x: str, n: int) -> str:
@@ -151,6 +151,25 @@ def phrase_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.phrase_stats(declarations(spark, sf_dir).where("country = 'EN'")).where("frequency >= 3")
 
 
+_FOLDED_ALL = _FOLDED.replace(" WHERE country = 'EN'", "")
+
+
+def _all_sizes(name: str) -> str:
+    """The SQL of a query over declarations of every language and phrases of two to four words."""
+    return f"WITH {_FOLDED_ALL}" + ORACLES[name].removeprefix(f"WITH {_FOLDED}").replace("[2, 3]", "[2, 3, 4]")
+
+
+@query(_all_sizes("ngram_lexicon").removesuffix(">= 2") + ">= 5")
+def ngram_lexicon_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every declaration, with the operator's own sizes and least weight."""
+    return mining.phrase_lexicon(declarations(spark, sf_dir))
+
+
+@query(_all_sizes("phrase_stats"))
+def phrase_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.phrase_stats(declarations(spark, sf_dir), sizes=(2, 4)).where("frequency >= 3")
+
+
 @query(f"""WITH {DECLARATIONS}, br AS (SELECT unnest(['that', 'para', 'elle', 'nicht']) AS brand), w AS (SELECT DISTINCT id, cn8, weight, unnest(regexp_extract_all(lower(description), '[a-z0-9]+')) AS brand FROM declarations)
   SELECT brand, cn8, {_r('sum(weight)', 2)} AS frequency FROM w JOIN br USING (brand) GROUP BY 1, 2""")
 def brand_map(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,3 +20,11 @@ def test_every_request_near_a_past_trip_gets_a_price(spark):
     assert len(want) > 0.9 * len(asked) and got == want
     assert {r["request_id"] for r in QUERIES["freight_price_tiers_all"](spark, SF).collect()} == set(want)
     assert all("% 10 = 0" not in ORACLES[q] for q in ("freight_nearest_all", "freight_price_tiers_all"))
+
+
+def test_phrases_of_every_language_and_up_to_four_words(spark, tmp_path):
+    rows = [(2 + 1455 * i, "mejor precio del mercado", lang) for i, lang in enumerate(["es", None, "es", "fr", None, "de"])]  # all of one code
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    phrases = {"mejor precio", "precio del", "del mercado", "mejor precio del", "precio del mercado", "mejor precio del mercado"}
+    assert {r["phrase"]: r["weight"] for r in QUERIES["ngram_lexicon_all"](spark, str(tmp_path)).collect()} == dict.fromkeys(phrases, 6.0)
+    assert {r["phrase"]: r["frequency"] for r in QUERIES["phrase_stats_all"](spark, str(tmp_path)).collect()} == dict.fromkeys(phrases, 6)
