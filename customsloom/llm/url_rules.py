@@ -1,11 +1,13 @@
 """URL filter: given rules first, then association rules mined by Spark's FP-growth from the urls that the given rules label.
 
-A url becomes a set of at most 14 tokens: scheme, host labels from the right, the registered part of the host, path segments
-from the left, the file ending and query keys.  FP-growth over the labelled urls, each with its verdict as one more token,
+A url becomes a set of tokens: scheme, host labels, the registered part of the host, path segments, the file ending and query
+keys, all of them.  FP-growth over the labelled urls, each with its verdict as one more token,
 gives the frequent token sets; those that hold a verdict make rules, kept if support and confidence suffice and no rule with
 one token less is as confident.  A rule is indexed under its rarest token; a url meets only the rules of its own tokens, and
 the most confident of those that it holds entirely decides (then larger support, fewer tokens, block before allow).  Urls of
-equal tokens are judged once.  The number of tokens of a url bounds the sets that FP-growth can find in a crowd of equal urls.
+equal tokens are judged once.  Before mining, tokens below the least support go, as no rule can hold them, and tokens that the
+labelled urls hold together or not at all become one item, which a url holds if it has any of them: a rule with two of them is
+no more confident than one with either.  So a crowd of equal urls is one item, however many tokens they have.
 
 Defined cases.  A null url, or one without ``://``, has empty host, path and tokens; it fits no given rule.  A url that no rule
 decides gets the labelled urls' most frequent verdict (allow, if there are none).  Repeated rows count each time in mining and
@@ -14,6 +16,8 @@ are judged one by one; a null id is carried through; other columns are kept, but
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -51,14 +55,30 @@ def tokens(url: Column, host: Column, path: Column, rest: Column) -> Column:
     keys = F.transform(F.filter(F.split(F.regexp_extract(rest, r"^\?([^#]*)", 1), "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key:"), F.regexp_extract(x, "^[^=]*", 0)))
     found = F.concat(
         F.array(F.concat(F.lit("scheme:"), F.lower(F.regexp_extract(url, r"^([^:/?#]*)://", 1))), F.concat(F.lit("site:"), F.array_join(F.reverse(F.slice(labels, 1, 3)), "."))),
-        F.transform(F.slice(labels, 1, 4), lambda x: F.concat(F.lit("host:"), x)),
-        F.transform(F.slice(segments, 1, 4), lambda x: F.concat(F.lit("path:"), x)),
+        F.transform(labels, lambda x: F.concat(F.lit("host:"), x)),
+        F.transform(segments, lambda x: F.concat(F.lit("path:"), x)),
         F.array(F.concat(F.lit("end:"), F.regexp_extract(path, r"(\.[A-Za-z0-9]{1,8}|/)$", 1))),
-        F.slice(keys, 1, 3),
+        keys,
     )
     return F.when(host != "", F.array_sort(F.array_distinct(found))).otherwise(F.array().cast("array<string>"))
 
 
+def alike(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """(token, item) of the frequent tokens of column tokens: item is the least of the tokens that the same rows hold."""
+    least = math.ceil(min_support * labelled.count())
+    sets = labelled.groupBy("tokens").agg(F.count("*").alias("n"))
+    total = lambda salt: F.sum(F.xxhash64("tokens", F.lit(salt)).cast("decimal(38,0)")).alias(f"h{salt}")
+    each = sets.select("tokens", "n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n"), total(1), total(2)).where(F.col("n") >= least)
+    groups = each.groupBy("n", "h1", "h2").agg(F.min("token").alias("item"), F.collect_list("token").alias("all"))
+    return groups.select(F.explode("all").alias("token"), "item")
+
+
+def itemised(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """Distinct rows of column tokens that hold an item, with held: item to the last of its tokens that the row has."""
+    each = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(items, "token")
+    return each.groupBy("tokens", "item").agg(F.max("token").alias("token")).groupBy("tokens").agg(F.map_from_entries(F.collect_list(F.struct("item", "token"))).alias("held"))
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (items, verdict, support, confidence, rarest) from columns tokens and verdict."""
     total = labelled.count()
@@ -85,12 +105,15 @@ def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str]] =
     rows = rows.select("*", rule.alias("rule"), verdict.alias("_given"), tokens(F.col(url_col), F.col("host"), F.col("path"), F.col("_rest")).alias("_tokens")).drop("_rest")
     labelled = written(rows.where("_given IS NOT NULL AND size(_tokens) > 0").select(F.col("_tokens").alias("tokens"), F.col("_given").alias("verdict")), "labelled")
     usual = labelled.groupBy("verdict").count().orderBy(F.desc("count"), "verdict").first()
-    mined = mine(labelled, min_support, min_confidence) if usual else None
-    if mined is None:
+    if usual is None:
         out = rows.withColumns({"mined": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "_found": F.lit(None).cast("string")})
     else:
-        sets = rows.where("_given IS NULL").select("_tokens").distinct()
-        met = sets.select("_tokens", F.explode("_tokens").alias("rarest")).join(mined, "rarest").where(F.size(F.array_except("items", "_tokens")) == 0)
+        items = written(alike(labelled, min_support), "items")
+        held = F.coalesce(F.array_sort(F.map_keys("held")), F.array().cast("array<string>"))
+        mined = mine(labelled.join(itemised(labelled, items), "tokens", "left").select(held.alias("tokens"), "verdict"), min_support, min_confidence)
+        sets = itemised(rows.where("_given IS NULL").select(F.col("_tokens").alias("tokens")), items)
+        met = sets.select(F.col("tokens").alias("_tokens"), "held", F.explode(F.map_keys("held")).alias("rarest")).join(mined, "rarest").where(F.size(F.array_except("items", F.map_keys("held"))) == 0)
+        met = met.withColumn("items", F.array_sort(F.transform("items", lambda x: F.col("held")[x])))
         best = met.groupBy("_tokens").agg(F.max(F.struct("confidence", "support", (-F.size("items")).alias("few"), "verdict", F.array_join("items", " ").alias("mined"))).alias("b"))
         best = best.select(F.col("_tokens").alias("_key"), F.col("b.verdict").alias("_found"), "b.mined", "b.confidence")
         out = rows.join(best, (F.col("_tokens") == F.col("_key")) & F.col("_given").isNull(), "left").drop("_key")

@@ -46,6 +46,17 @@ def test_rules_hold_in_brute_force(spark):
         assert r["support"] == sum(v == r["verdict"] for v in held) / len(rows) and r["confidence"] == sum(v == r["verdict"] for v in held) / len(held)
 
 
+def test_every_part_of_a_url_counts(spark):
+    """The fifth segment alone tells the verdict; a crowd of equal urls with many parts is one item."""
+    rules = [("block", "bad.com/"), ("allow", "good.com/")]
+    rows = [(i, f"http://bad.com/2024/05/12/news/casino/{i}") for i in range(40)] + [(100 + i, f"http://good.com/2024/05/12/news/sport/{i}") for i in range(60)]
+    rows += [(200 + i, "http://a.b.c.d.e.f.good.com/" + "/".join(f"s{j}" for j in range(40)) + "?" + "&".join(f"k{j}=1" for j in range(10))) for i in range(30)]
+    rows += [(900, "http://other.net/2024/05/12/news/casino/x"), (901, "http://other.net/2024/05/12/news/sport/x"), (902, "http://other.net/q?k9=1")]
+    got = {r["page_id"]: r for r in ur.judge(spark.createDataFrame(rows, "page_id bigint, url string"), rules=rules, min_support=0.05).collect()}
+    assert got[900]["verdict"] == "block" and "path:casino" in got[900]["mined"]
+    assert got[901]["verdict"] == "allow" and got[902]["verdict"] == "allow" and "key:k9" in got[902]["mined"]
+
+
 def test_no_labels_and_empty_table(spark):
     pages = spark.createDataFrame([(1, "http://x.net/a"), (2, None)], "page_id bigint, url string")
     assert [r["verdict"] for r in ur.judge_pages(pages).collect()] == ["allow", "allow"]
