@@ -8,12 +8,14 @@ is scored, so a byte's cost depends on it and the ``order`` bytes before it alon
 bytes seen in training are worked out once, per language, into one hash table.  Runs that aren't in it are worked out where
 they turn up.  The language of the shortest code wins; the score is its posterior under equal priors.
 
-Learning takes at most about ``sample_docs`` labelled texts a language (those with the smallest hash of their id), a bounded
-sample, so that the table that workers get stays bounded; whole texts are used.  Counts are made and summed in Spark.
+Learning takes at most about ``sample_docs`` labelled texts or ``sample_bytes`` bytes a language (those with the smallest hash of
+their id), a bounded sample, so that the table that workers get stays bounded; whole texts are used.  Counts are made and summed
+in Spark.
 
 Defined cases.  A null text, one without any letter, and any text when nothing could be learned: ``und``, score 0.  Ties go to
 the language that sorts first.  Rows with null or empty text or null language teach nothing.  Repeated rows count each time.
-A null id is never held out.  Other columns of the input are ignored.
+A null id is never held out.  Other columns of the input are ignored.  ``keep_identified`` keeps every text with a letter where
+nothing could be learned: there is nothing to reject by.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from customsloom.llm.kneser_ney import fold
 
 ORDER = 3
 SAMPLE_DOCS = 1_500
+#: Bytes of text of a language that are learned from, about.
+SAMPLE_BYTES = 32 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _PAD = 0x20
@@ -130,7 +134,7 @@ class Model:
         """Bits of each text of a block under each language."""
         out = np.zeros((len(offsets) - 1, len(self.langs)))
         full = np.flatnonzero(np.diff(offsets))
-        if not len(full):
+        if not len(full) or not self.langs:
             return out
         keys = contexts(data, offsets, self.order)
         at = self.index.find(keys)
@@ -143,15 +147,15 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Learns from about ``sample_docs`` rows of each language, or all if there are fewer."""
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learns from about ``sample_docs`` rows and ``sample_bytes`` bytes of each language, or all if there are fewer."""
     if not 1 <= order <= 7:
         raise ValueError("order must be 1 to 7")
     rows = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(F.col(text_col)) > 0)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    have = {r["lang"]: max(r["n"] / sample_docs, r["size"] / sample_bytes) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
     if not have:
         return Model.of({}, order)
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(have.items()) for x in (lang, min(1.0, sample_docs / n))])
+    share = F.create_map(*[F.lit(x) for lang, over in sorted(have.items()) for x in (lang, min(1.0, 1 / over))])
     picked = rows.where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)) < share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +224,8 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
             keep = [np.zeros(0, bool)]
             for _, data, offsets in blocks(b.column(at)):
                 bits = shared.value.code_lengths(data, offsets)
-                sure = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1) if bits.shape[1] else np.zeros(len(bits))
-                keep.append(_lettered(data, offsets) & (sure >= least_score))
+                sure = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True, initial=np.inf) - bits, -1000)).sum(1) if bits.shape[1] else None
+                keep.append(_lettered(data, offsets) & ((sure >= least_score) if bits.shape[1] else True))
             yield b.filter(pa.array(np.concatenate(keep)))
 
     return docs.mapInArrow(kept, docs.schema)

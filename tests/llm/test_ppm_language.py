@@ -66,3 +66,53 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "words", None)], "doc_id bigint, text string, lang string")
     assert ppm.identify(docs).first()["lang_pred"] == "und"
     assert ppm.identify(docs.where("false")).count() == 0
+    several = spark.createDataFrame([(1, "words", None), (2, "12 !", None), (3, None, None)], "doc_id bigint, text string, lang string")
+    assert [r["doc_id"] for r in ppm.keep_identified(several, ppm.fit(several)).collect()] == [1]
+
+
+def test_query_equals_brute_force(spark):
+    """Language, score and fold of every row, with code lengths worked out byte by byte from the training texts."""
+    import zlib
+
+    texts = {"en": ["the cat sat", "a dog and the hat", "on the mat"], "de": ["der hund und", "die katze sass", "auf der matte"], "fr": ["le chat et", "la table du", "les chiens"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
+    rows += [(20 + i, t, lang) for i, (t, lang) in enumerate([("the dog sat on", None), ("und die matte", "de"), ("la", "fr"), ("zq x", "en"), ("!?", "en"), (None, "de")])]
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    train = {lang: [t for i, t, x in rows if x == lang and i not in held and t] for lang in texts}
+
+    def bits(t: bytes, lang: str) -> float:
+        whole = b"".join(b"   " + x.encode() for x in train[lang])
+        total = 0.0
+        for i in range(len(t)):
+            seen, out, cost, done = (b"   " + t)[: i + 3], set(), 0.0, False
+            for j in range(3, -1, -1):
+                c, found = seen[len(seen) - j :] if j else b"", {}
+                at = 0
+                for x in train[lang]:
+                    at += 3
+                    for k in range(at, at + len(x.encode())):
+                        if whole[k - j : k] == c:
+                            found[whole[k]] = found.get(whole[k], 0) + 1
+                    at += len(x.encode())
+                left = {b: n for b, n in found.items() if b not in out}
+                if left:
+                    room = sum(left.values()) + len(left)
+                    if t[i] in left:
+                        cost, done = cost - math.log2(left[t[i]] / room), True
+                        break
+                    cost -= math.log2(len(left) / room)
+                    out |= set(left)
+            total += cost if done else cost + math.log2(256 - len(out))
+        return total
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for r in ppm.identify(docs).collect():
+        t = next(t for i, t, _ in rows if i == r["doc_id"])
+        assert r["held_out"] == (r["doc_id"] in held)
+        if not t or not any(c.isalpha() for c in t):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        length = {lang: bits(t.encode(), lang) for lang in sorted(texts)}
+        best = min(length, key=length.get)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 / sum(2 ** (length[best] - x) for x in length.values()), rel=1e-4)
+        assert r["bits_per_byte"] == pytest.approx(length[best] / len(t.encode()), rel=1e-5)
