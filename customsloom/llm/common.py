@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Bytes of text that are worked on at once; bounds the temporary arrays of a task to some tens of MB.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Most bytes and rows of an Arrow batch that goes to a worker where texts are long (``bounded_batches``).
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 _MULT, _MULT_INV = 0x9E3779B97F4A7C15 | 5, pow(0x9E3779B97F4A7C15 | 5, -1, 1 << 64)
