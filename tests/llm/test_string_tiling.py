@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 
@@ -70,6 +71,31 @@ def test_reordered_passages_and_odd_rows(spark):
     assert sorted(((r["doc_id"], r["item_id"]) for r in small.collect()), key=str) == got
 
 
+def test_tiles_of_repeated_words_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = [[rng.choice("xyz"[: rng.randint(1, 3)]) for _ in range(rng.randint(3, 40))] for _ in range(2)]
+        code = lambda w: np.array([ord(x) * 0x9E3779B97F4A7C15 % 2**64 for x in w], np.uint64)
+        tiles = gst.tile(code(a), code(b), 3)
+        assert (sum(n for *_, n in tiles), len(tiles)) == brute(" ".join(a), " ".join(b), 3)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in tiles)
+
+
+def test_long_texts_of_one_word_take_seconds(spark):
+    docs = spark.createDataFrame([(1, "spam " * 1_000_000), (2, "spam eggs " * 300_000)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "spam " * 2_000), (2, "eggs " * 10 + "spam " * 10)], "item_id bigint, text string")
+    began = time.monotonic()
+    assert sorted((r["doc_id"], r["item_id"], r["covered_words"], r["tiles"]) for r in gst.matches(docs, bench).collect()) == [(1, 1, 2_000, 1), (1, 2, 10, 1)]
+    assert time.monotonic() - began < 30
+
+
+def test_short_items_are_found_as_whole_lines(spark):
+    docs = spark.createDataFrame([(1, "Two words."), (2, "First line here\n two WORDS \nlast line here"), (3, "these two words stand within"), (4, "two\nwords"), (5, "yes"), (6, None)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "two words"), (2, "Yes!"), (3, "..."), (4, "two words")], "item_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in gst.matches(docs, bench).collect()) == [(1, 1), (1, 4), (2, 1), (2, 4), (5, 2)]
+    assert sorted(r["doc_id"] for r in gst.decontaminate(docs, bench).collect()) == [3, 4, 6]
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert gst.matches(docs, bench).count() == 0 and gst.decontaminate(docs, bench).count() == 1
