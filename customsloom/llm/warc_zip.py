@@ -5,8 +5,8 @@ own, and ``indexes/index.cdxj``, which has the place of each record.  The reader
 its ZIP64 form), walks the directory, works out where the stored members' bytes begin, reads the index by its range, and then
 deals single records out over tasks, each of which seeks and reads that record's bytes only.
 
-Packages lie in the shared folder, one or more a task; a file appears under its name when it is whole, so a repeated task
-leaves the same files.  Payload digests decide which records are revisits: a join on the digest with the groups that have
+Packages lie in the shared folder, one or more a task, under a name of the task's attempt; the table of packages has those of the
+attempts that were committed, so what a lost or surplus attempt wrote isn't read.  Payload digests decide which records are revisits: a join on the digest with the groups that have
 more than one record, which Spark can split where one payload has a great part of the rows.
 
 Defined cases.  A null html is an empty payload, null urls have no target.  Of records with equal payloads of at least
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import os
 import re
 import struct
@@ -38,6 +39,8 @@ from customsloom.llm.common import mounted, new_folder, written
 PACKAGE_BYTES = 256 << 20
 #: Records of about so many bytes go to one reading task.
 READ_BYTES = 8 << 20
+#: Reading tasks at most; beyond, each reads more.
+MOST_TASKS = 50_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
@@ -177,10 +180,13 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
                 for page, url, payload, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     yield str(page), record(page, url, payload, digest(payload), refers_to, refers_to is not None)
 
-        stream, part, k = records(), TaskContext.get().partitionId(), 0
+        # the attempt is in the name: a repeated task may get its rows in another order and cut packages elsewhere, and its files
+        # must not replace some of those of the attempt that counts
+        task, stream, k = TaskContext.get(), records(), 0
+        name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         waiting = next(stream, None)
         while waiting is not None:
-            path = f"{folder}/{part:06d}-{k:04d}.wacz"
+            path = f"{folder}/{name}-{k:04d}.wacz"
 
             def rest(first=waiting):
                 yield first
@@ -194,7 +200,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
 
 def read(packages: DataFrame) -> DataFrame:
-    """Range-reads all records: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits)."""
+    """Range-reads all records of ``packages`` (package, bytes): page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits)."""
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,7 +242,8 @@ def read(packages: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
     ranges = packages.select("package").mapInArrow(located, "package string, offsets array<bigint>, lengths array<bigint>")
-    ranges = ranges.repartition("package", F.get("offsets", F.lit(0)))
+    size = packages.agg(F.sum("bytes")).first()[0] or 0
+    ranges = ranges.repartition(min(MOST_TASKS, math.ceil(size / READ_BYTES) or 1), "package", F.get("offsets", F.lit(0)))  # a number: else few bytes of ranges go to one task
     return ranges.mapInArrow(fetched, "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary")
 
 

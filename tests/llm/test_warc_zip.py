@@ -43,6 +43,24 @@ def test_pages_and_their_copies(spark):
     assert sorted(map(tuple, got.collect()), key=str) == expected([(r["page_id"], r["html"]) for r in pages.collect()])
 
 
+def test_attempts_in_another_order_lose_and_double_nothing(spark, monkeypatch):
+    """Each task's rows come again in reverse, as after a lost executor; of two whole attempts the table of one counts."""
+    rows = [(i, f"u{i}", "same" if i % 3 else f"page {i} " * 40) for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    folder = wz.new_folder(spark, "again")
+    monkeypatch.setattr(wz, "new_folder", lambda *_: folder)
+    monkeypatch.setattr(wz, "READ_BYTES", 1_000)
+    first = wz.write(pages)
+    second = wz.write(pages.orderBy(F.desc("page_id")))
+    names = [{r["package"] for r in t.collect()} for t in (first, second)]
+    assert names[0] and names[1] and not names[0] & names[1]
+    want = expected([(i, h) for i, _, h in rows])
+    for packages in (first, second):
+        got = wz.read(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        assert sorted(map(tuple, got.collect()), key=str) == want
+        assert got.rdd.getNumPartitions() > 1
+
+
 def test_empty_table(spark):
     assert wz.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
