@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import os
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +10,7 @@ from customsloom.llm import license_digests as ld
 from customsloom.llm.license_texts import KNOWN
 from tests.conftest import SF
 
+COMMON = "/usr/share/common-licenses"
 MIT = next(t for i, k, t in KNOWN if i == "MIT" and k == "text")
 
 
@@ -28,12 +32,45 @@ def test_entire_texts(spark):
 def test_every_known_text_finds_itself(spark):
     docs = spark.createDataFrame([(i, k, t) for i, k, t in KNOWN], "id string, kind string, text string")
     for r in ld.scan(docs).collect():
-        assert r["license_id"] == r["id"] if r["kind"] == "text" else r["id"] in r["notices"]
+        assert (r["license_id"], r["license_kind"]) == (r["id"], r["kind"]) if r["kind"] != "notice" else r["id"] in r["notices"]
+
+
+def test_line_breaks_do_not_matter(spark):
+    """Every known text wrapped anew, and spellings, list signs and copyright lines that a break could hide."""
+    rows = []
+    for i, k, t in KNOWN:
+        if k == "text":
+            paragraphs = [p for p in t.split("\n\n") if not p.lower().startswith("copyright")]
+            for width in (40, 60, 73):
+                rows.append((i, "Copyright (c) 2020 A. Author\n\n" + "\n\n".join(textwrap.fill(p, width, initial_indent=" * ", subsequent_indent=" * ") for p in paragraphs)))
+    got = ld.scan(spark.createDataFrame(rows, "id string, text string")).collect()
+    assert len(got) == len(rows) and all(r["license_id"] == r["id"] for r in got)
+    pairs = [("the copyright\nowner may", "the copyright holder may"), ("x\n(c) You must keep this", "x (c) you must keep this"), ("a non-\ncommercial b", "a noncommercial b"), ("a\nCopyright 2001 B\n© C\n(c) 1999 D\nb", "a b")]
+    rows = [(i, t) for i, both in enumerate(pairs) for t in both]
+    digests = ld.scan(spark.createDataFrame(rows, "id int, text string")).groupBy("id").agg(F.countDistinct("text_digest").alias("n")).collect()
+    assert all(r["n"] == 1 for r in digests)
+    assert ld.scan(spark.createDataFrame([(1, "x\n(c) You must keep this"), (2, "x")], "id int, text string")).select("text_digest").distinct().count() == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="the published texts aren't on this machine")
+def test_digests_of_published_texts(spark):
+    rows = [(name, open(f"{COMMON}/{name}", encoding="utf-8", errors="replace").read()) for name in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0")]
+    rows += [("wrapped", "\n".join(textwrap.fill(x, 50) if not x.lower().lstrip().startswith("copyright") else x for x in rows[0][1].split("\n")))]
+    got = {r["id"]: r["license_id"] for r in ld.scan(spark.createDataFrame(rows, "id string, text string")).collect()}
+    assert got == {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "wrapped": "Apache-2.0"}
+
+
+def test_a_table_of_known_digests_and_clashing_names(spark):
+    known = ld.known_digests(spark, [("Own-1", "text", "All may use this work."), ("Own-1", "notice", "Own licence")], [])
+    docs = spark.createDataFrame([(1, "all may\nuse this work", "k", 1, 2, 3), (2, "See the own licence.\nOWN LICENCE!", "k", 1, 2, 3)], "doc_id bigint, text string, key string, lines int, named int, HIT int")
+    out = ld.scan(docs, known)
+    assert set(docs.columns) < set(out.columns) and len({c.lower() for c in out.columns}) == len(out.columns)
+    assert [(r["license_id"], r["notices"], r["HIT"]) for r in out.orderBy("doc_id").collect()] == [("Own-1", "", 3), (None, "Own-1", 3)]
 
 
 def test_no_known_texts_and_empty_table(spark):
     docs = spark.createDataFrame([(1, MIT)], "doc_id bigint, text string")
-    assert ld.scan(docs, []).first()["license_id"] is None
+    assert ld.scan(docs, ld.known_digests(spark).where("false")).first()["license_id"] is None
     assert ld.scan_documents(docs.where("false")).count() == 0
     with pytest.raises(ValueError, match="more than"):
         ld.known_digests(spark, [("x", "text", "y")] * (ld.MOST_KNOWN + 1))
