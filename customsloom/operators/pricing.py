@@ -1,7 +1,9 @@
-"""Freight, landed cost and route-cost prices as expressions, and the nearest historical price as a banded join."""
+"""Freight, landed cost and route-cost prices as expressions, and the nearest historical price by a search in cells."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from customsloom.functions.numbers import round_even, round_money, round_up
@@ -48,22 +50,59 @@ def markup(cost: Column, low: float = 0.20, middle: float = 0.10, high: float =
     return cost * (1 + F.when(cost < 200, low).when(cost <= 500, middle).otherwise(high))
 
 
-def nearest_price(requests: DataFrame, history: DataFrame) -> DataFrame:
+FEATURES = ["distance_km", "weight_kg", "pallets", "loading_meters"]
+#: What a unit of each feature adds to a score.  Fixed values.
+UNITS = [1.0, 0.01, 10.0, 10.0]
+#: Pairs of requests and past trips below which all are compared.
+PAIRS = 1 << 23
+
+
+def _score() -> Column:
+    return round_up(sum((F.abs(F.col(f"h{i}") - F.col(f)) * u for i, (f, u) in enumerate(zip(FEATURES, UNITS, strict=True))), F.lit(0.0)), 6)
+
+
+def nearest_price(requests: DataFrame, history: DataFrame, pairs: int = PAIRS) -> DataFrame:
     """For each request (request_id, distance_km, weight_kg, pallets, loading_meters) the price of the most alike trip of 0.5 to 1.5 times its distance.
 
-    Both sides are cut into logarithmic bands of the distance; a request meets the bands that its range touches, at most
-    four, so the join is one on equal bands.  Ties go to the smaller transport_id.
+    The score is a sum of differences, so a trip that differs by more than ``side`` in one feature can't be better than one of a
+    lesser score.  Past trips lie in cells of that side over distance, weight and pallets; equal requests meet the 27 cells around
+    theirs, and what scores less than the side is the best of all.  The rest goes on with cells of twice the side, and when few pairs
+    are left, all within bands of the distance.  The first side follows from the trips' number and spread, so that a request meets
+    about as many trips at any size.  Ties go to the smaller transport_id; requests and trips with a null feature have no part.
     """
-    width = 0.4054651081081644  # ln 1.5
-    band = lambda x: F.floor(F.ln(F.greatest(x, F.lit(0.001))) / width).cast("int")
-    past = history.dropna(subset=["distance_km", "weight_kg", "pallets", "loading_meters", "price"]).select(
-        "transport_id", F.col("distance_km").alias("h_distance"), F.col("weight_kg").alias("h_weight"), F.col("pallets").alias("h_pallets"), F.col("loading_meters").alias("h_loading"), "price", band(F.col("distance_km")).alias("band")
-    )
-    asked = requests.select("*", F.explode(F.sequence(band(F.col("distance_km") * 0.5), band(F.col("distance_km") * 1.5))).alias("band"))
-    near = asked.join(past, "band").where((F.col("h_distance") >= F.col("distance_km") * 0.5) & (F.col("h_distance") <= F.col("distance_km") * 1.5))
-    score = F.abs(F.col("h_distance") - F.col("distance_km")) + F.abs(F.col("h_weight") - F.col("weight_kg")) / 100 + F.abs(F.col("h_pallets") - F.col("pallets")) * 10 + F.abs(F.col("h_loading") - F.col("loading_meters")) * 10
-    best = near.groupBy("request_id").agg(F.min(F.struct(round_up(score, 6).alias("score"), "transport_id", "price")).alias("b"))
-    return best.select("request_id", "b.transport_id", "b.score", F.col("b.price").alias("similar_price"))
+    past = history.dropna(subset=[*FEATURES, "price"]).select("transport_id", *(F.col(f).cast("double").alias(f"h{i}") for i, f in enumerate(FEATURES)), "price")
+    asked = requests.select("request_id", *(F.col(f).cast("double").alias(f) for f in FEATURES)).dropna(subset=FEATURES)
+    spread = past.agg(F.count("*").alias("n"), *(F.coalesce(F.max(f"h{i}") - F.min(f"h{i}"), F.lit(0.0)).alias(f"r{i}") for i in range(4))).first()
+    todo, found = asked.select(*FEATURES).distinct().persist(), []
+    side = 1.3 * (1.5 * math.prod(max(1.0, spread[f"r{i}"] * u) for i, u in enumerate(UNITS)) / max(1, spread["n"])) ** 0.25
+    within = (F.col("h0") >= F.col(FEATURES[0]) * 0.5) & (F.col("h0") <= F.col(FEATURES[0]) * 1.5)
+    price = F.struct(_score().alias("score"), "transport_id", "price")
+    while todo.count() * spread["n"] > pairs:
+        cell = lambda c, u, side=side: F.floor(F.col(c) * (u / side)).cast("bigint")
+        cells = past.select("*", *(cell(f"h{i}", UNITS[i]).alias(f"c{i}") for i in range(3)))
+        around = todo
+        for i in range(3):
+            at = cell(FEATURES[i], UNITS[i])
+            around = around.withColumn(f"c{i}", F.explode(F.sequence(at - 1, at + 1)))
+        best = around.join(cells, ["c0", "c1", "c2"], "left").groupBy(*FEATURES).agg(F.min(F.when(within, price)).alias("b")).persist()
+        sure = F.coalesce(F.col("b.score") < side - 1e-5, F.lit(False))
+        found.append(best.where(sure))
+        todo, side = best.where(~sure).select(*FEATURES), side * 2
+        if side > 4 * max(spread[f"r{i}"] * u for i, u in enumerate(UNITS[:3])):
+            break
+    found.append(_nearest_in_bands(todo, past, within, price))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return asked.join(out, FEATURES).select("request_id", "b.transport_id", "b.score", F.col("b.price").alias("similar_price"))
+
+
+def _nearest_in_bands(asked: DataFrame, past: DataFrame, within: Column, price: Column) -> DataFrame:
+    """All pairs in range: both sides are cut into logarithmic bands of the distance, at most four a request."""
+    band = lambda x: F.floor(F.ln(F.greatest(x, F.lit(0.001))) / math.log(1.5)).cast("int")
+    distance = F.col(FEATURES[0])
+    around = asked.withColumn("band", F.explode(F.sequence(band(distance * 0.5), band(distance * 1.5))))
+    return around.join(past.withColumn("band", band(F.col("h0"))), "band").where(within).groupBy(*FEATURES).agg(F.min(price).alias("b"))
 
 
 def transport_estimate(vehicle: Column, weight_kg: Column, loading: Column, pickup: Column, delivery: Column) -> Column:

@@ -9,6 +9,18 @@ from customsloom.functions.numbers import round_up
 #: Weights of the layers that a term may match, bonuses of hints, least score.  Fixed values.
 LAYERS = {"cn8": 3.0, "heading": 2.2, "chapter": 1.4}
 CHAPTER_HINT, HEADING_HINT, FLOOR = 4.0, 5.0, 2.0
+#: Weight from which a term counts as a focus term; what a confidence gains if the heading is hinted.  Fixed values.
+FOCUS, PRIOR = 1.0, 0.12
+#: If a query has all of the first terms, a candidate without any of the second keeps MISSING_CO of its score.  Fixed values.
+CO_TERMS = [
+    (("ball", "bearing"), ("ball", "bearing", "bearings", "roller")),
+    (("ball", "bearings"), ("ball", "bearing", "bearings", "roller")),
+    (("pellet", "rifle"), ("cartridge", "cartridges", "ammunition", "shot", "projectile", "9306")),
+    (("pellets", "rifle"), ("cartridge", "cartridges", "ammunition", "shot", "projectile", "9306")),
+    (("air", "pellet"), ("cartridge", "cartridges", "ammunition", "9306", "9304")),
+    (("air", "pellets"), ("cartridge", "cartridges", "ammunition", "9306", "9304")),
+]
+MISSING_CO = 0.15
 #: Shares of the base score that bonuses add at most.  Fixed values.
 KNOWLEDGE, BRAND, VALIDATION, HEADING_ONLY = 0.20, 0.10, 0.18, 0.2
 
@@ -19,20 +31,73 @@ def weighted_terms(phrases: DataFrame) -> DataFrame:
     return phrases.withColumn("_r", rank).where("_r = 1").select("query_id", "term", "weight")
 
 
-def layered(terms: DataFrame, words: DataFrame, missing_co: Column | None = None) -> DataFrame:
-    """(query_id, cn8, score) from terms (query_id, term, weight) and candidate words (cn8, layer, term); each term counts in its best layer."""
+def term_sets(terms: DataFrame, hints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(query_id, set_id, focus) of each query, and (set_id, asked: array of term and weight, hints: all that queries of the set have)."""
+    asked = F.array_sort(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))))
+    own = terms.groupBy("query_id").agg(asked.alias("asked"), F.count_if(F.col("weight") >= FOCUS).cast("int").alias("focus"))
+    own = own.withColumn("set_id", F.md5(F.to_json("asked")))
+    if hints is None:
+        return own.select("query_id", "set_id", "focus"), own.groupBy("set_id").agg(F.first("asked").alias("asked")).withColumn("hints", F.array().cast("array<string>"))
+    named = own.join(hints.select("query_id", "hint").distinct(), "query_id", "left")
+    return own.select("query_id", "set_id", "focus"), named.groupBy("set_id").agg(F.first("asked").alias("asked"), F.collect_set("hint").alias("hints"))
+
+
+def co_factor(terms: Column, words: Column, rules: list[tuple[tuple[str, ...], tuple[str, ...]]] = CO_TERMS) -> Column:
+    """MISSING_CO for each distinct set of wanted words that the query's terms call for and the candidate's words lack."""
+    named = lambda xs: F.array(*(F.lit(x) for x in xs))
+    out = F.lit(1.0)
+    for wanted in dict.fromkeys(w for _, w in rules):
+        calls = [F.size(F.array_except(named(when), terms)) == 0 for when, w in rules if w == wanted]
+        called = calls[0]
+        for c in calls[1:]:
+            called = called | c
+        out = out * F.when(called & ~F.arrays_overlap(words, named(wanted)), MISSING_CO).otherwise(1.0)
+    return out
+
+
+def best(terms: DataFrame, words: DataFrame, hints: DataFrame | None, keep: int) -> DataFrame:
+    """(query_id, cn8, score, terms, focus, prior) of the ``keep`` best candidates of each query with a score of at least FLOOR.
+
+    terms: (query_id, term, weight); words: (cn8, layer, term); hints: (query_id, hint), a hint being a chapter or a heading.
+    A term counts by the weight of its best layer; a hinted chapter adds 4 and a hinted heading 5 points.
+
+    Queries of equal terms are scored once.  A set of terms meets a code at their least common term, so that each pair is
+    scored in one place and needs no aggregation.  A hint lifts all codes of its chapter or heading alike: what is among the best
+    of a query is among the best of its set of terms, at large or within a hinted chapter or heading.  So only ``keep`` codes of
+    each of these leave the map side (a window that Spark limits before the exchange).
+    """
     layer = F.when(F.col("layer") == "cn8", LAYERS["cn8"]).when(F.col("layer") == "heading", LAYERS["heading"]).otherwise(LAYERS["chapter"])
-    best = words.groupBy("cn8", "term").agg(F.max(layer).alias("factor"))
-    return terms.join(best, "term").groupBy("query_id", "cn8").agg(round_up(F.sum(F.col("weight") * F.col("factor")), 6).alias("score"), F.count("*").alias("terms"))
-
-
-def hinted(scores: DataFrame, hints: DataFrame) -> DataFrame:
-    """Adds 4 for a chapter and 5 for a heading that the query's hints (query_id, hint) name."""
-    chapter = hints.where(F.length("hint") == 2).select("query_id", F.col("hint").alias("_chapter"), F.lit(True).alias("_c")).distinct()
-    heading = hints.where(F.length("hint") == 4).select("query_id", F.col("hint").alias("_heading"), F.lit(True).alias("_h")).distinct()
-    out = scores.withColumns({"_chapter": F.substring("cn8", 1, 2), "_heading": F.substring("cn8", 1, 4)}).join(chapter, ["query_id", "_chapter"], "left").join(heading, ["query_id", "_heading"], "left")
-    bonus = F.when(F.col("_c").isNotNull(), CHAPTER_HINT).otherwise(0.0) + F.when(F.col("_h").isNotNull(), HEADING_HINT).otherwise(0.0)
-    return out.withColumn("score", F.col("score") + bonus).drop("_c", "_h", "_chapter", "_heading")
+    factors = words.groupBy("cn8", "term").agg(F.max(layer).alias("factor")).groupBy("cn8").agg(F.map_from_entries(F.collect_list(F.struct("term", "factor"))).alias("factors"))
+    codes = factors.repartition(2 * words.sparkSession.sparkContext.defaultParallelism, "cn8")  # few bytes, much work
+    codes = codes.select("*", F.explode(F.map_keys("factors")).alias("at"))
+    queries, sets = term_sets(terms, hints)
+    asked = sets.select("*", F.explode("asked.term").alias("at"))
+    pairs = codes.join(asked, "at").withColumn("met", F.array_intersect("asked.term", F.map_keys("factors"))).where(F.col("at") == F.array_min("met"))
+    gain = F.aggregate("asked", F.lit(0.0), lambda s, t: s + t["weight"] * F.coalesce(F.try_element_at(F.col("factors"), t["term"]), F.lit(0.0)))
+    scored = pairs.select("set_id", "cn8", round_up(gain * co_factor(F.col("asked.term"), F.map_keys("factors")), 6).alias("score"), F.size("met").cast("bigint").alias("terms"), "hints")
+    spaces = F.concat(F.array(F.lit("")), F.array_intersect(F.array(F.substring("cn8", 1, 2), F.substring("cn8", 1, 4)), F.col("hints")))
+    # at large only what reaches the floor by itself; hinted codes may reach it by their hint
+    each = scored.select("set_id", "cn8", "score", "terms", F.explode(spaces).alias("space")).where((F.col("space") != "") | (F.col("score") >= FLOOR))
+    top = each.withColumn("k", F.row_number().over(Window.partitionBy("set_id", "space").orderBy(F.desc("score"), "cn8"))).where(F.col("k") <= keep).drop("k")
+    if hints is None:
+        met = queries.join(top, "set_id").select("query_id", "cn8", "score", "terms", "focus").withColumn("prior", F.lit(False))
+    else:
+        own = queries.select("query_id", "set_id", "focus", F.lit("").alias("space")).unionAll(queries.join(hints.select("query_id", "hint").distinct(), "query_id").select("query_id", "set_id", "focus", "hint"))
+        met = own.join(top, ["set_id", "space"])
+        met = met.groupBy("query_id", "cn8").agg(*(F.first(c).alias(c) for c in ("score", "terms", "focus")), F.max(F.length("space") == 2).alias("chapter"), F.max(F.length("space") == 4).alias("prior"))
+        # a code that came by one space alone may have the other hint, too: hinted() adds both
+        met = hinted(met.drop("chapter", "prior"), hints, prior=True)
+    rank_ = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cn8"))
+    return met.where(F.col("score") >= FLOOR).withColumn("k", rank_).where(F.col("k") <= keep).drop("k")
+
+
+def hinted(scores: DataFrame, hints: DataFrame, prior: bool = False) -> DataFrame:
+    """Adds 4 for a chapter and 5 for a heading that the query's hints (query_id, hint) name; ``prior`` adds whether a heading does."""
+    own = hints.groupBy("query_id").agg(F.collect_set("hint").alias("_hints"))
+    out = scores.join(own, "query_id", "left")
+    chapter, heading = (F.coalesce(F.array_contains("_hints", F.substring("cn8", 1, n)), F.lit(False)) for n in (2, 4))
+    out = out.withColumn("score", F.col("score") + F.when(chapter, CHAPTER_HINT).otherwise(0.0) + F.when(heading, HEADING_HINT).otherwise(0.0))
+    return (out.withColumn("prior", heading) if prior else out).drop("_hints")
 
 
 def penalised(score: Column, rules: list[tuple[Column, float]]) -> Column:
@@ -64,10 +129,11 @@ def validation(ranked: DataFrame, strong: DataFrame) -> DataFrame:
     return out.withColumn("validation_bonus", bonus).withColumn("score", F.col("score") + F.col("validation_bonus")).drop("_exact", "_near", "_heading")
 
 
-def confidence(score: Column, best: Column, terms: Column, rank: Column) -> Column:
-    """From the share of the best score and of four focus terms, between 0.38 and 0.97, falling with the rank (from 0)."""
+def confidence(score: Column, best: Column, focus: Column, rank: Column, prior: Column | None = None) -> Column:
+    """From the share of the best score, of four focus terms of the query and a hinted heading, between 0.38 and 0.97, falling with the rank (from 0)."""
     relative = score / best
-    base = F.least(F.lit(0.97), F.greatest(F.lit(0.38), (0.55 * relative + 0.33 * F.least(F.lit(1.0), terms / 4.0)) * 0.94))
+    combined = 0.55 * relative + 0.33 * F.least(F.lit(1.0), focus / 4.0) + (F.lit(0.0) if prior is None else F.when(prior, PRIOR).otherwise(0.0))
+    base = F.least(F.lit(0.97), F.greatest(F.lit(0.38), combined * 0.94))
     decay = F.greatest(F.lit(0.78), 1.0 - 0.11 * rank)
     decay = F.when(relative > 0.95, F.greatest(F.lit(0.72), decay - 0.05)).otherwise(decay)
     return F.when(best <= 0, 0.35).otherwise(round_up(F.when(rank > 0, base * decay).otherwise(base), 2))
@@ -79,11 +145,11 @@ def capped(raw: Column, quality: Column, rank: Column) -> Column:
 
 
 def rank(scores: DataFrame, limit: int, quality: float = 1.0) -> DataFrame:
-    """The best of each query with a score of at least 2: rank from 0, confidence, capped confidence, and the query's state by top score and margin."""
+    """The best of each query (columns of ``best``, which should have kept one more than limit) with a score of at least 2: rank from 0, confidence, capped confidence, and the query's state by top score and margin."""
     query = Window.partitionBy("query_id")
     order = query.orderBy(F.desc("score"), "cn8")
     out = scores.where(F.col("score") >= FLOOR).withColumns({"rank": F.row_number().over(order) - 1, "_best": F.max("score").over(query), "_next": F.lead("score").over(order)}).where(F.col("rank") < limit)
-    out = out.withColumn("confidence", confidence(F.col("score"), F.col("_best"), F.col("terms"), F.col("rank"))).withColumn("capped", capped(F.col("confidence"), F.lit(quality), F.col("rank")))
+    out = out.withColumn("confidence", confidence(F.col("score"), F.col("_best"), F.col("focus"), F.col("rank"), F.col("prior"))).withColumn("capped", capped(F.col("confidence"), F.lit(quality), F.col("rank")))
     narrow = (F.col("_next").isNotNull()) & ((F.col("score") - F.col("_next")) / F.col("score") < 0.05) & (F.col("capped") < 0.75)
     state = F.when(F.lit(quality < 0.35), "ABSTAIN").when((F.col("capped") < 0.55) | narrow, "EXPERT_REQUIRED").otherwise("SUGGEST")
     return out.withColumn("state", F.when(F.col("rank") == 0, state)).drop("_best", "_next")

@@ -96,17 +96,21 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.weighted_terms(rows)
 
 
-@query(f"""WITH {_SCORED}, h AS (SELECT query_id, cn8, terms, score + CASE WHEN substr(cn8, 1, 2) = lpad(CAST(query_id % 50 + 1 AS VARCHAR), 2, '0') THEN 4.0 ELSE 0.0 END AS score FROM sc),
+@query(f"""WITH {_SCORED}, fo AS (SELECT query_id, count(*) FILTER (weight >= 1) AS focus FROM tw GROUP BY 1),
+  h AS (SELECT query_id, cn8, focus, hh, score + CASE WHEN substr(cn8, 1, 2) = lpad(CAST(query_id % 50 + 1 AS VARCHAR), 2, '0') THEN 4.0 ELSE 0.0 END + CASE WHEN hh THEN 5.0 ELSE 0.0 END AS score
+    FROM (SELECT *, substr(cn8, 1, 4) = lpad(CAST(query_id % 50 + 1 AS VARCHAR), 2, '0') || '00' AND query_id % 3 = 0 AS hh FROM sc) JOIN fo USING (query_id)),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cn8) - 1 AS rank, max(score) OVER (PARTITION BY query_id) AS best, lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, cn8) AS nxt FROM h WHERE score >= 2.0),
-  c AS (SELECT *, least(0.97, greatest(0.38, (0.55 * score / best + 0.33 * least(1.0, terms / 4.0)) * 0.94)) AS base, CASE WHEN score / best > 0.95 THEN greatest(0.72, greatest(0.78, 1.0 - 0.11 * rank) - 0.05) ELSE greatest(0.78, 1.0 - 0.11 * rank) END AS decay FROM r WHERE rank < 5),
+  c AS (SELECT *, least(0.97, greatest(0.38, (0.55 * score / best + 0.33 * least(1.0, focus / 4.0) + CASE WHEN hh THEN 0.12 ELSE 0.0 END) * 0.94)) AS base, CASE WHEN score / best > 0.95 THEN greatest(0.72, greatest(0.78, 1.0 - 0.11 * rank) - 0.05) ELSE greatest(0.78, 1.0 - 0.11 * rank) END AS decay FROM r WHERE rank < 5),
   d AS (SELECT *, {_r('CASE WHEN rank > 0 THEN base * decay ELSE base END', 2)} AS confidence FROM c), e AS (SELECT *, least(confidence, CASE WHEN rank > 0 THEN greatest(0.38, 0.97 - 0.06 * rank) ELSE 0.97 END) AS capped FROM d)
   SELECT query_id, cn8, {_r('score', 4)} AS score, rank, {_r('confidence', 1)} AS confidence, CASE WHEN rank = 0 THEN CASE WHEN capped < 0.55 OR (nxt IS NOT NULL AND (score - nxt) / score < 0.05 AND capped < 0.75) THEN 'EXPERT_REQUIRED' ELSE 'SUGGEST' END END AS state FROM e""")
 def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from customsloom.functions.numbers import round_up
 
     terms = _terms(spark, sf_dir)
-    hints = terms.select("query_id", F.lpad((F.col("query_id") % 50 + 1).cast("string"), 2, "0").alias("hint")).distinct()
-    ranked = ranking.rank(ranking.hinted(ranking.layered(terms, _nomenclature(spark, sf_dir)), hints), 5)
+    hint = F.lpad((F.col("query_id") % 50 + 1).cast("string"), 2, "0")
+    named = F.when(F.col("query_id") % 3 == 0, F.array(hint, F.concat(hint, F.lit("00")))).otherwise(F.array(hint))
+    hints = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id")).select("query_id", F.explode(named).alias("hint"))
+    ranked = ranking.rank(ranking.best(terms, _nomenclature(spark, sf_dir), hints, 6), 5)
     return ranked.select("query_id", "cn8", round_up(F.col("score"), 4).alias("score"), F.col("rank").cast("bigint").alias("rank"), round_up(F.col("confidence"), 1).alias("confidence"), "state")
 
 
@@ -118,8 +122,8 @@ def validation_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from customsloom.functions.numbers import round_up
 
-    scores = ranking.layered(_terms(spark, sf_dir), _nomenclature(spark, sf_dir)).where("score >= 2.0")
-    top = scores.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cn8"))).where("k <= 8")
+    top = ranking.best(_terms(spark, sf_dir), _nomenclature(spark, sf_dir), None, 8)
+    top = top.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cn8")))
     exact = top.where(F.substring("cn8", 3, 6).cast("int") % 5 == 0).select("query_id", "cn8", F.substring("cn8", 1, 4).alias("heading"), F.lit(0.9).alias("confidence"))
     first = top.where("k = 1").select("query_id", F.lit("none").alias("cn8"), F.substring("cn8", 1, 4).alias("heading"), F.lit(0.9).alias("confidence"))
     return ranking.validation(top, exact.unionByName(first)).select("query_id", "cn8", round_up(F.col("score"), 4).alias("score"))
@@ -136,38 +140,30 @@ def candidate_pool_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.pool([(stage("heading"), 5), (stage("cn8"), 10)], 12).select("query_id", "cn8", "stage", F.col("place").cast("bigint").alias("place"))
 
 
-_FOLDED = f"""{DECLARATIONS}, fw AS (SELECT id, cn8, heading, weight, source, description, {_TOKENS.format(x='strip_accents(lower(description))', n=2)} AS w FROM declarations WHERE country = 'EN')"""
+_FOLDED = f"""{DECLARATIONS}, fw AS (SELECT id, cn8, heading, weight, source, description, {_TOKENS.format(x='strip_accents(lower(description))', n=2)} AS w FROM declarations)"""
 
 
-@query(f"""WITH {_FOLDED}, g AS (SELECT id, cn8, weight, list_distinct(list_filter(flatten(list_transform([2, 3], lambda n: list_transform(generate_series(1, greatest(len(w) - n + 1, 0)), lambda i: array_to_string(w[i : i + n - 1], ' ')))), lambda p: length(p) >= 6)) AS ph FROM fw),
+@query(f"""WITH {_FOLDED}, g AS (SELECT id, cn8, weight, list_distinct(list_filter(flatten(list_transform([2, 3, 4], lambda n: list_transform(generate_series(1, greatest(len(w) - n + 1, 0)), lambda i: array_to_string(w[i : i + n - 1], ' ')))), lambda p: length(p) >= 6)) AS ph FROM fw),
   e AS (SELECT cn8, weight, unnest(ph) AS phrase FROM g) SELECT phrase, cn8, {_r('sum(weight)', 2)} AS weight FROM e GROUP BY 1, 2 HAVING {_r('sum(weight)', 2)} >= 2""")
 def ngram_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.phrase_lexicon(declarations(spark, sf_dir).where("country = 'EN'"), least=2.0, sizes=(2, 3))
+    return mining.phrase_lexicon(declarations(spark, sf_dir), least=2.0, sizes=(2, 4))
 
 
-@query(f"""WITH {_FOLDED}, g AS (SELECT cn8, source, description, unnest(list_distinct(list_filter(flatten(list_transform([2, 3], lambda n: list_transform(generate_series(1, greatest(len(w) - n + 1, 0)), lambda i: array_to_string(w[i : i + n - 1], ' ')))), lambda p: length(p) >= 6))) AS phrase FROM fw)
+@query(f"""WITH {_FOLDED}, g AS (SELECT cn8, source, description, unnest(list_distinct(list_filter(flatten(list_transform([2, 3, 4], lambda n: list_transform(generate_series(1, greatest(len(w) - n + 1, 0)), lambda i: array_to_string(w[i : i + n - 1], ' ')))), lambda p: length(p) >= 6))) AS phrase FROM fw)
   SELECT phrase, cn8, count(*) AS frequency, count(DISTINCT description) AS unique_descriptions, count(*) FILTER (source = 'seed') AS seed_hits, count(*) FILTER (source <> 'seed') AS other_hits FROM g GROUP BY 1, 2 HAVING count(*) >= 3""")
 def phrase_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.phrase_stats(declarations(spark, sf_dir).where("country = 'EN'")).where("frequency >= 3")
-
-
-_FOLDED_ALL = _FOLDED.replace(" WHERE country = 'EN'", "")
-
-
-def _all_sizes(name: str) -> str:
-    """The SQL of a query over declarations of every language and phrases of two to four words."""
-    return f"WITH {_FOLDED_ALL}" + ORACLES[name].removeprefix(f"WITH {_FOLDED}").replace("[2, 3]", "[2, 3, 4]")
+    return mining.phrase_stats(declarations(spark, sf_dir), sizes=(2, 4)).where("frequency >= 3")
 
 
-@query(_all_sizes("ngram_lexicon").removesuffix(">= 2") + ">= 5")
+@query(ORACLES["ngram_lexicon"].removesuffix(">= 2") + ">= 5")
 def ngram_lexicon_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every declaration, with the operator's own sizes and least weight."""
+    """With the operator's own least weight."""
     return mining.phrase_lexicon(declarations(spark, sf_dir))
 
 
-@query(_all_sizes("phrase_stats"))
+@query(ORACLES["phrase_stats"])
 def phrase_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.phrase_stats(declarations(spark, sf_dir), sizes=(2, 4)).where("frequency >= 3")
+    return phrase_stats(spark, sf_dir)
 
 
 @query(f"""WITH {DECLARATIONS}, br AS (SELECT unnest(['that', 'para', 'elle', 'nicht']) AS brand), w AS (SELECT DISTINCT id, cn8, weight, unnest(regexp_extract_all(lower(description), '[a-z0-9]+')) AS brand FROM declarations)

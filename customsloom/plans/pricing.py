@@ -40,14 +40,14 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAR = f"""{_TRIPS}, n AS (SELECT request_id, transport_id, {_r('abs(h.distance_km - t.distance_km) + abs(h.weight_kg - t.weight_kg) / 100 + abs(h.pallets - t.pallets) * 10 + abs(h.loading_meters - t.loading_meters) * 10', 6)} AS score, price
-    FROM trips t JOIN history h ON h.distance_km >= t.distance_km * 0.5 AND h.distance_km <= t.distance_km * 1.5 WHERE request_id % 10 = 0),
+    FROM trips t JOIN history h ON h.distance_km >= t.distance_km * 0.5 AND h.distance_km <= t.distance_km * 1.5),
   best AS (SELECT request_id, transport_id, score, price AS similar_price FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score, transport_id) AS k FROM n) WHERE k = 1)"""
 
 
 @query(f"WITH {_NEAR} SELECT request_id, transport_id, {_r('score', 3)} AS score, similar_price FROM best")
 def freight_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over a tenth of the orders, as its SQL; ``freight_nearest_all`` takes every one."""
-    near = pricing.nearest_price(_trips(spark, sf_dir).where("request_id % 10 = 0"), _history(spark, sf_dir))
+    """Every order is a request."""
+    near = pricing.nearest_price(_trips(spark, sf_dir), _history(spark, sf_dir))
     return near.select("request_id", "transport_id", round_up(F.col("score"), 3).alias("score"), "similar_price")
 
 
@@ -59,7 +59,7 @@ _FALL = "(distance_km * 0.18 + weight_kg * 0.02 + pallets * 10 + loading_meters
   p AS (SELECT *, {_FALL} AS fb, {_FTL} AS ftl FROM f), q AS (SELECT *, CASE WHEN request_id % 20 = 0 THEN ftl WHEN distance_km < 180 THEN least(greatest((0.6 * similar_price + 0.4 * fb) * (1 + pallets * 0.04 + weight_kg / 1000 * 0.03 + loading_meters * 0.05), 60.0), 180.0) ELSE 0.6 * similar_price + 0.4 * fb END AS cost FROM p),
   m AS (SELECT *, {_r('cost * (1 + CASE WHEN cost < 200 THEN 0.20 WHEN cost <= 500 THEN 0.10 ELSE 0.05 END)', 6)} AS c FROM q) SELECT request_id, {_r('cost', 2)} AS cost, {_five('c')} AS price FROM m""")
 def freight_price_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tiers(spark, sf_dir, _trips(spark, sf_dir).where("request_id % 10 = 0"))
+    return _tiers(spark, sf_dir, _trips(spark, sf_dir))
 
 
 def _tiers(spark: SparkSession, sf_dir: str, trips: DataFrame) -> DataFrame:
@@ -71,19 +71,14 @@ def _tiers(spark: SparkSession, sf_dir: str, trips: DataFrame) -> DataFrame:
     return rows.select("request_id", round_money(F.col("c")).alias("cost"), round_to_5(round_up(pricing.markup(F.col("c")), 6)).alias("price"))
 
 
-_NEAR_ALL = _NEAR.replace(" WHERE request_id % 10 = 0", "")
-
-
-@query(ORACLES["freight_nearest"].replace(_NEAR, _NEAR_ALL))
+@query(ORACLES["freight_nearest"])
 def freight_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order is a request."""
-    near = pricing.nearest_price(_trips(spark, sf_dir), _history(spark, sf_dir))
-    return near.select("request_id", "transport_id", round_up(F.col("score"), 3).alias("score"), "similar_price")
+    return freight_nearest(spark, sf_dir)
 
 
-@query(ORACLES["freight_price_tiers"].replace(_NEAR, _NEAR_ALL))
+@query(ORACLES["freight_price_tiers"])
 def freight_price_tiers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tiers(spark, sf_dir, _trips(spark, sf_dir))
+    return freight_price_tiers(spark, sf_dir)
 
 
 _CODES = "'DE', 'FR', 'SI', 'US', 'CH'"
