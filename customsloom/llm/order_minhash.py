@@ -276,13 +276,13 @@ def _joined(parts: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, print) of every row, and (print, component) of the prints that are linked to another."""
+    """(id, print) of every row, and (print, id, class) of every print: its least id, and the component or else the print itself."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("id", "text")
     kind = dict(docs.dtypes)["id"]
     sketched = rows.mapInArrow(_sketched, f"id {kind}, print bigint, kmers int, signatures array<bigint>, counts binary")
     sketched = written(sketched, "sketches")
-    distinct = sketched.where("kmers > 0").groupBy("print").agg(F.min("id").alias("id"), F.first("kmers").alias("kmers"), F.first("signatures").alias("signatures"), F.first("counts").alias("counts"))
+    distinct = sketched.where("print IS NOT NULL").groupBy("print").agg(F.min("id").alias("id"), F.first("kmers").alias("kmers"), F.first("signatures").alias("signatures"), F.first("counts").alias("counts"))
     distinct = written(distinct, "distinct")
     each = distinct.select("print", "id", "kmers", F.explode("signatures").alias("sig"))
     order = F.struct(F.xxhash64("sig", "print"), F.col("print"))
@@ -313,23 +313,23 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = written(_rest(members, distinct, parts).join(done, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
         parts = _joined(parts, _verify(rest, texts).where("similar"))
-    return sketched.select("id", "print"), parts
+    named = distinct.select("print", "id").join(parts.withColumnRenamed("node", "print"), "print", "left")
+    return sketched.select("id", "print"), named.select("print", "id", F.coalesce("component", "print").alias("class"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, class_id (least id of its near-duplicates)."""
-    rows, parts = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
-    placed = rows.join(parts.withColumnRenamed("node", "print"), "print", "left").select("id", F.coalesce("component", "print").alias("class"))
-    names = placed.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("class_id"))
-    out = placed.join(names, "class", "left").select("id", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+    rows, prints = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    names = prints.groupBy("class").agg(F.min("id").alias("class_id"))
+    named = written(prints.join(names, "class").select(F.col("print").alias("p"), "class_id"), "named")
+    out = rows.join(named, F.col("print") == F.col("p"), "left").select("id", F.when(F.col("print").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
     return out.withColumnRenamed("id", id_col)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with one row of each class: that of the least id (a null id counts as the largest)."""
-    rows, parts = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
-    placed = rows.where("print IS NOT NULL").join(parts.withColumnRenamed("node", "print"), "print", "left").select("id", "print", F.coalesce("component", "print").alias("class"))
-    kept = placed.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "print")).alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.print").alias("kept_print"))
+    _, prints = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    kept = prints.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "print")).alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.print").alias("kept_print"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     schema = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True)) + ", print bigint"
     at, text_at = names[docs.columns.index(id_col)], docs.columns.index(text_col)
