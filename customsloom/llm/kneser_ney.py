@@ -20,9 +20,12 @@ texts each probability is 1 / (V + 1) = 1.  A null id is never held out.  Other
 from __future__ import annotations
 
 import math
+import mmap
 import os
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,14 @@ from customsloom.llm.common import U64, atomic_save, blocks, mix, mounted, new_f
 END = U64(0x5D1F3A9C0E6B2741)
 #: Tokens gathered before they are combined: bounds a counting task's memory.
 COMBINE = 2_000_000
-#: Text bytes that a vocabulary or pair shard stands for.
+#: Text bytes that a pair shard stands for.
 SHARD_BYTES = 24 << 20
+#: Power of the number of pair shards that gives the number of vocabulary shards: a vocabulary grows more slowly than its text,
+#: and every pair shard hands each vocabulary shard a row.
+WORD_SHARDS = 0.75
+#: Arrays that a worker keeps mapped, without a file handle each where Python can do that.
+_MAPPING = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+MOST_MAPS = 16_384 if _MAPPING else 256
 
 
 @dataclass
@@ -54,16 +63,24 @@ class Model:
     maps: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"maps": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "bounds"} | {"maps": {}}
 
     @property
     def words(self) -> int:
         return self.starts[-1]
 
+    @cached_property
+    def bounds(self) -> np.ndarray:
+        return np.array(self.starts)
+
     def array(self, name: str, shard: int) -> np.ndarray:
-        if (name, shard) not in self.maps:
-            self.maps[name, shard] = np.load(f"{self.path}/{name}-{shard}.npy", mmap_mode="r")
-        return self.maps[name, shard]
+        """A stored array, memory-mapped; of more than MOST_MAPS the one mapped first goes."""
+        found = self.maps.get((name, shard))
+        if found is None:
+            while len(self.maps) >= MOST_MAPS:
+                self.maps.pop(next(iter(self.maps)))
+            found = self.maps[name, shard] = _mapped(f"{self.path}/{name}-{shard}.npy")
+        return found
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of sorted distinct word hashes, -1 where unknown."""
@@ -78,11 +95,10 @@ class Model:
     def stats(self, name: str, ids: np.ndarray) -> np.ndarray:
         """A per-word number for sorted ids; 0 for -1."""
         out = np.zeros(len(ids), np.float64)
-        edges = np.searchsorted(ids, self.starts)
-        for shard in range(len(self.starts) - 1):
-            a, b = edges[shard], edges[shard + 1]
-            if b > a:
-                out[a:b] = self.array(name, shard)[ids[a:b] - self.starts[shard]]
+        known = int(np.searchsorted(ids, 0)), int(np.searchsorted(ids, self.words))
+        for shard, a, b in _runs(np.searchsorted(self.bounds, ids[known[0] : known[1]], side="right") - 1):
+            a, b = a + known[0], b + known[0]
+            out[a:b] = self.array(name, shard)[ids[a:b] - self.starts[shard]]
         return out
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
@@ -100,10 +116,26 @@ def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> U64(32)) * U64(shards)) >> U64(32)
 
 
+def _runs(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of the runs of equal values: only shards that occur take time."""
+    if not len(shard):
+        return
+    first = np.flatnonzero(np.diff(shard, prepend=shard[:1] + 1))
+    yield from zip(shard[first].tolist(), first.tolist(), np.append(first[1:], len(shard)).tolist(), strict=True)
+
+
 def _cuts(hashes: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
     """(shard, from, to) of sorted hashes."""
-    edges = np.searchsorted(_shard_of(hashes, shards), np.arange(shards + 1, dtype=U64))
-    yield from ((s, edges[s], edges[s + 1]) for s in range(shards) if edges[s + 1] > edges[s])
+    return _runs(_shard_of(hashes, shards).astype(np.int64))
+
+
+def _mapped(path: str) -> np.ndarray:
+    with open(path, "rb") as file:
+        np.lib.format.read_magic(file)
+        shape, _, kind = np.lib.format.read_array_header_1_0(file)
+        if not shape[0]:
+            return np.zeros(0, kind)
+        return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **_MAPPING), kind, shape[0], file.tell())
 
 
 def _narrow(a: np.ndarray) -> np.ndarray:
@@ -227,9 +259,10 @@ def fit(texts: DataFrame, text_col: str = "text") -> Model:
     path = mounted(new_folder(spark, "kneser-ney"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
+    word_shards = math.ceil(shards**WORD_SHARDS)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _combined((h for b in batches for h, _ in _sequences(b.column(0))), shards, False)
+        yield from _combined((h for b in batches for h, _ in _sequences(b.column(0))), word_shards, False)
 
     def store_words(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
@@ -241,8 +274,8 @@ def fit(texts: DataFrame, text_col: str = "text") -> Model:
 
     os.makedirs(path, exist_ok=True)
     packed = texts.mapInArrow(count_words, "shard int, packed binary")
-    stored = packed.groupBy("shard").applyInArrow(store_words, "shard int, n bigint, total bigint").collect()
-    sizes = [0] * shards
+    stored = packed.repartition(word_shards, "shard").groupBy("shard").applyInArrow(store_words, "shard int, n bigint, total bigint").collect()
+    sizes = [0] * word_shards
     for r in stored:
         sizes[r["shard"]] = r["n"]
     starts = [0, *np.cumsum(sizes).tolist()]
@@ -252,7 +285,6 @@ def fit(texts: DataFrame, text_col: str = "text") -> Model:
     if not stored:
         return model
     model.end_id = int(model.ids(np.array([END]))[0])
-    model.maps = {}
     bounds = np.array(starts)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,8 +334,8 @@ def fit(texts: DataFrame, text_col: str = "text") -> Model:
             seen = [*_of_counts(columns[4]), int((columns[4] > 2).sum())]
         return pa.table({"shard": pa.array([shard], pa.int32()), "seen": pa.array([seen], pa.list_(pa.int64()))})
 
-    pairs = texts.mapInArrow(count_pairs, "shard int, packed binary").groupBy("shard").applyInArrow(store_pairs, "shard int, packed binary")
-    stats = pairs.groupBy("shard").applyInArrow(store_stats, "shard int, seen array<bigint>").collect()
+    pairs = texts.mapInArrow(count_pairs, "shard int, packed binary").repartition(shards, "shard").groupBy("shard").applyInArrow(store_pairs, "shard int, packed binary")
+    stats = pairs.repartition(word_shards + 2, "shard").groupBy("shard").applyInArrow(store_stats, "shard int, seen array<bigint>").collect()
     of_pairs = next(r["seen"] for r in stats if r["shard"] == -1)
     of_words = np.sum([r["seen"] for r in stats if r["shard"] >= 0], axis=0)
     model.pairs = of_pairs[4]

@@ -58,6 +58,23 @@ def test_query_equals_brute_force(spark):
     assert sum(p("the", w) for w in count) + p("the", "not a word") == pytest.approx(1)
 
 
+def test_many_shards_and_few_maps_give_the_same(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = {r["doc_id"]: r["score"] for r in kn.score(docs, kn.fit(docs)).collect()}
+    monkeypatch.setattr(kn, "SHARD_BYTES", 10_000)
+    model = kn.fit(docs)
+    assert model.pair_shards > 20 and 5 < len(model.starts) - 1 < model.pair_shards
+    assert {r["doc_id"]: pytest.approx(r["score"]) for r in kn.score(docs, model).collect()} == want
+    monkeypatch.setattr(kn, "MOST_MAPS", 3)
+    texts = pa.array([r["text"] for r in docs.limit(5).collect()])
+    for token, context, _, _ in kn._id_sequences(texts, model):
+        few = kn.log_probabilities(model, token, context)[0]
+        assert len(model.maps) <= 3
+        monkeypatch.setattr(kn, "MOST_MAPS", 1_000)
+        assert (kn.log_probabilities(model, token, context)[0] == few).all()
+        monkeypatch.setattr(kn, "MOST_MAPS", 3)
+
+
 def test_odd_rows(spark):
     long = text(1, 30_000)
     rows = [(1, None, 5), (2, "", 5), (3, "  \t\n", 5), (3, "a b", 6), (None, "A  b", 7), (4, long, 8), (5, "Éa é\x00b", 9)]
