@@ -22,6 +22,7 @@ posteriors are null and rates 1.  A null id is carried through.  Other columns a
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -40,7 +41,8 @@ SAMPLE_DOCS = 1_000
 TELLING = 5.0
 #: Pull of rates towards 1: large enough that a small chance of an unwanted domain lowers a rate and does not end it.
 RIDGE = 0.05
-STEPS = 60
+#: Steps after which a solver that hasn't converged gives a warning and ends.
+STEPS = 500
 #: Rate of a document that the fit would end though its likeliest domain is wanted.
 LEAST_RATE = 1e-3
 
@@ -223,7 +225,7 @@ def _posteriors(column: pa.Array, k: int) -> np.ndarray:
 
 
 def solve(members: DataFrame, weights: np.ndarray, steps: int = STEPS, ridge: float = RIDGE, tolerance: float = 1e-4, floor: float = 0.0) -> list[np.ndarray]:
-    """The gradients of the steps; ``members`` has n_tokens and p.  Ends early when every domain's share is within tolerance of its last."""
+    """The gradients of the steps; ``members`` has n_tokens and p.  Ends when every domain's share is twice within tolerance of its last; a warning tells if ``steps`` run out before."""
     k = len(weights)
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
     gradients: list[np.ndarray] = []
@@ -244,7 +246,9 @@ def solve(members: DataFrame, weights: np.ndarray, steps: int = STEPS, ridge: fl
         now, share = sums_of[:k], np.maximum(sums_of[k:], 1e-9)
         gradients.append((now - weights) / share)
         if len(gradients) > 3 and all(np.abs((gradients[-i] - gradients[-i - 1]) * share).max() < tolerance for i in (1, 2)):
-            break
+            return gradients
+    if total:
+        warnings.warn(f"rates have not converged after {steps} steps; mixing.reached tells how near they come", stacklevel=2)
     return gradients
 
 

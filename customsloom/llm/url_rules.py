@@ -11,7 +11,8 @@ no more confident than one with either.  So a crowd of equal urls is one item, h
 
 Defined cases.  A null url, or one without ``://``, has empty host, path and tokens; it fits no given rule.  A url that no rule
 decides gets the labelled urls' most frequent verdict (allow, if there are none).  Repeated rows count each time in mining and
-are judged one by one; a null id is carried through; other columns are kept, but for those that the result adds.
+are judged one by one; a null id is carried through; other columns are kept, whatever their names, but for those that the result
+adds.  The url column is text in the result.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import math
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from customsloom.llm.common import written
+from customsloom.llm.common import free_names, written
 
 #: Given rules: verdict, host and path.  Of those that fit, the longest wins.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.8
+#: Least share of the labelled urls, least number of them, and least confidence of a mined rule.
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.005, 3, 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -100,25 +102,31 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str]] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """All rows and columns with host, path, rule (given rule or null), verdict, mined (the deciding token set or null) and confidence."""
     host, path, rest = parts(F.col(url_col))
-    rows = pages.drop("host", "path", "rule", "verdict", "mined", "confidence").select("*", host.alias("host"), path.alias("path"), rest.alias("_rest"))
+    rows = pages.withColumn(url_col, F.col(url_col).cast("string")).drop(*({"host", "path", "rule", "verdict", "mined", "confidence"} - {url_col}))
+    url, given_, tokens_, found, key = free_names(rows, "url", "given", "tokens", "found", "key")
+    rows = rows.withColumn(url, F.col(url_col)).withColumns({"host": host, "path": path, tokens_: rest})
     rule, verdict = given(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("_given"), tokens(F.col(url_col), F.col("host"), F.col("path"), F.col("_rest")).alias("_tokens")).drop("_rest")
-    labelled = written(rows.where("_given IS NOT NULL AND size(_tokens) > 0").select(F.col("_tokens").alias("tokens"), F.col("_given").alias("verdict")), "labelled")
+    rows = rows.withColumns({"rule": rule, given_: verdict, tokens_: tokens(F.col(url), F.col("host"), F.col("path"), F.col(tokens_))}).drop(url)
+    some = F.size(tokens_) > 0
+    labelled = written(rows.where(F.col(given_).isNotNull() & some).select(F.col(tokens_).alias("tokens"), F.col(given_).alias("verdict")), "labelled")
     usual = labelled.groupBy("verdict").count().orderBy(F.desc("count"), "verdict").first()
     if usual is None:
-        out = rows.withColumns({"mined": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "_found": F.lit(None).cast("string")})
+        out = rows.withColumns({"mined": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), found: F.lit(None).cast("string")})
     else:
+        total = labelled.count()
+        min_support = max(min_support, min(1.0, MIN_COUNT / total))
         items = written(alike(labelled, min_support), "items")
         held = F.coalesce(F.array_sort(F.map_keys("held")), F.array().cast("array<string>"))
         mined = mine(labelled.join(itemised(labelled, items), "tokens", "left").select(held.alias("tokens"), "verdict"), min_support, min_confidence)
-        sets = itemised(rows.where("_given IS NULL").select(F.col("_tokens").alias("tokens")), items)
-        met = sets.select(F.col("tokens").alias("_tokens"), "held", F.explode(F.map_keys("held")).alias("rarest")).join(mined, "rarest").where(F.size(F.array_except("items", F.map_keys("held"))) == 0)
+        sets = itemised(rows.where(F.col(given_).isNull() & some).select(F.col(tokens_).alias("tokens")), items)
+        met = sets.select("tokens", "held", F.explode(F.map_keys("held")).alias("rarest")).join(mined, "rarest").where(F.size(F.array_except("items", F.map_keys("held"))) == 0)
         met = met.withColumn("items", F.array_sort(F.transform("items", lambda x: F.col("held")[x])))
-        best = met.groupBy("_tokens").agg(F.max(F.struct("confidence", "support", (-F.size("items")).alias("few"), "verdict", F.array_join("items", " ").alias("mined"))).alias("b"))
-        best = best.select(F.col("_tokens").alias("_key"), F.col("b.verdict").alias("_found"), "b.mined", "b.confidence")
-        out = rows.join(best, (F.col("_tokens") == F.col("_key")) & F.col("_given").isNull(), "left").drop("_key")
-    out = out.withColumn("verdict", F.coalesce("_given", "_found", F.lit(usual["verdict"] if usual else "allow")))
-    return out.drop("_given", "_found", "_tokens")
+        best = met.groupBy("tokens").agg(F.max(F.struct("confidence", "support", (-F.size("items")).alias("few"), "verdict", F.array_join("items", " ").alias("mined"))).alias("b"))
+        best = best.select(F.col("tokens").alias(key), F.col("b.verdict").alias(found), "b.mined", "b.confidence")
+        # urls without tokens and those of a given rule meet nothing: their key is null, not one that all of them share
+        out = rows.join(best, F.when(F.col(given_).isNull() & some, F.col(tokens_)) == F.col(key), "left").drop(key)
+    out = out.withColumn("verdict", F.coalesce(given_, found, F.lit(usual["verdict"] if usual else "allow")))
+    return out.drop(given_, found, tokens_)
 
 
 def judge_pages(pages: DataFrame) -> DataFrame:

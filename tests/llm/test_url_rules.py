@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import itertools
+import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from customsloom.llm import url_rules as ur
 from tests.conftest import SF
 
@@ -46,6 +51,33 @@ def test_rules_hold_in_brute_force(spark):
         assert r["support"] == sum(v == r["verdict"] for v in held) / len(rows) and r["confidence"] == sum(v == r["verdict"] for v in held) / len(held)
 
 
+def test_verdicts_equal_those_of_all_token_sets(spark):
+    """Against every subset of a url's tokens, with support and confidence counted over the labelled urls."""
+    rng = random.Random(6)
+    urls = [f"http://{rng.choice(['good.org', 'bad.com', 'x.net', 'y.net'])}/{rng.choice('abc')}/{rng.choice('de')}" + rng.choice(["", "?k=1", "?m=1"]) for _ in range(300)]
+    pages = spark.createDataFrame([(i, u, 1, 2, 3, 4) for i, u in enumerate(urls)], "page_id bigint, url string, tokens int, given int, found int, _rest int")
+    rules = [("allow", "good.org/"), ("block", "bad.com/a/"), ("allow", "bad.com/b/")]
+    host, path, rest = ur.parts(F.col("url"))
+    sets = {r["page_id"]: r["t"] for r in pages.select("page_id", ur.tokens(F.col("url"), host, path, rest).alias("t")).collect()}
+    got = {r["page_id"]: r for r in ur.judge(pages, rules=rules, min_support=0.02, min_confidence=0.7).collect()}
+    labelled = [(frozenset(sets[i]), r["verdict"]) for i, r in got.items() if r["rule"]]
+    usual = max(sorted({v for _, v in labelled}), key=lambda v: sum(x == v for _, x in labelled))
+    least = max(3, 0.02 * len(labelled))
+    for i, r in got.items():
+        assert (r["tokens"], r["given"], r["found"], r["_rest"]) == (1, 2, 3, 4)
+        if r["rule"]:
+            continue
+        best = None
+        for n in range(1, len(sets[i]) + 1):
+            for part in itertools.combinations(sets[i], n):
+                held = [v for t, v in labelled if t.issuperset(part)]
+                for v in set(held):
+                    count = sum(x == v for x in held)
+                    if count >= least and count / len(held) >= 0.7:
+                        best = max(best or (0, 0, ""), (count / len(held), count, v))
+        assert (r["confidence"], r["verdict"]) == ((pytest.approx(best[0]), best[2]) if best else (None, usual))
+
+
 def test_every_part_of_a_url_counts(spark):
     """The fifth segment alone tells the verdict; a crowd of equal urls with many parts is one item."""
     rules = [("block", "bad.com/"), ("allow", "good.com/")]
