@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept.  All but the last return the
 columns of ``documents``; the last adds n_tokens, the domains' posteriors and each document's rate, and leaves out rate 0.
+
+Defined cases, of every stage.  Null and empty texts have no letter and go with the first stage; where the stages are called by
+themselves, near-duplicates and benchmark passages keep them, and the mix gives them the rate of an empty text.  Repeated rows
+are near-duplicates: one stays.  Null ids are carried through.  Without labelled languages every text with a letter stays, without
+items every text, without labels every text at rate 1.  Ties go to the least id.  Empty tables give empty tables.  Further columns
+are kept, but for those of the names that the last stage adds (n_tokens, p_high, p_low, p_toxic, rate), which it replaces.
 """
 
 from __future__ import annotations
