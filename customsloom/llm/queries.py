@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import corpus_pipeline
 from customsloom.llm import html_blocks, kneser_ney, license_digests, mixing, one_bit, order_minhash, ppm_language, string_tiling, url_rules, warc_zip
 from customsloom.llm.common import table
 
@@ -62,9 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_blocks": op8_html_blocks,
     "op9_order_minhash": op9_order_minhash,
     "op10_mixing": op10_mixing,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {"op4_license_digests": license_digests.oracle_sql()}
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
