@@ -13,7 +13,10 @@ PACKAGING = [
     r"\bpallet(?:s|te)?\b", r"\bpal\b", r"\bcarton(?:s)?\b", r"\bctn(?:s)?\b", r"\bbox(?:es)?\b", r"\bcrate(?:s)?\b", r"\bpackaging\b", r"\bpacking\s+material\b", r"\bwooden\s+case\b",
     r"\bwooden\s+box\b", r"^\s*(?:1\s+)?(?:pallet|carton|box|crate)\b",
 ]
-METADATA = [r"\b(?:invoice\s+no|račun\s*št|datum|date|incoterms|total|skupaj|znesek)\b", r"\b(?:terms\s+and\s+conditions|legal|warranty|garancij)\b", r"^\s*\d{17}\s*$", r"^\s*[A-HJ-NPR-Z0-9]{17}\s*$"]
+METADATA = [
+    r"\b(?:chassis|šasij|sasij|vin|serial\s+no|serijska)\b", r"\b(?:engine\s+power|motor(?:na)?\s+moč|moč\s+motorja|kw|kilowatt)\b", r"\b(?:cubic\s+capacity|working\s+volume|prostornin|cm3|ccm|cm³)\b",
+    r"\b(?:vat|ddv|davek|tax\s+id|eori|iban|swift|payment|plačil|plačilo)\b", r"\b(?:invoice\s+no|račun\s*št|datum|date|incoterms|total|skupaj|znesek)\b", r"\b(?:terms\s+and\s+conditions|legal|warranty|garancij)\b", r"^\s*\d{17}\s*$", r"^\s*[A-HJ-NPR-Z0-9]{17}\s*$",
+]
 VEHICLE = [
     r"\bvehicle\b", r"\btruck\b", r"\blorry\b", r"\bautomobile\b", r"\biveco\b", r"\bmercedes\b", r"\b\d+\s*actros\b", r"\bdaf\b", r"\bscania\b", r"\bvolvo\s+truck\b", r"\beurocargo\b",
     r"\btovorno\s+vozilo\b", r"\bkompletn", r"\bmotor\s+vehicle\b", r"\blkw\b",
@@ -115,7 +118,7 @@ def description_hash(description: Column) -> Column:
 
 def split_hierarchy(path: Column) -> tuple[Column, Column, Column]:
     """(chapter, heading, leaf) of a path joined by ``>``, lower case, empty where it is shorter."""
-    parts = F.filter(F.transform(F.split(path, ">"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(path, ">"), lambda x: F.trim(x)), lambda p: p != "")
     at = lambda i: F.lower(F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit("")))
     return at(1), F.when(F.size(parts) >= 2, at(-2)).otherwise(""), at(-1)
 

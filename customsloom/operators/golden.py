@@ -59,3 +59,12 @@ def accuracy(rows: DataFrame, category: str, correct: Column, baseline: Column)
     return rows.rollup(category).agg(
         F.count("*").alias("n"), round_up(F.avg(correct.cast("double")), 4).alias("accuracy"), round_up(F.avg(baseline.cast("double")), 4).alias("baseline_accuracy"), F.count_if(correct & ~baseline).alias("improved"), F.count_if(~correct & baseline).alias("regressed")
     )
+
+
+def live_summary(cases: DataFrame) -> DataFrame:
+    """One row of cases (success, confidence, error, used, candidates, injected, won): counts, success rate, mean confidence of successes, and rates to four digits; 0 without cases."""
+    rate = lambda c: F.coalesce(round_up(F.try_divide(F.count_if(F.coalesce(F.col(c), F.lit(False))).cast("double"), F.count("*")), 4), F.lit(0.0))
+    return cases.agg(
+        F.count("*").alias("total_cases"), F.count_if(F.coalesce(F.col("error") != "", F.lit(False))).alias("errors"), rate("success").alias("success_rate"),
+        F.coalesce(round_up(F.avg(F.when(F.col("success"), F.col("confidence"))), 4), F.lit(0.0)).alias("average_confidence"), *(rate(c).alias(f"{c}_rate") for c in ("used", "candidates", "injected", "won")),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from customsloom.functions.numbers import round_up
 from customsloom.functions.text import fold, ngrams, search_tokens
@@ -61,3 +61,39 @@ def maximal_phrases(phrases: DataFrame) -> DataFrame:
     pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     held = inner.where(pad("b.phrase").contains(pad("a.phrase"))).select(F.col("a.cn8").alias("cn8"), F.col("a.phrase").alias("phrase")).distinct()
     return phrases.join(held, ["cn8", "phrase"], "left_anti")
+
+
+#: Words that don't tell, words of trade at large, and pieces of codes of materials.  The lists are the caller's; these are small defaults.
+STOPWORDS = ("and", "for", "of", "the", "with", "in", "za", "in", "ali", "na", "pcs", "kos")
+MATERIAL = r"^(?:aisi)?\d{3}l?$|^[a-z]{1,3}\d{2,4}$"
+
+
+def phrase_verdict(phrase: Column, frequency: Column, seed_only: Column, covered: Column, markers: list[str], generic: list[str], least: int = 5, stopwords: tuple[str, ...] = STOPWORDS, material: str = MATERIAL) -> Column:
+    """Why a phrase is no candidate of the first tier, the first reason that holds; null if none does.
+
+    below_min_frequency; phrase_quality (2 to 6 words, no number first, at least two that mean something, less than half of these generic, three of them or a marker); not_industrial (no marker);
+    numeric_fragment (pieces or counts, a short first word, a pair of words that aren't both markers, numbers among fewer than four words); regression_only_frequency; taxonomy_covered.
+    """
+    named = lambda xs: F.array(*(F.lit(x) for x in xs)).cast("array<string>")
+    words = F.filter(F.split(F.lower(phrase), r"[^a-z0-9]+"), lambda x: x != "")
+    is_material = lambda x: x.rlike(material)
+    meaning = F.filter(words, lambda x: ~F.array_contains(named(stopwords), x) & ~x.rlike(r"^\d+$") & (is_material(x) | (F.length(x) >= 2)))
+    marked = F.exists(words, lambda x: F.array_contains(named(markers), x) | is_material(x))
+    n, first = F.size(meaning), F.get(words, F.lit(0))
+    generic_share = F.size(F.filter(meaning, lambda x: F.array_contains(named(generic), x))) / F.greatest(n, F.lit(1))
+    good = F.size(words).between(2, 6) & ~first.rlike(r"^\d+$") & (n >= 2) & (generic_share < 0.5) & ((n >= 3) | marked)
+    noise = F.exists(words, lambda x: x.rlike(r"^\d+[a-z]{0,2}$"))
+    pair = (F.size(words) != 2) | F.forall(words, lambda x: F.array_contains(named(markers), x))
+    tier = ~F.arrays_overlap(words, named(("pcs", "kos"))) & ((F.length(first) > 2) | is_material(first)) & pair & (~noise | (n >= 4))
+    return (
+        F.when(frequency < least, "below_min_frequency").when(~good, "phrase_quality").when(~marked, "not_industrial").when(~tier, "numeric_fragment")
+        .when(seed_only, "regression_only_frequency").when(covered, "taxonomy_covered")
+    )
+
+
+def tier_candidates(stats: DataFrame, verdict: Column, impact: Column) -> tuple[DataFrame, DataFrame]:
+    """(candidates, reasons) of phrase statistics (phrase, cn8, frequency, unique_descriptions, ...): those without a verdict, scored by frequency, uniqueness and impact; and how many each reason rejects."""
+    judged = stats.withColumn("reason", verdict)
+    score = round_up(F.col("unique_descriptions") * (1.0 + impact), 4)
+    kept = judged.where("reason IS NULL").withColumns({"uniqueness": round_up(F.col("unique_descriptions") / F.col("frequency"), 4), "score": score, "heading": F.substring("cn8", 1, 4)}).drop("reason")
+    return maximal_phrases(kept.select("cn8", "phrase", "score")).join(kept.drop("score"), ["cn8", "phrase"]), judged.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("phrases"))

@@ -120,3 +120,119 @@ def missing_fields(**fields: Column) -> Column:
 def cargo_fit(length_cm: Column, width_cm: Column, height_cm: Column) -> Column:
     """fits, restricted (too high) or special_transport (too long or wide) in a standard trailer."""
     return F.when((width_cm > 245) | (length_cm > 1360), "special_transport").when(height_cm > 270, "restricted").otherwise("fits")
+
+
+#: Codes of issues by severity, and what in a message gives an issue its code, in order.  Fixed values.
+CRITICAL_CODES = [
+    "MISSING_EXPORTER", "MISSING_CONSIGNEE", "MISSING_INVOICE_NUMBER", "MISSING_INVOICE_VALUE", "MISSING_DESTINATION", "MISSING_DESTINATION_COUNTRY", "EU_DESTINATION", "PARSER_MAPPING_FAILURE", "INVOICE_DATE_IN_FUTURE",
+    "INCONSISTENT_TOTALS", "INCONSISTENT_INVOICE_TOTAL", "TOTAL_MISMATCH", "HS_AGGREGATION_MISSING", "TRACEABILITY_MISSING", "EXTRACTION_INTEGRITY_ERROR", "INVALID_HS_FORMAT", "HS_EXTRACTION_FAILURE",
+    "INCONSISTENT_LINE_TOTALS", "POSITION_DATA_OVERWRITE_CORRUPTION", "POSITION_QTY_MISMATCH", "POSITION_UNIT_PRICE_MISMATCH", "POSITION_VALUE_MISMATCH",
+]
+WARNING_CODES = [
+    "MISSING_HS_CODE", "NO_HS_CODE", "NO_HS_CODES", "NO_HS_CODES_DETECTED", "HS_CODE_NOT_ON_INVOICE", "UNKNOWN_HS_CODE", "MISSING_GROSS_WEIGHT", "MISSING_PACKAGE_COUNT", "MISSING_INCOTERMS", "NO_INCOTERMS",
+    "TOTAL_VALUE_PARSING_ERROR", "MULTIPLE_HS_CANDIDATES_DETECTED", "EXTRACTION_LINE_COUNT_MISMATCH", "DUPLICATE_LINE_EXTRACTION", "DUPLICATE_POSITION_NUMBER_ON_INVOICE", "MISSING_POSITION_NUMBER_ON_INVOICE",
+    "POSITION_SEQUENCE_GAP", "POSITION_SEQUENCE_DUPLICATE", "MISSING_NET_WEIGHT",
+]
+INFO_CODES = ["NO_ORIGIN_DECLARATION", "ORIGIN_DECLARATION_MISSING", "ORIGIN_DECLARATION_NOT_FOUND", "ORIGIN_DECLARATION_REQUIRED", "MISSING_ORIGIN_DECLARATION", "LTSD_REFERENCED", "PROFORMA_DETECTED", "DELIVERY_NOTE_DETECTED"]
+MESSAGE_CODES = [
+    ("net weight not found|missing net weight|net shipment weight is missing", "MISSING_NET_WEIGHT"),
+    ("missing hs|no hs code|hs code.*missing|hs codes not present", "MISSING_HS_CODE"),
+    ("country of origin.*missing|missing.*country of origin|no country of origin", "MISSING_COUNTRY_OF_ORIGIN"),
+    ("destination.*missing|missing.*destination", "MISSING_DESTINATION"),
+    ("invoice value.*missing|missing.*invoice value", "MISSING_INVOICE_VALUE"),
+    ("invoice total differs significantly|total_value_parsing_error", "TOTAL_VALUE_PARSING_ERROR"),
+    ("total mismatch|total differs by more than 1%", "TOTAL_MISMATCH"),
+    ("hs codes detected on invoice but aggregation", "HS_AGGREGATION_MISSING"),
+    ("line items extracted but position traceability", "TRACEABILITY_MISSING"),
+    ("line item count differs from position rows|extraction_line_count_mismatch", "EXTRACTION_LINE_COUNT_MISMATCH"),
+    ("duplicate commercial line|duplicate_line_extraction", "DUPLICATE_LINE_EXTRACTION"),
+    ("position.*overwrite|position_data_overwrite", "POSITION_DATA_OVERWRITE_CORRUPTION"),
+    ("duplicate position number on invoice|duplicate_position_number_on_invoice", "DUPLICATE_POSITION_NUMBER_ON_INVOICE"),
+    ("missing position number on invoice|missing_position_number_on_invoice", "MISSING_POSITION_NUMBER_ON_INVOICE"),
+    ("position sequence gap|position_sequence_gap", "POSITION_SEQUENCE_GAP"),
+    ("position sequence duplicate|position_sequence_duplicate", "POSITION_SEQUENCE_DUPLICATE"),
+    ("position.*qty mismatch|position_qty_mismatch", "POSITION_QTY_MISMATCH"),
+    ("unit price mismatch|position_unit_price_mismatch", "POSITION_UNIT_PRICE_MISMATCH"),
+    ("position.*value mismatch|position_value_mismatch", "POSITION_VALUE_MISMATCH"),
+    ("duplicate position number|duplicate_position_number", "DUPLICATE_POSITION_NUMBER"),
+    ("missing position number|missing_position_number", "MISSING_POSITION_NUMBER"),
+    ("position sequence break|position_sequence_break", "POSITION_SEQUENCE_BREAK"),
+    ("aggregation traceability|aggregation_traceability", "AGGREGATION_TRACEABILITY_FAILURE"),
+    ("authorization country prefix differs|authorization_country_mismatch", "AUTHORIZATION_COUNTRY_MISMATCH"),
+    (r"hs/tariff codes are visible|hs_extraction_failure", "HS_EXTRACTION_FAILURE"),
+    ("invalid hs code", "INVALID_HS_FORMAT"),
+]
+#: Score that a document ready in all respects doesn't fall below but by minor issues; the same where only codes await classification; what a missing exporter's authorisation costs.  Fixed values.
+COMPLETE_FLOOR, CLASSIFICATION_FLOOR, UNAUTHORISED = 95, 90, 8
+#: Issues that keep a document out of the set of good ones.  Fixed values.
+GOLDEN_BLOCKS = [
+    "POSITION_FINGERPRINT_COLLISION", "HS_STYLE_MISMATCH", "COO_STYLE_MISMATCH", "DESCRIPTION_ARTIFACT", "EXTRACTION_LINE_COUNT_MISMATCH", "POSITION_QTY_MISMATCH", "POSITION_UNIT_PRICE_MISMATCH", "POSITION_VALUE_MISMATCH",
+    "POSITION_DATA_OVERWRITE_CORRUPTION", "DUPLICATE_POSITION_NUMBER", "MISSING_POSITION_NUMBER", "POSITION_SEQUENCE_BREAK", "AGGREGATION_TRACEABILITY_FAILURE",
+]
+
+
+def issue_code(code: Column, message: Column) -> Column:
+    """An issue's code, or what its message tells; null if neither does."""
+    out = F.lit(None).cast("string")
+    for pattern, name in reversed(MESSAGE_CODES):
+        out = F.when(message.rlike(f"(?i){pattern}"), name).otherwise(out)
+    return F.coalesce(F.when(F.trim(code) != "", code), out)
+
+
+def issue_severity(code: Column, kind: Column) -> Column:
+    """CRITICAL, WARNING or INFO by code, else by kind."""
+    known = lambda codes: F.coalesce(code.isin(codes), F.lit(False))
+    return F.when(known(CRITICAL_CODES), "CRITICAL").when(known(WARNING_CODES), "WARNING").when(known(INFO_CODES) | (kind == "info"), "INFO").when(kind == "error", "CRITICAL").when(kind == "warning", "WARNING").otherwise("INFO")
+
+
+def adjusted_readiness(issues: DataFrame, documents: DataFrame, key: str = "invoice_id", base: float = 100.0) -> DataFrame:
+    """Readiness with its floors, from issues (key, code, kind, critical) and documents (key, declared, eur1, authorised, codes, export_ready, confirmed, foundation, only_classification).
+
+    The penalty of each distinct code, 8 points for a declaration with an advised EUR.1 without authorisation; a document without a critical issue that has codes, is ready for export and
+    of confirmed origin keeps 95 less its minor penalties, one of whom only codes await classification 90.  Between 0 and 100.
+    """
+    blocker = F.col("critical") & F.col("kind").isin("error", "warning")
+    each = issues.groupBy(key, "code").agg(F.max(penalty(F.col("kind"), F.col("critical"))).alias("cost"))
+    costs = each.groupBy(key).agg(F.sum("cost").alias("_costs"))
+    minor = issues.groupBy(key).agg(F.max(blocker).alias("_blocked"), F.sum(F.when(~blocker & (F.col("kind") != "info"), penalty(F.col("kind"), F.col("critical"))).otherwise(0)).alias("_minor"))
+    rows = documents.join(costs, key, "left").join(minor, key, "left").fillna(0, ["_costs", "_minor"]).withColumn("_blocked", F.coalesce("_blocked", F.lit(False)))
+    score = base - F.col("_costs") - F.when(F.col("declared") & F.col("eur1") & ~F.col("authorised"), UNAUTHORISED).otherwise(0)
+    whole = ~F.col("_blocked") & (F.col("codes") > 0) & F.col("export_ready") & F.col("confirmed")
+    score = F.when(whole, F.greatest(score, COMPLETE_FLOOR - F.col("_minor"))).otherwise(score)
+    waiting = F.col("foundation") & (F.col("codes") == 0) & F.col("only_classification")
+    score = F.when(waiting, F.greatest(score, F.lit(float(CLASSIFICATION_FLOOR)))).otherwise(score)
+    return rows.select(key, rounded(clamp(score)).alias("readiness_score"))
+
+
+def without_resolved(issues: DataFrame, resolved: DataFrame, key: str = "invoice_id") -> DataFrame:
+    """Issues (key, code) but those that a document's state resolves (key, code)."""
+    return issues.join(resolved.select(key, "code").distinct(), [key, "code"], "left_anti")
+
+
+def top_reasons(own: Column, issue_messages: Column, missing: Column, limit: int = 3) -> Column:
+    """The first reasons: the verdict's own, else the distinct messages of issues, else the first missing field; arrays."""
+    filled = F.filter(own, lambda x: (F.trim(x) != "") & (x != "Required declaration data available"))
+    messages = F.array_distinct(F.filter(F.transform(issue_messages, lambda x: F.trim(x)), lambda x: x != ""))
+    first = F.slice(F.transform(F.filter(missing, lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("Missing: "), F.trim(x))), 1, 1)
+    return F.when(F.size(filled) > 0, F.slice(filled, 1, limit)).when(F.size(messages) > 0, F.slice(messages, 1, limit)).otherwise(first)
+
+
+def golden_gate(lines: DataFrame, issues: DataFrame, documents: DataFrame, key: str = "invoice_id") -> DataFrame:
+    """(key, failures) of documents (key, source_lines): sorted codes of what keeps them out of the set of good ones; lines have quantity and line_total."""
+    positive = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    own = lines.groupBy(key).agg(F.count("*").alias("_lines"), F.max(~positive("quantity") & positive("line_total")).alias("_q"), F.max(positive("quantity") & ~positive("line_total")).alias("_v"))
+    blocks = issues.where(F.col("code").isin(GOLDEN_BLOCKS)).groupBy(key).agg(F.collect_set("code").alias("_codes"))
+    rows = documents.join(own, key, "left").join(blocks, key, "left")
+    differs = (F.col("source_lines") > 0) & (F.coalesce("_lines", F.lit(0)) != F.col("source_lines"))
+    found = F.array_compact(F.array(F.when(F.col("_q"), "ZERO_QTY_WITH_VALUE"), F.when(F.col("_v"), "ZERO_VALUE_WITH_QTY"), F.when(differs, "EXTRACTION_LINE_COUNT_MISMATCH")))
+    return rows.select(key, F.array_sort(F.array_distinct(F.concat(found, F.coalesce("_codes", F.array().cast("array<string>"))))).alias("failures"))
+
+
+def surfaces(key: str, **tables: DataFrame) -> DataFrame:
+    """(key, field, shown, names): fields that surfaces (each key, field, value) show in different ways, with all values and the surfaces in order of name."""
+    every = None
+    for name in sorted(tables):
+        part = tables[name].select(key, "field", F.col("value").cast("string").alias("value"), F.lit(name).alias("surface")).where("value IS NOT NULL")
+        every = part if every is None else every.unionByName(part)
+    both = every.groupBy(key, "field").agg(F.count_distinct("value").alias("n"), F.array_sort(F.collect_list(F.struct("surface", "value"))).alias("all")).where("n > 1")
+    return both.select(key, "field", F.array_join(F.transform("all", lambda x: x["value"]), "|").alias("shown"), F.array_join(F.transform("all", lambda x: x["surface"]), "|").alias("names"))
