@@ -102,16 +102,15 @@ def hinted(scores: DataFrame, hints: DataFrame, prior: bool = False) -> DataFram
 
 def penalised(score: Column, rules: list[tuple[Column, float]]) -> Column:
     """Multiplies by the factor of each rule that holds, in order."""
-    for rule, factor in rules:
-        score = F.when(F.coalesce(rule, F.lit(False)), score * factor).otherwise(score)
-    return score
+    return tuned(score, [(rule, "times", factor) for rule, factor in rules])
 
 
 def tuned(score: Column, steps: list[tuple[Column, str, float]]) -> Column:
-    """Adds or multiplies step by step; order matters."""
-    for rule, kind, value in steps:
-        score = F.when(F.coalesce(rule, F.lit(False)), score + value if kind == "add" else score * value).otherwise(score)
-    return score
+    """Adds or multiplies step by step; order matters.  One fold over the steps, which grows with their number alone."""
+    if not steps:
+        return score
+    each = F.array(*(F.struct(F.coalesce(rule, F.lit(False)).alias("holds"), F.lit(1.0 if kind == "add" else float(value)).alias("times"), F.lit(float(value) if kind == "add" else 0.0).alias("plus")) for rule, kind, value in steps))
+    return F.aggregate(F.filter(each, lambda s: s["holds"]), score.cast("double"), lambda x, s: x * s["times"] + s["plus"])
 
 
 def universal_layers(family: Column, heading: Column, chapter: Column, keyword: Column) -> Column:

@@ -241,22 +241,43 @@ def origin_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("invoice_id", "scheme", evidence.alias("evidence"), case.alias("case_id"))
 
 
-@query(f"""WITH {LINES}, t AS (SELECT invoice_id, position, invoice_id % 4 AS m FROM lines)
-  SELECT invoice_id, position, CASE m WHEN 0 THEN CASE WHEN position IN (2, 4, 5) THEN 'NO' ELSE 'UNKNOWN' END WHEN 1 THEN 'YES' WHEN 2 THEN CASE WHEN position IN (1, 3) THEN 'YES' ELSE 'NOT_DECLARED' END ELSE 'UNKNOWN' END AS preference, count(*) AS n FROM t GROUP BY ALL""")
+#: Declarations, and what they say of lines: by position, and else.
+_SAID = [
+    ("EUR.1 enclosed except positions 2, 4 and 5.", {2: "NO", 4: "NO", 5: "NO"}, "UNKNOWN"),
+    ("EUR.1 enclosed for all positions except 3 and 6", {3: "NO", 6: "NO"}, "YES"),
+    ("All products on this invoice are of EU preferential origin.", {}, "YES"),
+    ("Positions 1 and 3 are of EU preferential origin.", {1: "YES", 3: "YES"}, ""),
+    ("Origin as stated except where otherwise indicated.", {}, "UNKNOWN"),
+    ("The exporter of the products covered by this document (customs authorisation no SI/12/34) declares that they are of preferential origin.", {}, "YES"),
+    ("The exporter of the products covered by this document declares that, except where otherwise clearly indicated, these goods have preferential origin.", {}, "YES"),
+    ("Articles, which are not marked with sign (*) have no preferential origin.", {2: "YES", 4: "YES", 6: "YES"}, "NO"),
+    ("LTSD on file.", {}, "UNKNOWN"), ("Manufacturer's declaration attached.", {}, "UNKNOWN"), ("Authorised exporter REX No 5", {}, ""), ("Nothing is said.", {}, ""),
+    ("Preferential origin declaration applies to all goods except positions 1 and 2", {1: "NO", 2: "NO"}, "YES"),
+]
+
+
+@query(f"""WITH {LINES}, s(m, position, said) AS (VALUES {", ".join(f"({m}, {p}, '{by.get(p) or other or ('NOT_DECLARED' if p != 7 else 'UNKNOWN')}')" for m, (_, by, other) in enumerate(_SAID) for p in range(1, 8))})
+  SELECT invoice_id, l.position, said AS preference, count(*) AS n FROM lines l JOIN s ON l.invoice_id % {len(_SAID)} = m AND l.position = s.position GROUP BY 1, 2, 3""")
 def line_preference_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("invoice_id") % 4
-    corpus = (
-        F.when(m == 0, "EUR.1 covers all goods except positions 2 and 4-5.")
-        .when(m == 1, "All products on this invoice are of EU preferential origin.")
-        .when(m == 2, "Positions 1 and 3 are of EU preferential origin.")
-        .otherwise("Origin as stated except where otherwise indicated.")
-    )
-    rows = lines(spark, sf_dir).select("invoice_id", "position", origin.line_preference(F.col("position"), corpus).alias("preference"))
+    """Even positions are marked with an asterisk; the country of position 7 isn't known."""
+    corpus = F.get(F.array(*(F.lit(t) for t, *_ in _SAID)), (F.col("invoice_id") % len(_SAID)).cast("int"))
+    rows = lines(spark, sf_dir).withColumns({"country": F.when(F.col("position") != 7, F.col("country")), "description": F.when(F.col("position") % 2 == 0, F.concat("description", F.lit(" *"))).otherwise(F.col("description"))})
+    rows = rows.select("invoice_id", "position", origin.line_preference(F.col("position"), corpus, F.col("country"), F.col("description")).alias("preference"))
     return rows.groupBy("invoice_id", "position", "preference").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT conv_id, count(*) AS turns, count(*) FILTER (regexp_matches(lower(text), 'transport|freight|shipping|courier')) AS service_like, count(*) FILTER (length(trim(text)) < 4) AS metadata FROM conversations GROUP BY 1""")
+_NO_GOODS = ["transport", "freight charge", "2 pallets", "invoice no 7", "VIN 1"]
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, CASE turn % 6 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_NO_GOODS))} ELSE 'steel bolt ' || turn END AS x FROM conversations)
+  SELECT conv_id, count(*) AS turns, count(*) FILTER (x IN ('transport', 'freight charge')) AS services, count(*) FILTER (x = '2 pallets') AS packings, count(*) FILTER (x IN ('invoice no 7', 'VIN 1')) AS metadata,
+    coalesce(string_agg(x, chr(10) ORDER BY turn, x) FILTER (x LIKE 'steel%'), '') AS goods FROM t GROUP BY 1""")
 def line_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of the lines of a text corpus; invented words hold none of the words of services as parts, so both sides count the same."""
-    rows = table(spark, sf_dir, "conversations").withColumn("kind", text.line_type(F.col("text")))
-    return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("kind") == "SERVICE").alias("service_like"), F.count_if(F.length(F.trim("text")) < 4).alias("metadata"))
+    """Kinds of the lines of texts, and the texts without what is no goods."""
+    n = F.col("turn")
+    line = F.coalesce(F.get(F.array(*(F.lit(x) for x in _NO_GOODS)), (n % 6).cast("int")), F.concat(F.lit("steel bolt "), n.cast("string")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", n, line.alias("x"))
+    kind = text.line_type(F.col("x"))
+    corpus = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda r: r["x"]), "\n")
+    counts = rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(kind == "SERVICE").alias("services"), F.count_if(kind == "PACKAGING").alias("packings"), F.count_if(text.is_metadata(F.col("x"))).alias("metadata"), corpus.alias("corpus"))
+    return counts.withColumn("goods", text.commercial_lines(F.col("corpus"))).drop("corpus")

@@ -195,3 +195,36 @@ def maximal_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = part.groupBy(F.col("p_type").alias("cn8"), F.col("p_name").alias("phrase")).agg(F.count("*").cast("double").alias("score"))
     word = part.groupBy(F.col("p_type").alias("cn8"), F.try_element_at(F.split("p_name", " "), F.lit(2)).alias("phrase")).agg(F.min("p_size").cast("double").alias("score"))
     return mining.maximal_phrases(whole.unionByName(word))
+
+
+@query(f"""WITH {_FOUND.replace('sum(weight) AS w,', 'CAST(count(*) AS DOUBLE) AS w,').replace('sum(abs(score) * weight)', 'sum(abs(score))').replace("THEN weight ELSE 0.0::DOUBLE END", "THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")}
+  SELECT query_id, cn8, match_count, {_r('confidence', 3)} AS confidence FROM found""")
+def evidence_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from customsloom.functions.numbers import round_up
+
+    own = declarations(spark, sf_dir).select("id", "cn8", "heading", "weight", "country")
+    found = search.evidence(_hits(spark, sf_dir).join(own, "id"), "EN", weighted=False)
+    return found.select("query_id", "cn8", "match_count", round_up(F.col("confidence"), 3).alias("confidence"))
+
+
+@query(f"""WITH {DECLARATIONS}, n AS (SELECT id AS cn8, description AS t FROM declarations), d AS (SELECT cn8, {_TOKENS.format(x='t', n=4)} AS w FROM n), st AS (SELECT count(*) AS total, avg(len(w)) AS mean FROM d), v AS (SELECT DISTINCT unnest(w) AS term FROM d),
+  k AS (SELECT item_id AS query_id, unnest({_TOKENS.format(x='text', n=4)}[1:16]) AS token FROM benchmark), q AS (SELECT DISTINCT query_id, term FROM k JOIN v ON starts_with(term, token)),
+  p AS (SELECT cn8, length, term, count(*) AS tf FROM (SELECT cn8, len(w) AS length, unnest(w) AS term FROM d) JOIN (SELECT DISTINCT term FROM q) USING (term) GROUP BY 1, 2, 3), f AS (SELECT term, count(*) AS n FROM p GROUP BY 1),
+  i AS (SELECT term, mean, greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6) AS idf FROM f, st), s AS (SELECT query_id, cn8, {_r('sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)))', 6)} AS score FROM q JOIN p USING (term) JOIN i USING (term) GROUP BY 1, 2)
+  SELECT query_id, cn8, {_r('score', 3)} AS score, substr(t, 1, 12) AS starts FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cn8) AS rank FROM s) JOIN n USING (cn8) WHERE rank <= 10""")
+def nomenclature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 words of each benchmark item, as beginnings of words, over declarations as a nomenclature."""
+    from customsloom.functions.numbers import round_up
+
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    known = declarations(spark, sf_dir).select(F.col("id").alias("cn8"), F.col("description").alias("text"))
+    return search.nomenclature_search(asked, known, 10).select("query_id", "cn8", round_up(F.col("score"), 3).alias("score"), F.substring("text", 1, 12).alias("starts"))
+
+
+@query(f"""WITH {_FOUND}, fc AS (SELECT * REPLACE (least(0.99, confidence * 12) AS confidence, match_count * 15 AS match_count) FROM found), c AS (SELECT *, heading < '0050' AS low FROM fc WHERE match_count >= 2 AND confidence >= 0.35 AND heading NOT IN ('0010', '0020')), sp AS (SELECT *, bool_or(low) OVER (PARTITION BY query_id) AS anylow FROM c)
+  SELECT query_id, cn8, match_count > 20 AND confidence > 0.85 AS strong FROM sp WHERE low OR NOT anylow""")
+def knowledge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of enough declarations in no blocked heading, within a query's space or all of them if none is; and which of them are strong."""
+    surer = _found(spark, sf_dir).withColumns({"confidence": F.least(F.lit(0.99), F.col("confidence") * 12), "match_count": F.col("match_count") * 15})  # as if of a larger history
+    kept = search.knowledge_candidates(surer, blocked=["0010", "0020"])
+    return search.in_space_or_all(kept, F.col("heading") < "0050").select("query_id", "cn8", search.strong(F.col("match_count"), F.col("confidence")).alias("strong"))

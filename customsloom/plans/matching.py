@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from customsloom.functions import text as texts_
-from customsloom.operators import codes, matching, mining
+from customsloom.operators import codes, matching, mining, ranking, tuning
 from customsloom.operators.matching import Rule
 from customsloom.plans.bindings import code_of, table
 from customsloom.plans.registry import query
@@ -193,3 +193,33 @@ def tier_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = mining.phrase_verdict(F.col("phrase"), F.col("frequency"), F.col("unique_descriptions") == 1, F.col("phrase").startswith("ball bearing"), ["hydraulic", "bearing", "valve", "cylinder"], ["goods", "item", "steel"])
     kept, _ = mining.tier_candidates(stats, verdict, F.lit(0.5))
     return stats.select("cn8", "phrase", verdict.alias("reason")).join(kept.select("cn8", "phrase", "score"), ["cn8", "phrase"], "left")
+
+
+#: (terms, families, heading, description, score of 10 by the query's terms, by the families of clothes, within headings by family)
+_TUNED = [
+    ("pellet", "", "9306", "cartridges and revolvers", 10 * 1.35 * 1.2 * 0.55, 10, 10), ("pellet rifle", "", "9306", "cartridges", 10 * 1.35 * 1.2, 10, 10), ("pellets", "", "9304", "guns", 1.2, 10, 10), ("ibuprofen", "", "2941", "x", 1.5, 10, 10), ("ibuprofen", "", "3004", "x", 10, 10, 10),
+    ("motor servo", "electric_motor", "8501", "dc motor", 14.5, 10, (10 + 10.5) * 1.35 * 1.4), ("motor", "electric_motor", "8708", "axle", 10, 10, 0.4), ("chair office", "furniture_office_chair", "9401", "seat", 14, 10, 16.5), ("chair", "furniture_cabinet", "9402", "x", 10, 10, 0.4), ("pen", "stationery_pen", "9608", "refill; refills for ballpoint, liquid ink", 10 * 0.06 * 1.35, 10, 0.6),
+    ("refill ink", "stationery_pen_refill", "9608", "refill", 14, 10, 14), ("cartridge toner", "office_printer_consumable", "3215", "ink", 14.5, 10, 18.75), ("ups", "ups", "8504", "exceeding 500 kva", 14, 10, 1), ("x", "apparel_tshirt_mens", "6109", "x", 10, 17, 10), ("x", "apparel_tshirt_mens", "6106", "x", 10, 1.2, 10), ("x", "apparel_polo_mens", "6110", "x", 10, 17, 10),
+    ("woven", "apparel_trousers_mens", "6103", "x", 10, 0.5, 10), ("x", "apparel_trousers_mens", "6204", "x", 10, 0.6, 10), ("x", "silicone_sealant", "3214", "x", 10, 10, 24.9), ("x", "furniture_fittings", "8302", "hinge", 10, 10, 27.54), ("x", "pressure_sensor", "9026", "flow meter", 10, 10, 2.8), ("x", "", "0101", "x", 10, 10, 10),
+]
+
+
+@query(f"""SELECT o_orderkey AS id, CAST(round(a, 4) AS DOUBLE) AS by_terms, CAST(round(b, 4) AS DOUBLE) AS by_clothes, CAST(round(c, 4) AS DOUBLE) AS by_family FROM orders JOIN {_values([(i, float(a), float(b), float(c)) for i, (*_, a, b, c) in enumerate(_TUNED)], 'i, a, b, c')} ON o_orderkey % {len(_TUNED)} = i""")
+def score_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    cases = F.array(*(F.struct(F.split(F.lit(t), " ").alias("terms"), F.split(F.lit(f), " ").alias("families"), F.lit(h).alias("heading"), F.lit(d).alias("says")) for t, f, h, d, *_ in _TUNED))
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.get(cases, (k % len(_TUNED)).cast("int")).alias("c")).select("id", "c.*")
+    tuned = lambda steps: F.round(tuning.applied(F.lit(10.0), steps, F.col("terms"), F.col("families"), F.col("heading"), F.col("says")), 4)
+    return rows.select("id", tuned(tuning.QUERY_STEPS).alias("by_terms"), tuned(tuning.APPAREL_STEPS).alias("by_clothes"), tuned(tuning.FAMILY_STEPS).alias("by_family"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, ['8701', '8703', '8704', '8716', '8501'][CAST(o_orderkey % 5 + 1 AS INTEGER)] AS h, ['tractor_unit', 'goods_vehicle', 'passenger_vehicle', 'trailer'][CAST(o_orderkey % 4 + 1 AS INTEGER)] AS f, o_orderkey % 3 AS c FROM orders)
+  SELECT id, CAST(round(CASE WHEN h = '8501' THEN 10 * 0.04 ELSE (20 + CASE WHEN h = '8703' THEN 7 ELSE 0 END) * CASE c WHEN 0 THEN 1.3 WHEN 1 THEN 1.2 ELSE 1.0 END * CASE WHEN f = 'goods_vehicle' AND h IN ('8704', '8701') THEN 1.15 WHEN f = 'tractor_unit' AND h = '8701' THEN 1.2 WHEN f = 'passenger_vehicle' AND h = '8703' THEN 1.25 WHEN f = 'trailer' AND h = '8716' THEN 1.3 ELSE 1.0 END END, 4) AS DOUBLE) AS score,
+    CASE WHEN h = '8501' THEN 10.0::DOUBLE ELSE 80.0::DOUBLE END + CASE WHEN c = 0 THEN 30 ELSE 0 END AS layers FROM o""")
+def vehicle_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    pick = lambda xs: F.get(F.array(*(F.lit(x) for x in xs)), (k % len(xs)).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), pick(["8701", "8703", "8704", "8716", "8501"]).alias("h"), pick(["tractor_unit", "goods_vehicle", "passenger_vehicle", "trailer"]).alias("f"), pick(["used", "new", "other"]).alias("c"))
+    score = tuning.vehicle(F.lit(10.0), F.array("f"), F.col("h"), F.array(F.lit("8703")), F.col("c"), F.concat(F.col("c"), F.lit(" lorry")))
+    layers = ranking.universal_layers(F.col("h") != "8501", F.col("c") == "used", F.col("h").startswith("87"), F.lit(True))
+    return rows.select("id", F.round(score, 4).alias("score"), layers.alias("layers"))
