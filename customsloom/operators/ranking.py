@@ -32,27 +32,30 @@ def weighted_terms(phrases: DataFrame) -> DataFrame:
 
 
 def term_sets(terms: DataFrame, hints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(query_id, set_id, focus) of each query, and (set_id, asked: array of term and weight, hints: all that queries of the set have)."""
+    """(query_id, set_id, focus) of each query, and (set_id, asked: array of term and weight, hints: all that queries of the set have).
+
+    A set's id is a 64-bit hash of its terms and weights.
+    """
     asked = F.array_sort(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))))
     own = terms.groupBy("query_id").agg(asked.alias("asked"), F.count_if(F.col("weight") >= FOCUS).cast("int").alias("focus"))
-    own = own.withColumn("set_id", F.md5(F.to_json("asked")))
+    own = own.withColumn("set_id", F.xxhash64("asked"))
     if hints is None:
         return own.select("query_id", "set_id", "focus"), own.groupBy("set_id").agg(F.first("asked").alias("asked")).withColumn("hints", F.array().cast("array<string>"))
     named = own.join(hints.select("query_id", "hint").distinct(), "query_id", "left")
     return own.select("query_id", "set_id", "focus"), named.groupBy("set_id").agg(F.first("asked").alias("asked"), F.collect_set("hint").alias("hints"))
 
 
-def co_factor(terms: Column, words: Column, rules: list[tuple[tuple[str, ...], tuple[str, ...]]] = CO_TERMS) -> Column:
-    """MISSING_CO for each distinct set of wanted words that the query's terms call for and the candidate's words lack."""
+def with_co_match(scored: DataFrame, sets: DataFrame, words: DataFrame, rules: list[tuple[tuple[str, ...], tuple[str, ...]]] = CO_TERMS) -> DataFrame:
+    """Scores (set_id, cn8, score) times MISSING_CO for each list of wanted words that the set's terms call for and the candidate has none of."""
     named = lambda xs: F.array(*(F.lit(x) for x in xs))
-    out = F.lit(1.0)
-    for wanted in dict.fromkeys(w for _, w in rules):
-        calls = [F.size(F.array_except(named(when), terms)) == 0 for when, w in rules if w == wanted]
-        called = calls[0]
-        for c in calls[1:]:
-            called = called | c
-        out = out * F.when(called & ~F.arrays_overlap(words, named(wanted)), MISSING_CO).otherwise(1.0)
-    return out
+    wanted = list(dict.fromkeys(w for _, w in rules))
+    calls = [F.when(F.size(F.array_except(named(when), F.col("asked.term"))) == 0, F.lit(wanted.index(w))) for when, w in rules]
+    called = sets.select("set_id", F.array_distinct(F.array_compact(F.array(*calls))).alias("called")).where(F.size("called") > 0)
+    has = [F.when(F.col("term").isin(list(w)), F.lit(i)) for i, w in enumerate(wanted)]
+    held = words.select("cn8", F.explode(F.array_compact(F.array(*has))).alias("i")).groupBy("cn8").agg(F.collect_set("i").alias("has"))
+    missing = F.size(F.array_except("called", F.coalesce("has", F.array().cast("array<int>"))))
+    factor = F.when(F.col("called").isNotNull(), F.pow(F.lit(MISSING_CO), missing)).otherwise(1.0)
+    return scored.join(called, "set_id", "left").join(held, "cn8", "left").withColumn("score", round_up(F.col("score") * factor, 6)).drop("called", "has")
 
 
 def best(terms: DataFrame, words: DataFrame, hints: DataFrame | None, keep: int) -> DataFrame:
@@ -61,32 +64,31 @@ def best(terms: DataFrame, words: DataFrame, hints: DataFrame | None, keep: int)
     terms: (query_id, term, weight); words: (cn8, layer, term); hints: (query_id, hint), a hint being a chapter or a heading.
     A term counts by the weight of its best layer; a hinted chapter adds 4 and a hinted heading 5 points.
 
-    Queries of equal terms are scored once.  A set of terms meets a code at their least common term, so that each pair is
-    scored in one place and needs no aggregation.  A hint lifts all codes of its chapter or heading alike: what is among the best
+    Queries of equal terms are scored once: a set of terms meets codes at equal terms, and codes are dealt out by their number, so
+    that pairs are summed where they arise.  A hint lifts all codes of its chapter or heading alike: what is among the best
     of a query is among the best of its set of terms, at large or within a hinted chapter or heading.  So only ``keep`` codes of
     each of these leave the map side (a window that Spark limits before the exchange).
     """
     layer = F.when(F.col("layer") == "cn8", LAYERS["cn8"]).when(F.col("layer") == "heading", LAYERS["heading"]).otherwise(LAYERS["chapter"])
-    factors = words.groupBy("cn8", "term").agg(F.max(layer).alias("factor")).groupBy("cn8").agg(F.map_from_entries(F.collect_list(F.struct("term", "factor"))).alias("factors"))
+    factors = words.groupBy("cn8", "term").agg(F.max(layer).alias("factor"))
     codes = factors.repartition(2 * words.sparkSession.sparkContext.defaultParallelism, "cn8")  # few bytes, much work
-    codes = codes.select("*", F.explode(F.map_keys("factors")).alias("at"))
     queries, sets = term_sets(terms, hints)
-    asked = sets.select("*", F.explode("asked.term").alias("at"))
-    pairs = codes.join(asked, "at").withColumn("met", F.array_intersect("asked.term", F.map_keys("factors"))).where(F.col("at") == F.array_min("met"))
-    gain = F.aggregate("asked", F.lit(0.0), lambda s, t: s + t["weight"] * F.coalesce(F.try_element_at(F.col("factors"), t["term"]), F.lit(0.0)))
-    scored = pairs.select("set_id", "cn8", round_up(gain * co_factor(F.col("asked.term"), F.map_keys("factors")), 6).alias("score"), F.size("met").cast("bigint").alias("terms"), "hints")
-    spaces = F.concat(F.array(F.lit("")), F.array_intersect(F.array(F.substring("cn8", 1, 2), F.substring("cn8", 1, 4)), F.col("hints")))
-    # at large only what reaches the floor by itself; hinted codes may reach it by their hint
-    each = scored.select("set_id", "cn8", "score", "terms", F.explode(spaces).alias("space")).where((F.col("space") != "") | (F.col("score") >= FLOOR))
+    asked = sets.select("set_id", F.inline("asked"))
+    scored = codes.join(asked, "term").groupBy("set_id", "cn8").agg(round_up(F.sum(F.col("weight") * F.col("factor")), 6).alias("score"), F.count("*").alias("terms"))
+    scored = with_co_match(scored, sets, words)
+    if hints is None:
+        each = scored.where(F.col("score") >= FLOOR).withColumn("space", F.lit(""))
+    else:
+        spaces = F.concat(F.array(F.lit("")), F.array_intersect(F.array(F.substring("cn8", 1, 2), F.substring("cn8", 1, 4)), F.col("hints")))
+        # at large only what reaches the floor by itself; hinted codes may reach it by their hint
+        each = scored.join(sets.select("set_id", "hints"), "set_id").select("set_id", "cn8", "score", "terms", F.explode(spaces).alias("space")).where((F.col("space") != "") | (F.col("score") >= FLOOR))
     top = each.withColumn("k", F.row_number().over(Window.partitionBy("set_id", "space").orderBy(F.desc("score"), "cn8"))).where(F.col("k") <= keep).drop("k")
     if hints is None:
         met = queries.join(top, "set_id").select("query_id", "cn8", "score", "terms", "focus").withColumn("prior", F.lit(False))
     else:
         own = queries.select("query_id", "set_id", "focus", F.lit("").alias("space")).unionAll(queries.join(hints.select("query_id", "hint").distinct(), "query_id").select("query_id", "set_id", "focus", "hint"))
-        met = own.join(top, ["set_id", "space"])
-        met = met.groupBy("query_id", "cn8").agg(*(F.first(c).alias(c) for c in ("score", "terms", "focus")), F.max(F.length("space") == 2).alias("chapter"), F.max(F.length("space") == 4).alias("prior"))
-        # a code that came by one space alone may have the other hint, too: hinted() adds both
-        met = hinted(met.drop("chapter", "prior"), hints, prior=True)
+        met = own.join(top, ["set_id", "space"]).select("query_id", "cn8", "score", "terms", "focus").distinct()
+        met = hinted(met, hints, prior=True)
     rank_ = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cn8"))
     return met.where(F.col("score") >= FLOOR).withColumn("k", rank_).where(F.col("k") <= keep).drop("k")
 
