@@ -43,9 +43,12 @@ def segments(points: DataFrame, route: str = "route_id", order: str = "ord", lat
 def resample(legs: DataFrame, step_km: float, route: str = "route_id") -> DataFrame:
     """route, sample, distance_km and midpoint of the stretches of ``step_km`` that a route falls into."""
     totals = legs.groupBy(route).agg(F.max("end_km").alias("total_km"))
-    samples = totals.select(route, "total_km", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("total_km") / step_km) - 1, F.lit(0)).cast("int"))).alias("sample"))
+    last = F.greatest(F.ceil(F.col("total_km") / step_km) - 1, F.lit(0)).cast("int")
+    # the stretches whose middle may lie on a leg, leg by leg
+    low, high = F.greatest(F.floor(F.col("start_km") / step_km) - 1, F.lit(0)).cast("int"), F.least(last, (F.floor(F.col("end_km") / step_km)).cast("int"))
+    samples = legs.join(totals, route).withColumn("sample", F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high)))))
     samples = samples.withColumn("distance_km", F.least(F.lit(step_km), F.col("total_km") - F.col("sample") * step_km)).withColumn("at_km", F.col("sample") * step_km + F.col("distance_km") / 2)
-    hits = samples.join(legs, route).where("at_km >= start_km AND at_km <= end_km")
+    hits = samples.where("at_km >= start_km AND at_km <= end_km")
     first = hits.groupBy(route, "sample").agg(F.min(F.struct("seg", "distance_km", "at_km", "start_km", "end_km", "lat1", "lon1", "lat2", "lon2")).alias("h")).select(route, "sample", "h.*")
     ratio = (F.col("at_km") - F.col("start_km")) / (F.col("end_km") - F.col("start_km"))
     return first.select(route, "sample", "distance_km", (F.col("lat1") + (F.col("lat2") - F.col("lat1")) * ratio).alias("lat"), (F.col("lon1") + (F.col("lon2") - F.col("lon1")) * ratio).alias("lon"))

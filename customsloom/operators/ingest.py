@@ -42,7 +42,8 @@ def classify(rows: DataFrame, normaliser: Callable[[Column], Column] = tariff.cn
         .when((F.length("description") < 3) | (F.lower("description") == "nan"), "empty_description")
         .when(F.col("export_code").isNull() | F.col("import_code").isNull(), "invalid_countries")
     )
-    key = [F.coalesce("_reason", F.lit("")), F.col("export_code"), F.col("import_code"), F.col("cn8"), F.col("description_normalized"), F.round("net_mass_kg", 3)]
+    key = [F.when(F.col("_reason").isNotNull(), F.col("idx")), F.col("export_code"), F.col("import_code"), F.col("cn8"), F.col("description_normalized"), F.round("net_mass_kg", 3)]
+    # rejected rows are told apart by their order: else those without any field would meet in one task
     out = out.withColumn("_reason", reason).withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy("idx")))
     return out.withColumn("reject_reason", F.coalesce("_reason", F.when(F.col("_at") > 1, "duplicate"))).drop("_reason", "_at", "_header")
 

@@ -111,13 +111,21 @@ def trace_stages(lines: int, key: str = "invoice_id", **stages: DataFrame) -> Da
 
 
 def dice_pairs(rows: DataFrame, block: list[str], id_col: str, text_col: str, least: float = 0.95) -> DataFrame:
-    """Pairs of similar texts that agree in the ``block`` columns; texts of equal form meet once, so copies aren't paired."""
-    from customsloom.functions.text import dice, squeezed
+    """Pairs of similar texts that agree in the ``block`` columns; texts of equal form meet once, so copies aren't paired.
+
+    Similar texts share at least ``least`` / (2 - ``least``) of the letter pairs of either, and one that holds another shares all of
+    the other's.  So every text is met by its rarest letter pairs alone, as many as it could lack and one, among all letter pairs
+    of the others; what meets is compared.
+    """
+    from customsloom.functions.text import bigrams, dice, squeezed
 
     distinct = rows.select(*block, squeezed(F.col(text_col)).alias("text"), F.col(id_col).alias("id")).groupBy(*block, "text").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    x, y = distinct.alias("x"), distinct.alias("y")
-    same = F.lit(True)
-    for b in block:
-        same = same & (F.col(f"x.{b}") == F.col(f"y.{b}"))
-    pairs = x.join(y, same & (F.col("x.id") < F.col("y.id"))).select(*(F.col(f"x.{b}").alias(b) for b in block), F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), dice(F.col("x.text"), F.col("y.text")).alias("similarity"))
-    return pairs.where(F.col("similarity") >= least)
+    held = distinct.select(*block, "id", F.explode(bigrams(F.col("text"))).alias("pair"))
+    common = held.groupBy(*block, "pair").agg(F.count("*").alias("n"))
+    own = Window.partitionBy(*block, "id")
+    ranked = held.join(common, [*block, "pair"]).withColumns({"k": F.row_number().over(own.orderBy("n", "pair")), "size": F.count("*").over(own)})
+    few = ranked.where(F.col("k") <= F.col("size") - F.ceil(F.col("size") * (least / (2 - least)) - 1e-9) + 1).select(*block, "pair", F.col("id").alias("a"))
+    met = few.join(held.withColumnRenamed("id", "b"), [*block, "pair"]).where("a != b").select(*block, F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+    text = lambda side: distinct.select(*block, F.col("id").alias(f"id_{side}"), F.col("text").alias(f"text_{side}"))
+    both = met.join(text("a"), [*block, "id_a"]).join(text("b"), [*block, "id_b"])
+    return both.select(*block, "id_a", "id_b", dice(F.col("text_a"), F.col("text_b")).alias("similarity")).where(F.col("similarity") >= least)
