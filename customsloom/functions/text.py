@@ -49,9 +49,8 @@ def keywords(text: Column, stopwords: list[str], least: int = 3) -> Column:
 def ngrams(tokens: Column, least: int = 2, most: int = 4, chars: int = 6) -> Column:
     """Distinct phrases of ``least`` to ``most`` neighbouring tokens with at least ``chars`` characters."""
 
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))
-        return F.when(F.size(tokens) >= n, F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    def runs(n: int) -> Column:  # by place, as a slice of a long array costs a copy of it
+        return F.array_compact(F.transform(tokens, lambda x, i: F.concat(x, *(y for j in range(1, n) for y in (F.lit(" "), F.get(tokens, i + j))))))
 
     parts = [runs(n) for n in range(least, most + 1)]
     return F.array_distinct(F.filter(F.concat(*parts), lambda p: F.length(p) >= chars))
@@ -68,7 +67,8 @@ def squeezed(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: text.substr(i, F.lit(2))))
+    """Distinct pairs of neighbouring characters; the text itself if it has fewer than two."""
+    return F.when(F.length(text) < 2, F.array(text)).otherwise(F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), 1)))
 
 
 def dice(a: Column, b: Column) -> Column:

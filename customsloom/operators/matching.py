@@ -37,7 +37,8 @@ def intersection(a: Column, b: Column) -> Column:
 
 
 def _groups(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - GROUP + 1, F.lit(1))), lambda i: text.substr(i, F.lit(GROUP))))
+    """Distinct runs of GROUP characters, all in one pass over the text; the text itself if it is shorter."""
+    return F.when(F.length(text) < GROUP, F.array(text)).otherwise(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GROUP}}}))"), 1)))
 
 
 def _words(text: Column) -> Column:

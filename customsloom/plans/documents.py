@@ -18,7 +18,6 @@ def _orders(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("invoice_id"), *(c.alias(n) for n, c in columns.items()))
 
 
-K = F.col("o_orderkey")
 _READ = """r AS (SELECT l_orderkey AS invoice_id, CASE WHEN l_linenumber % 9 = 8 THEN 'Tel. 041' WHEN l_linenumber % 7 = 6 THEN '' ELSE 'goods' END AS description, CASE WHEN l_quantity > 45 THEN NULL ELSE l_quantity END AS quantity, l_extendedprice AS line_total,
   CASE WHEN l_partkey % 4 = 0 THEN '7318.15' WHEN l_partkey % 4 = 1 THEN 'none' WHEN l_partkey % 4 = 2 THEN '73181590' END AS code FROM lineitem),
   q AS (SELECT invoice_id, count(*) AS n, count(*) FILTER (description = 'goods' AND quantity IS NOT NULL) AS good, count(*) FILTER (description = 'Tel. 041') AS footer_rows, count(*) FILTER (code IN ('7318.15', '73181590')) AS coded FROM r GROUP BY 1),
@@ -81,9 +80,10 @@ def locked_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id AS invoice_id, net, CASE WHEN own THEN coalesce(src, 'DOCUMENT') WHEN dn IS NOT NULL THEN 'OCR_TEXT' WHEN gross IS NULL AND ln > 0 THEN 'CALCULATED' END AS net_source, gross, CASE WHEN eg IS NOT NULL THEN 'DOCUMENT' WHEN dg IS NOT NULL THEN 'OCR_TEXT' END AS gross_source,
     (NOT own AND dn IS NULL AND gross IS NOT NULL AND coalesce(ln > gross * 1.1::DOUBLE, false)) OR (((en IS NOT NULL AND st) OR dn IS NOT NULL) AND coalesce(net > gross, false)) AS unit_weight_misuse FROM s""")
 def weight_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
     d = lambda x: x.cast("double")
-    source = F.when(K % 4 == 1, "CALCULATED").when(K % 4 == 2, "OCR_TEXT").when(K % 4 == 3, "DOCUMENT")
-    found = documents.weights(F.when(K % 3 > 0, d(K % 50 + 10)), F.when(K % 5 > 0, d(K % 40 + 20)), source, F.when(K % 7 == 0, 31.5), F.when(K % 11 == 0, 44.0), F.when(K % 2 == 0, d(K % 90)))
+    source = F.when(key % 4 == 1, "CALCULATED").when(key % 4 == 2, "OCR_TEXT").when(key % 4 == 3, "DOCUMENT")
+    found = documents.weights(F.when(key % 3 > 0, d(key % 50 + 10)), F.when(key % 5 > 0, d(key % 40 + 20)), source, F.when(key % 7 == 0, 31.5), F.when(key % 11 == 0, 44.0), F.when(key % 2 == 0, d(key % 90)))
     return _orders(spark, sf_dir, **found)
 
 
@@ -91,9 +91,10 @@ def weight_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
   p AS (SELECT *, CASE WHEN len(co) = 0 THEN NULL WHEN ex IS NULL THEN co[1] ELSE coalesce(list_filter(co, lambda c: c <> 'SI')[1], co[1]) END AS own, CASE WHEN st IS NOT NULL AND st IS DISTINCT FROM ex THEN st END AS named, CASE WHEN pl IS NOT NULL AND pl IS DISTINCT FROM ex THEN pl END AS place FROM o)
   SELECT id AS invoice_id, coalesce(own, named, place) AS country, CASE WHEN own IS NOT NULL THEN 'consignee' WHEN named IS NOT NULL THEN 'ocr_country_field' WHEN place IS NOT NULL THEN 'incoterms_place' ELSE 'unresolved' END AS source FROM p""")
 def destination_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
     s = lambda *xs: F.array(*(F.lit(x) for x in xs)).cast("array<string>")
-    consignee = F.when(K % 5 == 0, s("SI", "CH")).when(K % 5 == 1, s("SI")).when(K % 5 == 2, s("RS", "SI")).otherwise(s())
-    country, source = documents.destination(consignee, F.when(K % 4 != 0, "SI"), F.when(K % 3 == 0, "SI").when(K % 3 == 1, "GB"), F.when(K % 2 == 0, "US"))
+    consignee = F.when(key % 5 == 0, s("SI", "CH")).when(key % 5 == 1, s("SI")).when(key % 5 == 2, s("RS", "SI")).otherwise(s())
+    country, source = documents.destination(consignee, F.when(key % 4 != 0, "SI"), F.when(key % 3 == 0, "SI").when(key % 3 == 1, "GB"), F.when(key % 2 == 0, "US"))
     return _orders(spark, sf_dir, country=country, source=source)
 
 
@@ -103,10 +104,11 @@ def destination_country(spark: SparkSession, sf_dir: str) -> DataFrame:
   x AS (SELECT *, CASE WHEN ad > 0 THEN 1 WHEN s2 THEN 2 WHEN s3 THEN 3 WHEN s4 THEN 4 WHEN s6 AND ls > 0 THEN 5 WHEN s6 THEN 6 WHEN ls > 0 THEN 7 END AS step FROM q)
   SELECT id AS invoice_id, coalesce({_r('CASE step WHEN 1 THEN ad WHEN 2 THEN lb WHEN 3 THEN af WHEN 4 THEN tx WHEN 5 THEN CASE WHEN greatest(h, ls) > least(h, ls) * 1.5::DOUBLE THEN least(h, ls) ELSE h END WHEN 6 THEN h WHEN 7 THEN ls END', 2)}, 0.0) AS value, step FROM x""")
 def invoice_value_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
     t = F.col("o_totalprice")
-    line_sum = F.when(K % 6 == 0, t * 2).when(K % 6 == 1, t * 1.2).when(K % 6 == 2, 0.0).when(K % 6 == 3, 77.777)
-    field = F.when(K % 5 == 0, 50.0).when(K % 5 == 1, t).when(K % 5 == 2, 1000.0)
-    value, step = documents.invoice_value(F.when(K % 13 == 0, 812.5), F.when(K % 7 == 0, 900.0), field, F.when(K % 4 == 0, 1234.5), F.when(K % 3 > 0, t), line_sum, F.when(K % 8 == 0, 1000.0).otherwise(900.0), (K % 2 * 10).cast("double"))
+    line_sum = F.when(key % 6 == 0, t * 2).when(key % 6 == 1, t * 1.2).when(key % 6 == 2, 0.0).when(key % 6 == 3, 77.777)
+    field = F.when(key % 5 == 0, 50.0).when(key % 5 == 1, t).when(key % 5 == 2, 1000.0)
+    value, step = documents.invoice_value(F.when(key % 13 == 0, 812.5), F.when(key % 7 == 0, 900.0), field, F.when(key % 4 == 0, 1234.5), F.when(key % 3 > 0, t), line_sum, F.when(key % 8 == 0, 1000.0).otherwise(900.0), (key % 2 * 10).cast("double"))
     return _orders(spark, sf_dir, value=value, step=step)
 
 
@@ -118,7 +120,8 @@ _TOTALS = [
 
 @query("SELECT o_orderkey AS invoice_id, CAST(t AS DOUBLE) AS tabular, CAST(a AS DOUBLE) AS amount FROM orders JOIN (VALUES " + ", ".join(f"({i}, {'NULL' if t is None else t}, {'NULL' if a is None else a})" for i, (_, t, a) in enumerate(_TOTALS)) + f") v(i, t, a) ON o_orderkey % {len(_TOTALS)} = i")
 def totals_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _orders(spark, sf_dir, text=F.get(F.array(*(F.lit(t) for t, *_ in _TOTALS)), (K % len(_TOTALS)).cast("int")))
+    key = F.col("o_orderkey")
+    rows = _orders(spark, sf_dir, text=F.get(F.array(*(F.lit(t) for t, *_ in _TOTALS)), (key % len(_TOTALS)).cast("int")))
     return rows.select("invoice_id", documents.tabular_total(F.col("text")).alias("tabular"), documents.amount_eur(F.col("text")).alias("amount"))
 
 
@@ -126,11 +129,12 @@ def totals_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id, CAST(q AS DOUBLE) AS quantity, s AS style, q * 2.5::DOUBLE AS line_total, 2.5::DOUBLE AS unit_price, CASE WHEN id % 3 = 0 THEN '62034231' END AS code, CASE WHEN id % 2 = 0 THEN 'Sri Lanka' END AS country FROM o""")
 def style_rows_and_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that start with a quantity and a style, some with the price behind, and what the lines below a style say."""
-    q, style = K % 90 + 1, F.concat(F.lit("1AB"), F.lpad((K % 1000).cast("string"), 8, "X"))
+    key = F.col("o_orderkey")
+    q, style = key % 90 + 1, F.concat(F.lit("1AB"), F.lpad((key % 1000).cast("string"), 8, "X"))
     money = lambda x: F.regexp_replace(x.cast("decimal(12,2)").cast("string"), r"\.", ",")
-    row = F.concat_ws(" ", q.cast("string"), F.lower(style), money(q * 2.5), F.when(K % 4 == 0, money(F.lit(2.5))))
-    text = F.concat_ws("\n", F.lit("Style Description Total"), row, F.when(K % 3 == 0, "HS Code - 6203 42 31"), F.lit("woven"), F.when(K % 2 == 0, "Origin - Sri Lanka"), F.lit("Total 12,00"))
-    docs = table(spark, sf_dir, "orders").select(K.alias("id"), text.alias("text"))
+    row = F.concat_ws(" ", q.cast("string"), F.lower(style), money(q * 2.5), F.when(key % 4 == 0, money(F.lit(2.5))))
+    text = F.concat_ws("\n", F.lit("Style Description Total"), row, F.when(key % 3 == 0, "HS Code - 6203 42 31"), F.lit("woven"), F.when(key % 2 == 0, "Origin - Sri Lanka"), F.lit("Total 12,00"))
+    docs = table(spark, sf_dir, "orders").select(key.alias("id"), text.alias("text"))
     found = documents.style_rows(docs).join(docs, "id")
     code, country = documents.style_block(F.col("text"), F.col("style"))
     return found.select("id", "quantity", "style", "line_total", round_up(F.col("unit_price"), 6).alias("unit_price"), code.alias("code"), country.alias("country"))
@@ -153,8 +157,9 @@ def description_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LINES}, l AS (SELECT ['rule_based', 'ai_generated', 'hs_library', 'user_edited'][CAST(part_id % 4 + 1 AS INTEGER)] AS description_source FROM lines UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'user_edited' ELSE 'rule_based' END FROM orders)
   SELECT description_source, count(*) AS rows FROM l GROUP BY 1""")
 def description_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
     own = lines(spark, sf_dir).select(F.get(F.array(*(F.lit(x) for x in _KINDS)), (F.col("part_id") % 4).cast("int")).alias("description_source"))
-    return documents.source_counts(own, _orders(spark, sf_dir, description_source=F.when(K % 2 == 0, "user_edited").otherwise("rule_based")))
+    return documents.source_counts(own, _orders(spark, sf_dir, description_source=F.when(key % 2 == 0, "user_edited").otherwise("rule_based")))
 
 
 @query("""WITH i AS (SELECT l_orderkey AS invoice_id, l_linenumber AS position, min(l_partkey) AS value FROM lineitem GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY position) AS ord FROM i),
@@ -163,13 +168,14 @@ def description_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM w LEFT JOIN a ON a.invoice_id = w.invoice_id AND a.position = w.position LEFT JOIN o b ON b.invoice_id = w.invoice_id AND b.ord = w.position LEFT JOIN (SELECT w.invoice_id, w.position, coalesce(a.value, b.value) AS value FROM w LEFT JOIN a ON a.invoice_id = w.invoice_id AND a.position = w.position LEFT JOIN o b ON b.invoice_id = w.invoice_id AND b.ord = w.position) x ON x.invoice_id = w.invoice_id AND x.position = w.position""")
 def item_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of positions 1 to 3, by position where one is known (odd ones), else by ordinal; styles on the exclusion list have no preference."""
+    key = F.col("o_orderkey")
     from customsloom.operators import reconcile
 
     own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("invoice_id"), F.col("l_linenumber").alias("p")).agg(F.min("l_partkey").alias("value"))
     items = reconcile.renumber(own, "invoice_id", ["p"], "ord").withColumn("position", F.when(F.col("p") % 2 == 1, F.col("p"))).drop("p")
-    wanted = table(spark, sf_dir, "orders").select(K.alias("invoice_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("position"))
+    wanted = table(spark, sf_dir, "orders").select(key.alias("invoice_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("position"))
     found = documents.item_at(wanted, items).withColumns({"style": F.col("value") % 10, "preference": F.lit("YES")})
-    marked = table(spark, sf_dir, "orders").select(K.alias("invoice_id"), F.explode(F.array(F.lit(1), F.lit(4), F.lit(4)).cast("array<bigint>")).alias("style"))
+    marked = table(spark, sf_dir, "orders").select(key.alias("invoice_id"), F.explode(F.array(F.lit(1), F.lit(4), F.lit(4)).cast("array<bigint>")).alias("style"))
     return documents.excluded_lines(found, marked).drop("style")
 
 
@@ -185,9 +191,10 @@ def _tag(xs: list) -> str:
 @query(f"""WITH o AS (SELECT o_orderkey AS id, CAST(o_orderkey % 13 + 1 AS INTEGER) AS m, CASE o_orderkey % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS kind, o_orderkey % 4 = 0 AS own FROM orders)
   SELECT id AS invoice_id, CASE WHEN own THEN 'LTSD_REFERENCED' ELSE {_tag(_INFERRED)}[m] END AS code, CASE WHEN own THEN 'INFO' ELSE coalesce({_tag(_SEVERITY)}[m], CASE kind WHEN 'error' THEN 'CRITICAL' WHEN 'warning' THEN 'WARNING' ELSE 'INFO' END) END AS severity FROM o""")
 def issue_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    message = F.get(F.array(*(F.lit(m) for m in _MESSAGES)), (K % len(_MESSAGES)).cast("int"))
-    kind = F.when(K % 3 == 0, "error").when(K % 3 == 1, "warning").otherwise("info")
-    rows = _orders(spark, sf_dir, code=scoring.issue_code(F.when(K % 4 == 0, "LTSD_REFERENCED"), message), kind=kind)
+    key = F.col("o_orderkey")
+    message = F.get(F.array(*(F.lit(m) for m in _MESSAGES)), (key % len(_MESSAGES)).cast("int"))
+    kind = F.when(key % 3 == 0, "error").when(key % 3 == 1, "warning").otherwise("info")
+    rows = _orders(spark, sf_dir, code=scoring.issue_code(F.when(key % 4 == 0, "LTSD_REFERENCED"), message), kind=kind)
     return rows.select("invoice_id", "code", scoring.issue_severity(F.col("code"), F.col("kind")).alias("severity"))
 
 
@@ -196,9 +203,10 @@ _FOUND = """i AS (SELECT o_orderkey AS id, 'A' AS code, 'error' AS kind, true AS
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
     orders, out = table(spark, sf_dir, "orders"), None
     for n, code, kind, critical in ((7, "A", "error", True), (2, "B", "warning", False), (4, "B", "warning", False), (5, "C", "warning", True), (3, "D", "info", False)):
-        part = orders.where(K % n == 0).select(K.alias("invoice_id"), F.lit(code).alias("code"), F.lit(kind).alias("kind"), F.lit(critical).alias("critical"))
+        part = orders.where(key % n == 0).select(key.alias("invoice_id"), F.lit(code).alias("code"), F.lit(kind).alias("kind"), F.lit(critical).alias("critical"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -210,33 +218,37 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id AS invoice_id, CAST(greatest(0, least(100, CASE WHEN id % 6 = 1 AND id % 11 = 0 THEN greatest(x, 90) ELSE x END)) AS INTEGER) AS readiness_score FROM f""")
 def readiness_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readiness from a base of 80 with its floors; issue C is resolved for every tenth document."""
-    docs = _orders(spark, sf_dir, declared=K % 9 == 0, eur1=F.lit(True), authorised=F.lit(False), codes=F.when(K % 6 == 1, 0).otherwise(4), export_ready=K % 4 != 3, confirmed=F.lit(True), foundation=K % 11 == 0, only_classification=F.lit(True))
+    key = F.col("o_orderkey")
+    docs = _orders(spark, sf_dir, declared=key % 9 == 0, eur1=F.lit(True), authorised=F.lit(False), codes=F.when(key % 6 == 1, 0).otherwise(4), export_ready=key % 4 != 3, confirmed=F.lit(True), foundation=key % 11 == 0, only_classification=F.lit(True))
     resolved = _orders(spark, sf_dir, code=F.lit("C")).where("invoice_id % 10 = 0")
     return scoring.adjusted_readiness(scoring.without_resolved(_found(spark, sf_dir), resolved), docs, base=80.0)
 
 
 @query("""SELECT o_orderkey AS invoice_id, CASE WHEN o_orderkey % 4 = 0 THEN 'one|two' WHEN o_orderkey % 4 = 1 THEN 'a|b|c' WHEN o_orderkey % 4 = 2 THEN 'Missing: weight' ELSE '' END AS reasons FROM orders""")
 def top_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
     s = lambda *xs: F.array(*(F.lit(x) for x in xs)).cast("array<string>")
-    own = F.when(K % 4 == 0, s("one", " ", "Required declaration data available", "two")).otherwise(s("Required declaration data available"))
-    messages = F.when(K % 4 == 1, s("a ", "b", "a", "c", "d")).otherwise(s(""))
-    return _orders(spark, sf_dir, reasons=F.array_join(scoring.top_reasons(own, messages, F.when(K % 4 == 2, s("", "weight", "value")).otherwise(s())), "|"))
+    own = F.when(key % 4 == 0, s("one", " ", "Required declaration data available", "two")).otherwise(s("Required declaration data available"))
+    messages = F.when(key % 4 == 1, s("a ", "b", "a", "c", "d")).otherwise(s(""))
+    return _orders(spark, sf_dir, reasons=F.array_join(scoring.top_reasons(own, messages, F.when(key % 4 == 2, s("", "weight", "value")).otherwise(s())), "|"))
 
 
 @query("""WITH l AS (SELECT l_orderkey AS id, count(*) AS n, bool_or(l_quantity < 3) AS z FROM lineitem GROUP BY 1), i AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 = 0)
   SELECT o_orderkey AS invoice_id, concat_ws(',', CASE WHEN o_orderkey % 5 = 0 THEN 'DESCRIPTION_ARTIFACT' END, CASE WHEN coalesce(n, 0) <> 4 THEN 'EXTRACTION_LINE_COUNT_MISMATCH' END, CASE WHEN z AND o_orderkey % 2 = 0 THEN 'ZERO_QTY_WITH_VALUE' END, CASE WHEN z AND o_orderkey % 2 = 1 THEN 'ZERO_VALUE_WITH_QTY' END) AS failures
   FROM orders LEFT JOIN l ON l.id = o_orderkey""")
 def golden_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
     k, low = F.col("l_orderkey"), F.col("l_quantity") < 3
     own = table(spark, sf_dir, "lineitem").select(k.alias("invoice_id"), F.when(low & (k % 2 == 0), 0.0).otherwise(F.col("l_quantity")).alias("quantity"), F.when(low & (k % 2 == 1), 0.0).otherwise(F.col("l_extendedprice")).alias("line_total"))
-    issues = _orders(spark, sf_dir, code=F.when(K % 5 == 0, "DESCRIPTION_ARTIFACT").otherwise("OTHER"))
+    issues = _orders(spark, sf_dir, code=F.when(key % 5 == 0, "DESCRIPTION_ARTIFACT").otherwise("OTHER"))
     return scoring.golden_gate(own, issues, _orders(spark, sf_dir, source_lines=F.lit(4))).select("invoice_id", F.array_join("failures", ",").alias("failures"))
 
 
 @query("""SELECT o_orderkey AS invoice_id, 'total' AS field, '5|' || CASE WHEN o_orderkey % 3 = 0 THEN '6' ELSE '5' END || '|' || CASE WHEN o_orderkey % 4 = 0 THEN '7' ELSE '5' END AS shown, 'csv|pdf|screen' AS names FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 4 = 0""")
 def surface_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
     shown = lambda c: _orders(spark, sf_dir, field=F.lit("total"), value=c)
-    return scoring.surfaces("invoice_id", csv=shown(F.lit(5)), pdf=shown(F.when(K % 3 == 0, 6).otherwise(5)), screen=shown(F.when(K % 4 == 0, 7).otherwise(5)))
+    return scoring.surfaces("invoice_id", csv=shown(F.lit(5)), pdf=shown(F.when(key % 3 == 0, 6).otherwise(5)), screen=shown(F.when(key % 4 == 0, 7).otherwise(5)))
 
 
 @query(f"""WITH e AS (SELECT event_type AS category, value, event_id AS k FROM events)
