@@ -15,11 +15,11 @@ PEM = ["CH", "NO", "IS", "LI", "TR", "RS", "ME", "MK", "AL", "BA", "XK", "MD", "
 DECLARATION_LIMIT = 6000.0
 _AUTHORISATION, _NUMBER, _SLASHED, _COMPACT = r"customs\s+authori[sz]ation", r"(?:no\.?|number)", r"[A-Z]{2}\/\d+\/\d+", r"[A-Z]{2}\d{6}\/\d{4}"
 _EXPORTER = r"authori[sz]ed\s+exporter"
-#: Kinds of declarations, by patterns; group 1 of positions_yes and eur1_except has positions.  Fixed values.
+#: Kinds of declarations, by patterns; group 1 of positions_yes and eur1_except has positions, ranges too.  Fixed values.
 DECLARATIONS = {
     "positions_yes": [
-        r"positions?\s+([\d,\sand]+)\s+(?:are\s+)?(?:of\s+)?(?:(?:EU|E\.U\.)\s+)?preferential\s+origin",
-        r"position\s+([\d,\sand]+)\s+(?:is|are)\s+(?:of\s+)?(?:(?:EU|E\.U\.)\s+)?preferential\s+origin",
+        r"positions?\s+([\d,\s\-–and]+)\s+(?:are\s+)?(?:of\s+)?(?:(?:EU|E\.U\.)\s+)?preferential\s+origin",
+        r"position\s+([\d,\s\-–and]+)\s+(?:is|are)\s+(?:of\s+)?(?:(?:EU|E\.U\.)\s+)?preferential\s+origin",
     ],
     "all_yes": [
         r"products?\s+covered\s+by\s+this\s+document\s+are\s+of\s+preferential\s+origin",
@@ -30,9 +30,9 @@ DECLARATIONS = {
         r"preferential\s+origin\s+(?:declaration\s+)?(?:applies\s+to\s+)?all\s+(?:products?|goods?|positions?|lines?)",
     ],
     "eur1_except": [
-        r"eur\.?\s*1\s+(?:enclosed|attached|included|provided|issued).*?except(?:\s+where\s+otherwise\s+indicated)?(?:\s+(?:for\s+)?)?(?:positions?\s+)?([\d,\sand]+)",
-        r"preferential\s+origin\s+(?:declaration\s+)?applies\s+to\s+all\s+(?:positions|products|lines|goods)\s+except\s+(?:positions?\s+)?([\d,\sand]+)",
-        r"(?:applies\s+to\s+all|all)\s+(?:positions|products|lines|goods)\s+except\s+(?:positions?\s+)?([\d,\sand]+)",
+        r"eur\.?\s*1\s+(?:enclosed|attached|included|provided|issued).*?except(?:\s+where\s+otherwise\s+indicated)?(?:\s+(?:for\s+)?)?(?:positions?\s+)?([\d,\s\-–and]+)",
+        r"preferential\s+origin\s+(?:declaration\s+)?applies\s+to\s+all\s+(?:positions|products|lines|goods)\s+except\s+(?:positions?\s+)?([\d,\s\-–and]+)",
+        r"(?:applies\s+to\s+all|all)\s+(?:positions|products|lines|goods)\s+except\s+(?:positions?\s+)?([\d,\s\-–and]+)",
     ],
     "otherwise": [r"except\s+where\s+otherwise\s+clearly\s+indicated", r"except\s+where\s+otherwise\s+indicated"],
     "asterisk": [r"articles?,?\s+which\s+are\s+not\s+marked\s+with\s+sign\s*\(\s*\*\s*\)"],

@@ -117,6 +117,9 @@ def test_distances_and_polygon(spark):
 def test_origin_rules(spark):
     corpus = "EUR.1 covers all goods except positions 2 and 4-5."
     df = spark.createDataFrame([(i, corpus) for i in range(1, 6)], "p int, t string")
+    # "all goods except" says that the EUR.1 covers the rest
+    assert [r[0] for r in df.orderBy("p").select(origin.line_preference(F.col("p"), F.col("t"))).collect()] == ["YES", "NO", "YES", "NO", "NO"]
+    df = df.withColumn("t", F.lit("EUR.1 enclosed except positions 2 and 4-5."))
     assert [r[0] for r in df.orderBy("p").select(origin.line_preference(F.col("p"), F.col("t"))).collect()] == ["UNKNOWN", "NO", "UNKNOWN", "NO", "NO"]
     assert column(spark, ["DE", "GB", "CA", "CH", "US", None], origin.scheme) == ["NO_PREFERENCE", "UK", "REX", "PEM", "NO_PREFERENCE", "NO_PREFERENCE"]
 
