@@ -55,7 +55,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = new_folder(spark, name)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at  # type: ignore[attr-defined]
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``written`` that nothing will read again; others are left alone."""
+    for df in tables:
+        if (at := getattr(df, "written_at", None)) is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

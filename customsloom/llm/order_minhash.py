@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from customsloom.llm.common import U64, blocks, bounded_batches, grams, lowered, mix, tokenise, written
+from customsloom.llm.common import U64, blocks, bounded_batches, discard, grams, lowered, mix, tokenise, written
 from customsloom.llm.components import connected_components
 
 WORDS = 5
@@ -270,13 +270,15 @@ def _joined(parts: DataFrame, new: DataFrame) -> DataFrame:
     name = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
     new = new.select("a", "b").join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
     joined = written(connected_components(new).select(F.col("node").alias("component"), F.col("component").alias("whole")), "joined")
-    old = parts.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    before = parts.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     alone = joined.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(parts.select("node"), "node", "left_anti")
-    return written(old.unionAll(alone), "parts")
+    out = written(before.unionAll(alone), "parts")
+    discard(joined)
+    return out
 
 
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, print) of every row, and (print, id, class) of every print: its least id, and the component or else the print itself."""
+    """(id, print) of every row, and (print, id, class) of every print: its least id, and the component or else the print itself; both written."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("id", "text")
     kind = dict(docs.dtypes)["id"]
@@ -313,22 +315,27 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = written(_rest(members, distinct, parts).join(done, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
         parts = _joined(parts, _verify(rest, texts).where("similar"))
+    discard(members, texts, tested, more, rest)
     named = distinct.select("print", "id").join(parts.withColumnRenamed("node", "print"), "print", "left")
-    return sketched.select("id", "print"), named.select("print", "id", F.coalesce("component", "print").alias("class"))
+    named = written(named.select("print", "id", F.coalesce("component", "print").alias("class")), "prints")
+    rows = written(sketched.select("id", "print"), "rows")
+    discard(distinct, sketched)
+    return rows, named
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, class_id (least id of its near-duplicates)."""
     rows, prints = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     names = prints.groupBy("class").agg(F.min("id").alias("class_id"))
-    named = written(prints.join(names, "class").select(F.col("print").alias("p"), "class_id"), "named")
+    named = prints.join(names, "class").select(F.col("print").alias("p"), "class_id")
     out = rows.join(named, F.col("print") == F.col("p"), "left").select("id", F.when(F.col("print").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
     return out.withColumnRenamed("id", id_col)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with one row of each class: that of the least id (a null id counts as the largest)."""
-    _, prints = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    rows, prints = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    discard(rows)
     kept = prints.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "print")).alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.print").alias("kept_print"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     schema = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True)) + ", print bigint"
