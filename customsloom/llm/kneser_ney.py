@@ -274,7 +274,7 @@ def fit(texts: DataFrame, text_col: str = "text") -> Model:
 
     os.makedirs(path, exist_ok=True)
     packed = texts.mapInArrow(count_words, "shard int, packed binary")
-    stored = packed.repartition(word_shards, "shard").groupBy("shard").applyInArrow(store_words, "shard int, n bigint, total bigint").collect()
+    stored = _by_shard(packed, word_shards).groupBy("shard").applyInArrow(store_words, "shard int, n bigint, total bigint").collect()
     sizes = [0] * word_shards
     for r in stored:
         sizes[r["shard"]] = r["n"]
@@ -334,8 +334,8 @@ def fit(texts: DataFrame, text_col: str = "text") -> Model:
             seen = [*_of_counts(columns[4]), int((columns[4] > 2).sum())]
         return pa.table({"shard": pa.array([shard], pa.int32()), "seen": pa.array([seen], pa.list_(pa.int64()))})
 
-    pairs = texts.mapInArrow(count_pairs, "shard int, packed binary").repartition(shards, "shard").groupBy("shard").applyInArrow(store_pairs, "shard int, packed binary")
-    stats = pairs.repartition(word_shards + 2, "shard").groupBy("shard").applyInArrow(store_stats, "shard int, seen array<bigint>").collect()
+    pairs = _by_shard(texts.mapInArrow(count_pairs, "shard int, packed binary"), shards).groupBy("shard").applyInArrow(store_pairs, "shard int, packed binary")
+    stats = _by_shard(pairs, word_shards + 2).groupBy("shard").applyInArrow(store_stats, "shard int, seen array<bigint>").collect()
     of_pairs = next(r["seen"] for r in stats if r["shard"] == -1)
     of_words = np.sum([r["seen"] for r in stats if r["shard"] >= 0], axis=0)
     model.pairs = of_pairs[4]
@@ -345,6 +345,11 @@ def fit(texts: DataFrame, text_col: str = "text") -> Model:
     return model
 
 
+def _by_shard(packed: DataFrame, n: int) -> DataFrame:
+    """Each of n shards in a task of its own: dealt by the shard's number, as by its hash a few would share a task."""
+    return packed.repartitionById(n, F.col("shard")) if hasattr(packed, "repartitionById") else packed.repartition(n, "shard")
+
+
 def _dealt(columns: list[np.ndarray], bounds: np.ndarray) -> list[tuple[int, bytes]]:
     """Sorted ids with numbers, cut by vocabulary shard; ids count from the shard's first."""
     edges = np.searchsorted(columns[0], bounds)
