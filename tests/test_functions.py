@@ -128,3 +128,37 @@ def test_findings(spark):
     df = spark.createDataFrame([(12.0, 10.0, True, 12.0), (9.0, 10.0, True, 9.0)], "n double, g double, d boolean, l double")
     got = [r[0] for r in df.select(scoring.weight_findings(F.col("n"), F.col("g"), F.col("d"), F.col("l"))).collect()]
     assert got == [["NET_EXCEEDS_GROSS", "UNIT_WEIGHT_MISUSE"], []]
+
+
+def test_ranking_keeps_the_best_of_all_pairs(spark):
+    """Against every pair of query and code, with hints of chapters and headings, and words that must come together."""
+    import itertools
+    import random
+
+    from customsloom.operators import ranking
+
+    rng = random.Random(3)
+    vocabulary = ["ball", "bearing", "steel", "ring", "pellet", "rifle", "shot", "bolt"]
+    words = {f"{rng.choice(['84', '93', '73'])}{rng.choice(['82', '06'])}{i:04d}": {(w, rng.choice(["cn8", "heading", "chapter"])) for w in rng.sample(vocabulary, 3)} for i in range(60)}
+    queries = {q: [(w, rng.choice([0.1, 1.0, 2.8])) for w in rng.sample(vocabulary, rng.randint(1, 4))] for q in range(12)}
+    queries[90], queries[91] = [("ball", 1.0), ("bearing", 1.0)], [("pellet", 1.0), ("rifle", 2.8)]
+    hints = {q: rng.sample(["84", "93", "8482", "9306"], rng.randint(0, 2)) for q in queries}
+    factor = {"cn8": 3.0, "heading": 2.2, "chapter": 1.4}
+    want = {}
+    for q, (code, own) in itertools.product(queries, words.items()):
+        asked, held = {w for w, _ in queries[q]}, {w for w, _ in own}
+        if not asked & held:
+            continue
+        score = sum(weight * max(factor[layer] for w, layer in own if w == term) for term, weight in queries[q] if term in held)
+        for wanted in {w for when, w in ranking.CO_TERMS if set(when) <= asked}:
+            score *= 1.0 if set(wanted) & held else 0.15
+        score = round(score, 6) + 4.0 * (code[:2] in hints[q]) + 5.0 * (code[:4] in hints[q])
+        if score >= 2.0:
+            want.setdefault(q, []).append((-round(score, 6), code))
+    terms = spark.createDataFrame([(q, t, w) for q, ts in queries.items() for t, w in ts], "query_id int, term string, weight double")
+    known = spark.createDataFrame([(c, layer, w) for c, own in words.items() for w, layer in own], "cn8 string, layer string, term string")
+    asked = spark.createDataFrame([(q, h) for q, hs in hints.items() for h in hs], "query_id int, hint string")
+    got = {}
+    for r in ranking.best(terms, known, asked, 4).collect():
+        got.setdefault(r["query_id"], []).append((-round(r["score"], 6), r["cn8"]))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x)[:4] for q, x in want.items()}
