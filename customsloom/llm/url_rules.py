@@ -122,9 +122,10 @@ def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str]] =
         met = sets.select("tokens", "held", F.explode(F.map_keys("held")).alias("rarest")).join(mined, "rarest").where(F.size(F.array_except("items", F.map_keys("held"))) == 0)
         met = met.withColumn("items", F.array_sort(F.transform("items", lambda x: F.col("held")[x])))
         best = met.groupBy("tokens").agg(F.max(F.struct("confidence", "support", (-F.size("items")).alias("few"), "verdict", F.array_join("items", " ").alias("mined"))).alias("b"))
-        best = best.select(F.col("tokens").alias(key), F.col("b.verdict").alias(found), "b.mined", "b.confidence")
-        # urls without tokens and those of a given rule meet nothing: their key is null, not one that all of them share
-        out = rows.join(best, F.when(F.col(given_).isNull() & some, F.col(tokens_)) == F.col(key), "left").drop(key)
+        best = written(best.select(F.col("tokens").alias(key), F.col("b.verdict").alias(found), F.col("b.mined").alias("mined"), F.col("b.confidence").alias("confidence")), "judged")
+        # a written table is dealt out for the join alone, so that Spark can split tokens that many urls share
+        out = rows.join(best, F.when(some, F.col(tokens_)) == F.col(key), "left").drop(key)
+        out = out.withColumns({c: F.when(F.col(given_).isNull(), F.col(c)) for c in (found, "mined", "confidence")})
     out = out.withColumn("verdict", F.coalesce(given_, found, F.lit(usual["verdict"] if usual else "allow")))
     return out.drop(given_, found, tokens_)
 
