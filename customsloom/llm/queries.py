@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from customsloom.llm import html_blocks, kneser_ney, license_digests, mixing, one_bit, order_minhash, ppm_language, string_tiling, url_rules, warc_zip
+from customsloom.llm import html_blocks, kneser_ney, license_digests, mixing, one_bit, order_minhash, ppm_language, string_tiling, tiered_index, url_rules, warc_zip
 from customsloom.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_tiered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_index.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_ppm_language": op2_ppm_language,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_blocks": op8_html_blocks,
     "op9_order_minhash": op9_order_minhash,
     "op10_mixing": op10_mixing,
+    "op11_tiered_index": op11_tiered_index,
 }
 
-ORACLES: dict[str, str] = {"op4_license_digests": license_digests.oracle_sql()}
+ORACLES: dict[str, str] = {"op4_license_digests": license_digests.oracle_sql(), "op11_tiered_index": tiered_index.oracle_sql()}
