@@ -165,13 +165,13 @@ _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[48:58] = _NOT_WORD[65:91] = _NOT_WORD[97:123] = _NOT_WORD[128:] = False
 
 
-def tokenise(data: np.ndarray, offsets: np.ndarray, words_only: bool = False) -> Tokens:
-    """Tokens of a block with 64-bit hashes of their bytes, A-Z lower-cased.
+def tokenise(data: np.ndarray, offsets: np.ndarray, words_only: bool = False, lower: bool = True) -> Tokens:
+    """Tokens of a block with 64-bit hashes of their bytes, A-Z lower-cased unless ``lower`` is off.
 
     words_only=False: maximal runs of non-space bytes (space is 0x20 and 0x09-0x0D).
     words_only=True: maximal runs of ASCII letters, digits and non-ASCII bytes.
     """
-    data = _LOWER[data]
+    data = _LOWER[data] if lower else data
     gap = (_NOT_WORD if words_only else _SPACE)[data]
     n = len(data)
     inner = offsets[1:-1][offsets[1:-1] < n]
