@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from customsloom.llm import html_blocks, kneser_ney, license_digests, mixing, one_bit, order_minhash, ppm_language, relative_lz, string_tiling, tiered_index, url_rules, warc_zip
+from customsloom.llm import html_blocks, kneser_ney, license_digests, mixing, one_bit, order_minhash, ppm_language, relative_lz, string_tiling, tiered_index, token_links, url_rules, warc_zip
 from customsloom.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_tiered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiered_index.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.align_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative_lz.digests(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_order_minhash": op9_order_minhash,
     "op10_mixing": op10_mixing,
     "op11_tiered_index": op11_tiered_index,
+    "op12_token_links": op12_token_links,
     "op13_relative_lz": op13_relative_lz,
 }
 
