@@ -151,21 +151,22 @@ def parse(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     """Factors every document against the phrases of all others and of its own other places."""
     texts = number(docs, id_col, text_col)
     index = written(_parsed(texts, window), "phrases")
-    shared = index.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # what is grouped is written before it is joined, so that Spark can split the join's hot keys
+    shared = written(index.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     near = written(index.join(shared, "anchor", "left_semi"), "shared")
-    discard(index)
+    discard(index, shared)
     whole = written(near.groupBy("anchor", "contents").agg(F.count("*").alias("c"), F.min("uid").alias("chosen")), "contents")
-    mixed = whole.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("mixed"))
+    mixed = written(whole.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("mixed")), "mixed")
     known = whole.join(mixed, "anchor", "left").where("c > 1 OR mixed")
     found = written(near.join(known, ["anchor", "contents"]).select("uid", "start", "n", "anchor", "c", F.coalesce("mixed", F.lit(False)).alias("mixed"), "chosen"), "found")
-    discard(near, whole)
+    discard(near, whole, mixed)
     ask = found.where("mixed AND (c = 1 OR uid = chosen)").select("uid", "start", "n", "anchor", F.when(F.col("c") > 1, 2).otherwise(1).alias("weight"))
     windows = written(_boundary_windows(texts, answer(ask, "boundaries"), window), "windows")
-    twice = windows.groupBy("anchor", "contents").agg(F.sum("weight").alias("c")).where("c > 1").select("anchor", "contents")
+    twice = written(windows.groupBy("anchor", "contents").agg(F.sum("weight").alias("c")).where("c > 1").select("anchor", "contents"), "twice")
     single = windows.where("weight = 1").join(twice, ["anchor", "contents"], "left_semi").select("uid", F.col("at").alias("start"), F.lit(1).alias("n"))
     copied = found.where("c > 1").select("uid", "start", "n").unionAll(single)
     folder = answer(copied, "copied")
-    discard(found, windows)
+    discard(found, windows, twice)
     copied = texts.sparkSession.read.schema(copied.schema).parquet(folder)
     return Parse(texts, copied, folder, window)
 
