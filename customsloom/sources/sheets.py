@@ -2,16 +2,17 @@
 
 A workbook is a ZIP of XML.  A sheet's XML is cut into ranges of bytes, as text files are: a partition reads the rows whose element
 begins in its range.  The member is inflated from its start, which is fast; only the partition's own rows are parsed.  Of the
-shared strings a partition keeps those that its rows refer to.  Only the columns of the schema are read (pruning), and filters
-that Spark hands over are applied before a batch leaves the reader, in the source's own process.
+shared strings a partition keeps those that its rows refer to.  Only the columns of the schema are read (pruning), and conditions
+are applied before a batch leaves the reader, in the source's own process.  They are an option, ``where``, and not taken from the
+plan: Spark 4.1 keeps what a Python reader was told for later queries of the same DataFrame, which would then lack rows.
 
-    spark.dataSource.register(Sheets)
-    spark.read.format("sheets").schema("tariff string, net_mass double").option("header", 1).load("/data/*.xlsx")
+    read_sheets(spark, "/data/*.xlsx", "tariff string, net_mass double", header=1, where=[("net_mass", ">", 10)])
 
 Options of reading.  ``path``: a file, a folder or a pattern on a path that all workers mount.  ``sheet``: a name; ``kind``: import or
 export, the first sheet whose name speaks of it, else the first one; without both the first sheet.  ``header``: number of
 the row with names, from 0; -1: none.  ``positions``: which columns the schema's fields are, by number from 0, instead of by name.
-``partitionbytes``: bytes of a sheet's XML in a partition.
+``partitionbytes``: bytes of a sheet's XML in a partition.  ``where``: JSON list of [field, sign, value]: = > >= < <= in starts ends
+contains null filled; all must hold, and null fulfils only ``null``.
 
 Defined cases.  A field without such a column is null, as are empty cells, errors and what a field's type can't hold.  Names are compared
 without case and white space at the ends; of equal names the first column counts.  Texts read as they are written, numbers
@@ -26,6 +27,7 @@ removed.  Control characters are written as _xHHHH_, as the format has it.
 from __future__ import annotations
 
 import glob
+import json
 import os
 import re
 import uuid
@@ -308,41 +310,31 @@ def _files(path: str) -> list[str]:
     return found
 
 
-_COMPARE = {ds.EqualTo: pc.equal, ds.GreaterThan: pc.greater, ds.GreaterThanOrEqual: pc.greater_equal, ds.LessThan: pc.less, ds.LessThanOrEqual: pc.less_equal, ds.StringStartsWith: pc.starts_with, ds.StringEndsWith: pc.ends_with, ds.StringContains: pc.match_substring}
-
+_COMPARE = {"=": pc.equal, ">": pc.greater, ">=": pc.greater_equal, "<": pc.less, "<=": pc.less_equal}
+_PARTS = {"starts": pc.starts_with, "ends": pc.ends_with, "contains": pc.match_substring}
 
-def passes(batch: pa.RecordBatch, f: ds.Filter) -> pa.Array:
-    """Where a filter holds; null is no."""
-    if isinstance(f, ds.Not):
-        return pc.invert(passes(batch, f.child))
-    column = batch.column(f.attribute[0])
-    if isinstance(f, ds.IsNull | ds.IsNotNull):
-        return pc.is_null(column) if isinstance(f, ds.IsNull) else pc.is_valid(column)
-    if isinstance(f, ds.In):
-        return pc.is_in(column, value_set=pa.array([v for v in f.value if v is not None], column.type))
-    return _COMPARE[type(f)](column, f.value if isinstance(f, ds.StringStartsWith | ds.StringEndsWith | ds.StringContains) else pa.scalar(f.value, column.type))
 
-
-def _supported(f: ds.Filter, schema: StructType) -> bool:
-    if isinstance(f, ds.Not):
-        return isinstance(f.child, ds.IsNull | ds.IsNotNull) and _supported(f.child, schema)  # of others the null cases differ
-    simple = isinstance(f, (*_COMPARE, ds.In, ds.IsNull, ds.IsNotNull)) and len(f.attribute) == 1 and f.attribute[0] in schema.names
-    return simple and schema[f.attribute[0]].dataType.typeName() in ("string", "long", "integer", "double", "date")
+def passes(column: pa.Array, sign: str, value: Any) -> pa.Array:
+    """Where a condition holds; null is no."""
+    if sign in ("null", "filled"):
+        return pc.is_null(column) if sign == "null" else pc.is_valid(column)
+    if sign in _PARTS:
+        return _PARTS[sign](column, value)
+    if sign == "in":
+        return pc.is_in(column, value_set=pa.array([v for v in value if v is not None]).cast(column.type))
+    if sign not in _COMPARE:
+        raise ValueError(f"no such condition: {sign}")
+    return _COMPARE[sign](column, pa.scalar(value).cast(column.type))
 
 
 class SheetReader(ds.DataSourceReader):
     def __init__(self, options: dict[str, str], schema: StructType):
-        self.options, self.schema, self.filters = dict(options), schema, []
+        self.options, self.schema, self.where = dict(options), schema, json.loads(options.get("where", "[]"))
+        if missing := [c for c, *_ in self.where if c not in schema.names]:
+            raise ValueError(f"conditions on fields that aren't read: {', '.join(missing)}")
         self.header = int(options.get("header", 0))
         self.arrow = to_arrow_schema(schema)
 
-    def pushFilters(self, filters: list[ds.Filter]) -> Iterable[ds.Filter]:
-        for f in filters:
-            if _supported(f, self.schema):
-                self.filters.append(f)
-            else:
-                yield f
-
     def partitions(self) -> Sequence[ds.InputPartition]:
         step, out = int(self.options.get("partitionbytes", 16 << 20)), []
         for path in _files(self.options["path"]):
@@ -406,8 +398,8 @@ class SheetReader(ds.DataSourceReader):
         for i, field in enumerate(self.arrow):
             arrays.append(pa.array([value_of(r[i], strings, book, field.type) if i in r else None for r in rows], field.type))
         batch = pa.RecordBatch.from_arrays(arrays, schema=self.arrow)
-        for f in self.filters:
-            batch = batch.filter(passes(batch, f))
+        for name, sign, *value in self.where:
+            batch = batch.filter(passes(batch.column(name), sign, value[0] if value else None))
         if batch.num_rows:
             yield batch
 
@@ -576,21 +568,18 @@ class Sheets(ds.DataSource):
         return SheetWriter(self.options, schema, overwrite)
 
 
-def _ready(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(Sheets)
-
-
-def read_sheets(spark: SparkSession, path: str, schema: str | None = None, **options: object) -> DataFrame:
+def read_sheets(spark: SparkSession, path: str, schema: str | None = None, where: list[tuple] | None = None, **options: object) -> DataFrame:
     """Rows of the workbooks at a path; options as the module says."""
-    _ready(spark)
+    spark.dataSource.register(Sheets)
+    if where:
+        options["where"] = json.dumps(where)
     reader = spark.read.format("sheets").options(**{k: str(v) for k, v in options.items()})
     return (reader.schema(schema) if schema else reader).load(path)
 
 
 def write_sheets(rows: DataFrame, path: str, mode: str = "append", **options: object) -> None:
     """Rows as workbooks, a file a task."""
-    _ready(rows.sparkSession)
+    rows.sparkSession.dataSource.register(Sheets)
     rows.write.format("sheets").options(**{k: str(v) for k, v in options.items()}).mode(mode).save(path)
 
 
@@ -599,14 +588,14 @@ LAYOUTS = {"export": (1, "0,1,3,4,5"), "import": (2, "0,1,2,3,4")}
 RECORD = "export_country string, import_country string, tariff string, description string, net_mass string"
 
 
-def read_declarations(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Declaration rows of the sheets of a kind, by place where the layout has at least five columns, else by the names' aliases."""
+def read_declarations(spark: SparkSession, path: str, kind: str, where: list[tuple] | None = None) -> DataFrame:
+    """Declaration rows of the sheets of a kind, by place where the layout has at least five columns (with conditions, if any), else by the names' aliases."""
     from customsloom.sources.records import by_alias
 
     header, positions = LAYOUTS[kind]
     named = read_sheets(spark, path, kind=kind, header=header)
     if len(named.columns) >= 5:
-        return read_sheets(spark, path, RECORD, kind=kind, header=header, positions=positions)
+        return read_sheets(spark, path, RECORD, where, kind=kind, header=header, positions=positions)
     if kind == "import":
         raise ValueError(f"a sheet of imports has five columns, not {len(named.columns)}")
     rows = by_alias(named)

@@ -58,15 +58,19 @@ def test_types_and_texts_come_back(spark, tmp_path):
     assert {r["day"] for r in plain.collect()} <= {r[4].isoformat() for r in rows} and {r["ok"] for r in plain.collect()} <= {"true", "false"}
 
 
-def test_filters_and_columns_are_the_sources(spark, tmp_path):
-    df = spark.range(500).selectExpr("id AS n", "concat('k', id % 10) AS k", "IF(id % 4 = 0, NULL, id / 3) AS x")
+def test_conditions_and_columns_are_the_sources(spark, tmp_path):
+    df = spark.range(500).selectExpr("id AS n", "concat('k', id % 10) AS k", "IF(id % 4 = 0, NULL, id / 3) AS x", "date_add('2024-01-01', CAST(id AS INT)) AS d")
     sheets.write_sheets(df.repartition(2), str(tmp_path / "a"))
-    rows = sheets.read_sheets(spark, str(tmp_path / "a"), "x double, k string, missing string", partitionbytes=2000)
-    kept = rows.where("x IS NOT NULL AND x > 20 AND x <= 150 AND k IN ('k1', 'k2', 'k3') AND k LIKE 'k%'")
-    want = sorted((r["x"], r["k"]) for r in df.where("x > 20 AND x <= 150 AND k IN ('k1', 'k2', 'k3')").collect())
-    assert sorted((r["x"], r["k"]) for r in kept.collect()) == want and want
-    assert "Filter (" not in kept._jdf.queryExecution().executedPlan().toString()  # nothing is left for Spark to filter
-    assert rows.where("missing IS NULL AND x IS NULL").count() == 125 and rows.where("x <=> NULL OR k = 'k1'").count() == df.where("x IS NULL OR k = 'k1'").count()
+    cases = {
+        "x > 20 AND x <= 150 AND k IN ('k1', 'k2')": [("x", ">", 20), ("x", "<=", 150), ("k", "in", ["k1", "k2", None])], "x IS NULL": [("x", "null"), ("missing", "null")], "d >= '2024-03-01' AND x IS NOT NULL": [("d", ">=", "2024-03-01"), ("x", "filled")],
+        "k LIKE '%7' AND k LIKE 'k%' AND x < 100": [("k", "ends", "7"), ("k", "starts", "k"), ("k", "contains", "k7"), ("x", "<", 100)], "k = 'k0'": [("k", "=", "k0")],
+    }
+    for sql, where in cases.items():
+        got = sheets.read_sheets(spark, str(tmp_path / "a"), "x double, k string, missing string, d date", where, partitionbytes=2000)
+        want = [(r["x"], r["k"], None, r["d"]) for r in df.where(sql).collect()]
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want)) and want
+    with pytest.raises(Exception, match="aren't read"):
+        sheets.read_sheets(spark, str(tmp_path / "a"), "x double", [("k", "=", "k0")]).count()
 
 
 def test_what_other_programs_write(spark, tmp_path):
