@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from customsloom.plans import activity, documents, invoices, knowledge, matching, pricing, quality, rollups, sheets  # noqa: F401
+from customsloom.plans import activity, documents, invoices, knowledge, matching, places, pricing, quality, rollups, sheets  # noqa: F401
 from customsloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
