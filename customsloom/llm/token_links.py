@@ -24,6 +24,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +36,19 @@ from customsloom.llm.common import atomic_save, bounded_batches, mounted, new_fo
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters that surely aren't white space for either tokenizer, nor the sign that stands for a space.
-_SOLID = r"[^\s\x00-\x20\x7f-\xa0 ᠎ -⁯▁　﻿]"
+_SPACES = "".join(map(chr, [0x1680, 0x180E, *range(0x2000, 0x2070), 0x2581, 0x3000, 0xFEFF]))
+_SOLID = rf"[^\s\x00-\x20\x7f-\xa0{_SPACES}]"
 PIECES = re.compile(f"(?<={_SOLID}) (?={_SOLID})")
 #: Distinct pieces that a worker remembers, and characters of text that are aligned at once.
-REMEMBERED, RUN_CHARS = 200_000, 1 << 19
+REMEMBERED, RUN_CHARS = 400_000, 1 << 19
+#: Pieces that are encoded as one text.
+TOGETHER = 8_192
 #: Pairs that a counting task gathers before it combines them.
 COMBINE = 2_000_000
 #: Files of pair counts, by A id.
 SHARDS = 256
-#: Pieces for the plain merge loop: short, and of characters on which all versions of Unicode agree.
-_PLAIN = re.compile(r"[\x21-\x7e\xa1-ɏ]{1,200}")
+#: Pieces that may be encoded as one text, and by the plain merge loop: short, and of characters on which all versions of Unicode agree.
+_PLAIN = re.compile(rf"[\x21-\x7e{chr(0xA1)}-{chr(0x24F)}]{{1,200}}")
 #: How A splits a text before merging.  Fixed value of its file format.
 _PRETOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LOW = 26  # bits of an id
@@ -94,33 +98,57 @@ class Aligner:
             cls._loaded[paths] = cls(*paths)
         return cls._loaded[paths]
 
-    def tokens_a(self, pieces: list[str]) -> list[list[int]]:
-        """Of a space and each piece."""
-        if self.plain is None:
-            return [e.ids for e in self.a.encode_batch([f" {p}" for p in pieces], add_special_tokens=False)]
-        out = [self.plain.encode_ordinary(f" {p}") if _PLAIN.fullmatch(p) else None for p in pieces]
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, e in zip(rest, self.a.encode_batch([f" {pieces[i]}" for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+    def tokens_a(self, texts: list[str]) -> list[list[int]]:
+        """Of a space and each text."""
+        return [e.ids for e in self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
 
-    def tokens_b(self, pieces: list[str]) -> list[list[int]]:
-        return self.b.encode(pieces, num_threads=1)
+    def tokens_b(self, texts: list[str]) -> list[list[int]]:
+        return self.b.encode(texts, num_threads=1)
 
-    def whole(self, pieces: list[str], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
-        """Whether both sides' bytes are a space and the piece."""
-        want = [b" " + p.encode() for p in pieces]
+    def whole(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Whether both sides' bytes are a space and the text."""
         at, bt = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        return np.fromiter((b"".join(map(at, x)) == w == b"".join(map(bt, y)) for x, y, w in zip(a, b, want, strict=True)), bool, len(pieces))
+        return np.fromiter((b"".join(map(at, x)) == b" " + t.encode() == b"".join(map(bt, y)) for x, y, t in zip(a, b, texts, strict=True)), bool, len(texts))
+
+    def _joined(self, pieces: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None:
+        """(ids, tokens of each piece) of both sides for plain pieces, encoded as one text; None if that isn't their bytes."""
+        text = " ".join(pieces)
+        want = b" " + text.encode()
+        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in pieces), np.int64, len(pieces)))
+        out = []
+        for ids, words, size in ((self.plain.encode_ordinary(f" {text}"), self.a_bytes, self.a_size), (self.b.encode(text), self.b_bytes, self.b_size)):
+            if b"".join(map(words.__getitem__, ids)) != want:
+                return None
+            ids = np.array(ids, np.int64)
+            last = np.searchsorted(np.cumsum(size[ids]), ends)
+            out.append((ids, np.diff(np.concatenate([[-1], last]))))
+        return out[0], out[1]
+
+    def encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(whole, ids and tokens of each piece of A, the same of B); pieces that aren't whole have none."""
+        parts, at = [], 0
+        while at < len(pieces):
+            to, plain = at, self.plain is not None and _PLAIN.fullmatch(pieces[at]) is not None
+            while to < len(pieces) and to - at < TOGETHER and (self.plain is not None and _PLAIN.fullmatch(pieces[to]) is not None) == plain:
+                to += 1
+            some = pieces[at:to]
+            if plain and (both := self._joined(some)) is not None:
+                parts.append((np.ones(len(some), bool), *both[0], *both[1]))
+            else:
+                a, b = self.tokens_a(some), self.tokens_b(some)
+                whole = self.whole(some, a, b)
+                for i in np.flatnonzero(~whole):
+                    a[i] = b[i] = []
+                n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+                a_id, b_id = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in ((a, n_a), (b, n_b)))
+                parts.append((whole, a_id, n_a, b_id, n_b))
+            at = to
+        whole, a_id, n_a, b_id, n_b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return whole, a_id, n_a, b_id, n_b
 
     def align(self, pieces: list[str], named: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """Of each piece (whole, n_a, n_b, n_groups, n_links); of all its links the piece, pair and number; its groups written out."""
-        a, b = self.tokens_a(pieces), self.tokens_b(pieces)
-        whole = self.whole(pieces, a, b)
-        for i in np.flatnonzero(~whole):
-            a[i] = b[i] = []
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        a_id, b_id = (np.fromiter((i for ids in x for i in ids), np.int64, n.sum()) for x, n in ((a, n_a), (b, n_b)))
+        whole, a_id, n_a, b_id, n_b = self.encoded(pieces)
         a_end, b_end = np.cumsum(self.a_size[a_id]), np.cumsum(self.b_size[b_id])  # both sides have the same bytes, so ends compare over all pieces
         cut = np.intersect1d(a_end, b_end, assume_unique=True)
         a_first, b_first = (np.concatenate([[0], np.searchsorted(e, cut, side="right")]) for e in (a_end, b_end))
@@ -138,7 +166,7 @@ class Aligner:
         groups = []
         if named:
             an, bn = [self.a_name[i] for i in a_id.tolist()], [self.b_name[i] for i in b_id.tolist()]
-            each = [f"{','.join(an[i:j])}|{','.join(bn[k:m])}" for i, j, k, m in zip(a_first[:-1].tolist(), a_first[1:].tolist(), b_first[:-1].tolist(), b_first[1:].tolist(), strict=True)]
+            each = [f"{an[i] if j == i + 1 else ','.join(an[i:j])}|{bn[k] if m == k + 1 else ','.join(bn[k:m])}" for i, j, k, m in zip(a_first[:-1].tolist(), a_first[1:].tolist(), b_first[:-1].tolist(), b_first[1:].tolist(), strict=True)]
             edge = np.concatenate([[0], np.cumsum(stats[:, 3])]).tolist()
             groups = [";".join(each[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
         return stats, owner_, pair_, number, groups
@@ -153,18 +181,43 @@ def _summed(owner: np.ndarray, key: np.ndarray, number: np.ndarray) -> tuple[np.
 
 
 class Remembered:
-    """Aligned pieces of a worker, by text; forgets all when they are too many."""
+    """Aligned pieces of a worker, by text, from one task to the next; when they are too many it keeps those met again."""
+
+    _last: tuple[tuple, Remembered] | None = None
+
+    @classmethod
+    def of(cls, paths: tuple[str, str], folder: str | None) -> Remembered:
+        """Of the counting (no folder of counts), or of the second reading; a worker holds one of them."""
+        key = (paths, folder)
+        if cls._last is None or cls._last[0] != key:
+            cls._last = None
+            cls._last = (key, cls(paths, folder is not None, _looked_up(folder) if folder else None))
+        return cls._last[1]
 
     def __init__(self, paths: tuple[str, str], named: bool, extra: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray] | None = None):
         self.aligner, self.named, self.extra = Aligner.of(paths), named, extra
-        self._forget()
-
-    def _forget(self) -> None:
         self.place: dict[str, int] = {}
         self.stats, self.more, self.groups = np.zeros((0, 5), np.int64), np.zeros((0, 2), np.int64), []
-        self.pair = self.number = np.zeros(0, np.int64)
+        self.pair = self.number = self.uses = np.zeros(0, np.int64)
         self.first = np.zeros(1, np.int64)
 
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > REMEMBERED // 2:
+            keep = keep[:0]
+        pieces = list(self.place)
+        self.place = {pieces[i]: j for j, i in enumerate(keep.tolist())}
+        if self.extra is None:
+            size = self.first[keep + 1] - self.first[keep]
+            source = np.repeat(self.first[keep] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            self.pair, self.number = self.pair[source], self.number[source]
+            self.first = np.concatenate([[0], np.cumsum(size)])
+        else:
+            self.more = self.more[keep]
+        if self.named:
+            self.groups = [self.groups[i] for i in keep.tolist()]
+        self.stats, self.uses = self.stats[keep], np.zeros(len(keep), np.int64)
+
     def runs(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, pieces of each text, their places) of runs of texts of about RUN_CHARS."""
         lo = 0
@@ -177,7 +230,7 @@ class Remembered:
                 hi += 1
             split = [PIECES.split(t) if t else [] for t in texts[lo:hi]]
             flat = [p for ps in split for p in ps]
-            new = [p for p in dict.fromkeys(flat) if p not in self.place]
+            new = sorted((p for p in dict.fromkeys(flat) if p not in self.place), key=lambda p: _PLAIN.fullmatch(p) is None)
             if new:
                 self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
                 stats, owner, pair, number, groups = self.aligner.align(new, self.named)
@@ -188,7 +241,9 @@ class Remembered:
                 else:
                     self.pair, self.number = np.concatenate([self.pair, pair]), np.concatenate([self.number, number])
                     self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(owner, minlength=len(new)))])
-            yield lo, np.fromiter(map(len, split), np.int64, hi - lo), np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+            at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)]) + np.bincount(at, minlength=len(self.place))
+            yield lo, np.fromiter(map(len, split), np.int64, hi - lo), at
             lo = hi
 
 
@@ -202,7 +257,7 @@ def pair_counts(docs: DataFrame, paths: tuple[str, str], text_col: str = "text")
     """(pair, n): in how many documents each linked pair of ids occurs; a pair is the A id times 2**26 plus the B id."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Remembered(paths, named=False)
+        memo = Remembered.of(paths, None)
         pairs, numbers, held = [], [], 0
 
         def combined() -> pa.RecordBatch:
@@ -289,7 +344,7 @@ def aligned(docs: DataFrame, folder: str, paths: tuple[str, str], id_col: str =
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Remembered(paths, named=True, extra=_looked_up(folder))
+        memo = Remembered.of(paths, folder)
         for b in batches:
             for lo, n, at in memo.runs(b.column(1).to_pylist()):
                 row, whole = _alignable(memo, n, at)
