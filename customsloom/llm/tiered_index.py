@@ -133,13 +133,14 @@ def build(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id
     return Index(postings, tiers, documents, length)
 
 
-def _residual(read: str = "read") -> Column:
-    return F.expr(f"CASE WHEN {read} < size(tops) THEN w * tops[{read}] ELSE 0L END")
+def _residual(t: Column) -> Column:
+    """What a term's unread postings can add at most."""
+    return F.when(t["read"] < F.size(t["tops"]), t["w"] * F.get(t["tops"], t["read"])).otherwise(F.lit(0).cast("bigint"))
 
 
-def _sums(open_terms: DataFrame, postings: DataFrame) -> DataFrame:
+def _sums(items: DataFrame, postings: DataFrame) -> DataFrame:
     """(item, uid, id, low, seen): what was read of each document for each item, and the residuals of the terms it was met in."""
-    asked = open_terms.select("item", "term", "w", "read", _residual().alias("residual"))
+    asked = items.select("item", F.explode("terms").alias("t")).select("item", "t.term", "t.w", "t.read", _residual(F.col("t")).alias("residual"))
     hits = asked.join(postings, "term").where("tier < read")
     return hits.groupBy("item", "uid").agg(F.min("id").alias("id"), F.sum(F.col("w") * F.col("impact")).alias("low"), F.sum("residual").alias("seen"))
 
@@ -149,30 +150,41 @@ def _best(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _judged(items: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Items with their threshold, the sum of residuals, terms from the least residual on, and how many of these may stay unread.
+
+    An item's terms are one row: they are as many as its text has."""
+    rows = items.join(thresholds, "item", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0)))
+    rows = rows.withColumn("terms", F.array_sort(F.transform("terms", lambda t: F.struct(_residual(t).alias("residual"), t["term"].alias("term"), t["w"].alias("w"), t["tops"].alias("tops"), t["read"].alias("read")))))
+    unread = F.expr(f"transform(terms, (t, i) -> aggregate(slice(terms, 1, i + 1), 0L, (a, x) -> a + x.residual) <= threshold * {SPARE} OR t.residual = 0)")
+    return rows.withColumns({"all": F.expr("aggregate(terms, 0L, (a, x) -> a + x.residual)"), "spared": F.size(F.filter(unread, lambda x: x))})
+
+
 def search(index: Index, items: DataFrame, k: int = 10) -> tuple[DataFrame, list[int]]:
     """(item, rank, id, score) of the k best documents of each (item, term), and how many items were open before each tier."""
     spark, kind = items.sparkSession, dict(items.dtypes)["item"]
-    state = written(items.join(index.terms, "term").select("item", "term", "w", "tops", F.lit(1).alias("read")), "asked")
+    known = items.join(index.terms, "term").groupBy("item").agg(F.collect_list(F.struct("term", "w", "tops", F.lit(1).alias("read"))).alias("terms"))
+    state = written(known, "asked")
     done, opened = [], []
-    while n := state.select("item").distinct().count():
+    while n := state.count():
         opened.append(n)
         top = _best(_sums(state, index.postings), k, F.desc("low"))
         threshold = top.groupBy("item").agg(F.when(F.count("*") >= k, F.min("low")).otherwise(0).alias("threshold"))
-        now = state.join(threshold, "item", "left").withColumns({"threshold": F.coalesce("threshold", F.lit(0)), "residual": _residual()})
-        unread = F.sum("residual").over(Window.partitionBy("item").orderBy("residual", "term"))
-        now = now.withColumn("short", (F.col("residual") > 0) & (unread > F.col("threshold") * SPARE))
-        now = written(now.withColumn("unproven", F.max("short").over(Window.partitionBy("item"))), "round")
-        done.append(now.where("NOT unproven").drop("short", "unproven"))
-        old, state = state, written(now.where("unproven").select("item", "term", "w", "tops", (F.col("read") + F.col("short").cast("int")).alias("read")), "asked")
+        done.append(written(_judged(state, threshold), "round"))
+        deeper = F.transform("terms", lambda t, i: F.struct(t["term"].alias("term"), t["w"].alias("w"), t["tops"].alias("tops"), (t["read"] + (i >= F.col("spared")).cast("int")).alias("read")))
+        old, state = state, written(done[-1].where("spared < size(terms)").select("item", deeper.alias("terms")), "asked")
         discard(old)
+    discard(state)
     if not done:
         return spark.createDataFrame([], f"item {kind}, rank int, id {dict(index.postings.dtypes)['id']}, score bigint"), opened
-    proven = done[0]
+    proven = done[0].where("spared = size(terms)")
     for part in done[1:]:
-        proven = proven.unionAll(part)
-    bounds = proven.groupBy("item").agg(F.max("threshold").alias("threshold"), F.sum("residual").alias("all"))
-    near = _sums(proven, index.postings).join(bounds, "item").where("low + all - seen >= threshold").select("item", "uid", "low")
-    rest = near.join(index.postings, "uid").join(proven.select("item", "term", "w", "read"), ["item", "term"])
+        proven = proven.unionAll(part.where("spared = size(terms)"))
+    proven = written(proven.drop("spared"), "proven")
+    discard(*done)
+    near = _sums(proven, index.postings).join(proven.select("item", "threshold", "all"), "item").where("low + all - seen >= threshold").select("item", "uid")
+    asked = proven.select("item", F.explode("terms").alias("t")).select("item", "t.term", "t.w")
+    rest = near.join(index.postings, "uid").join(asked, ["item", "term"])
     full = rest.groupBy("item", "uid").agg(F.min("id").alias("id"), F.sum(F.col("w") * F.col("impact")).alias("score")).where("score > 0")
     return _best(full, k, F.desc("score"), F.asc_nulls_last("id"), "uid").select("item", "rank", "id", "score"), opened
 
