@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from customsloom.plans import activity, documents, entities, invoices, knowledge, matching, places, pricing, quality, repair, rollups, sheets  # noqa: F401
+from customsloom.plans import activity, documents, entities, invoices, knowledge, matching, places, pricing, quality, repair, rollups, sheets, shipment  # noqa: F401
 from customsloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
