@@ -11,7 +11,7 @@ other elements (named divisions, side columns, forms, notices, comments), so tha
 neighbours, too, not from one tag.  Weights start from a fixed seed and the sample is chosen by hash.
 
 Defined cases.  A null page is empty; one without blocks has empty text.  Mark-up that isn't closed or nested properly is read
-as browsers do for paragraphs and list items, and otherwise closed with its parent; a tag that never ends is text.  What stands in script, style, head and
+as browsers do for paragraphs, list items and heads (a head ends where something stands that can't be in one), and otherwise closed with its parent; a tag that never ends is text.  What stands in script, style, head and
 like elements and in comments is no text.  Any length of page is read whole.  Repeated rows are judged one by one; a null id
 or url is carried through.  Other columns of the input are ignored.
 """
@@ -38,7 +38,9 @@ BLOCK = set(
     "legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is no text.  Fixed values.
-HIDDEN = set("head script style noscript template title svg math iframe object canvas audio video textarea".split())
+HIDDEN = set("head script style noscript template title svg iframe object canvas audio video textarea".split())
+#: Elements that may stand in a head; any other, and text, ends it.  Fixed values.
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 #: An opening tag of the key closes an open element of the value.  Fixed values.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -150,20 +152,19 @@ def tags(page: str) -> Iterator[tuple[int, int, str, str]]:
 
     Every search starts where the last one ended, or isn't made again once it has failed, so the time grows with the page's length.
     """
-    at, size, missing = 0, len(page), set()
+    at, size, known = 0, len(page), {}
 
     def find(what: str, start: int) -> int:
-        found = page.find(what, start) if what not in missing else -1
-        if found < 0:
-            missing.add(what)
-        return found
+        if start > known.get(what, -1) >= 0 or what not in known:
+            known[what] = page.find(what, start)
+        return known[what]
 
     while (start := page.find("<", at)) >= 0:
         m = _TAG.match(page, start + 1)
         if m is None:
             if page.startswith("!--", start + 1):
-                end = find("-->", start + 4)
-                at = end + 3 if end >= 0 else size
+                ends = [e + n for e, n in ((find("-->", start + 2), 3), (find("--!>", start + 4), 4)) if e >= 0]
+                at = min(ends, default=size)
             elif page[start + 1 : start + 2] in ("!", "?"):
                 end = find(">", start)
                 at = end + 1 if end >= 0 else size
@@ -227,8 +228,17 @@ def leaves(page: str | None) -> list[Leaf]:
             links -= tag == "a"
             stack.pop()
 
+    def end_head(by: str):
+        """A head without an end tag ends where something stands that can't be in one."""
+        if stack and stack[-1][0] == "head" and by not in IN_HEAD:
+            close(len(stack) - 1)
+
     at = 0
     for start, end, name, attributes in tags(page):
+        if start > at and not page[at:start].isspace():
+            end_head("text")
+        if name and name[0] != "/":
+            end_head(name)
         if start > at and not hidden:
             held.append(page[at:start])
             linked += links > 0 and start - at
@@ -245,6 +255,8 @@ def leaves(page: str | None) -> list[Leaf]:
             elif tag == "br":
                 held.append(" ")
             continue
+        if name == "head" and any(tag != "html" for tag, _ in stack[-2:]):
+            continue  # a second one
         if name in BLOCK:
             flush()
             if of_block and ((top := stack[of_block[-1]][0]) == "p" or top in CLOSES.get(name, ())):
@@ -259,6 +271,8 @@ def leaves(page: str | None) -> list[Leaf]:
         stack.append((name, Element(stack[-1][1] if stack else None, _names(name, attributes))))
         hidden += name in HIDDEN
         links += name == "a"
+    if at < len(page) and not page[at:].isspace():
+        end_head("text")
     if not hidden and at < len(page):
         held.append(page[at:])
     flush()

@@ -20,6 +20,26 @@ def test_leaves():
     assert hb.leaves(None) == [] == hb.leaves("") == hb.leaves("<p></p><script>x")
 
 
+def test_heads_end_where_browsers_end_them():
+    article = "<article><p>one</p><p>two</p></article>"
+    for head in (
+        "<html><head><title>t</title><body>", "<head><meta charset=utf-8><link rel=x>", "<head><script>if (a < b) {}</script><style>p {}</style><main>", "<html><head><title>t</title></head><body>", "<head></head>", "<title>t</title><meta x>", "<head>\n <base href=/ ><noscript>n</noscript>\n",
+        "<head><template><p>no</p></template>", "<body><head><title>t</title>", "<html><head><head>", "<HEAD><TITLE>T</TITLE><BODY>", "<head>\n<!-- c --><div>",
+    ):
+        assert [b.text for b in hb.leaves(head + article)] == ["one", "two"], head
+    assert [b.text for b in hb.leaves("<head><title>t</title>words <b>and</b> more<p>one")] == ["words and more", "one"]
+    assert [b.text for b in hb.leaves("<div><p>one<head><p>two")] == ["one", "two"]
+
+
+def test_comments_and_formulas():
+    for comment in ("<!-- no -->", "<!-- no --!>", "<!-->", "<!--->", "<!-- a -- b --!> <!-- > no -->", "<!---->", "<!no>", "<?no?>"):
+        assert [b.text for b in hb.leaves(f"<p>one</p>{comment}<p>two</p>")] == ["one", "two"], comment
+    assert hb.leaves("<!-- no <p>two</p>") == []
+    assert [b.text for b in hb.leaves("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<svg><text>no</text></svg>")] == ["so x=2 holds"]
+    began = time.time()
+    assert len(hb.leaves("<!-- x --><p>y" * 60_000 + "--!>")) == 60_000 and time.time() - began < 20
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(1)
     model = hb.Labeller(size=4)
@@ -55,6 +75,15 @@ def test_held_out_pages_and_layouts(spark):
 
 
 PROSE = ["The river rose overnight and the lower road was closed before the first buses left.", "Nobody in the village could recall a spring like it, and the miller said so twice.", "By noon the water had reached the school, where the children were sent upstairs.", "It fell again on Thursday, leaving a line of silt along the churchyard wall."]
+def test_no_page_with_an_article_is_empty(spark):
+    """The whole query over supplied pages whose heads lack end tags, with odd comments in front."""
+    pages = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
+    as_it_was = {r["page_id"]: r["text"] for r in hb.extract_pages(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    headless = [(i, u, re.sub("</head>", "", "<!-- note --!>" + h, flags=re.I)) for i, u, h in pages]
+    got = {r["page_id"]: r["text"] for r in hb.extract_pages(spark.createDataFrame(headless, "page_id bigint, url string, html string")).collect()}
+    assert got == as_it_was and all(got.values())
+
+
 #: Pages marked by hand: what the article is, whatever the mark-up says.
 MARKED = [
     (f"<body><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav><main><h1>Flood</h1><p>{PROSE[0]}<p>{PROSE[1]}</main><footer>&copy; 2024 The Paper</footer>", ["Flood", PROSE[0], PROSE[1]]),
