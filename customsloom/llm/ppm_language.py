@@ -156,7 +156,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     if not have:
         return Model.of({}, order)
     share = F.create_map(*[F.lit(x) for lang, over in sorted(have.items()) for x in (lang, min(1.0, 1 / over))])
-    picked = rows.where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)) < share[F.col("lang")])
+    picked = rows.where((F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / (1 << 30)) < share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
