@@ -236,3 +236,57 @@ def surfaces(key: str, **tables: DataFrame) -> DataFrame:
         every = part if every is None else every.unionByName(part)
     both = every.groupBy(key, "field").agg(F.count_distinct("value").alias("n"), F.array_sort(F.collect_list(F.struct("surface", "value"))).alias("all")).where("n > 1")
     return both.select(key, "field", F.array_join(F.transform("all", lambda x: x["value"]), "|").alias("shown"), F.array_join(F.transform("all", lambda x: x["surface"]), "|").alias("names"))
+
+
+#: Issues that bear on a declaration, and what minor ones cost whatever their kind.  Fixed values.
+CUSTOMS_CODES = [
+    "MISSING_GROSS_WEIGHT", "MISSING_NET_WEIGHT", "MISSING_PACKAGE_COUNT", "MISSING_INCOTERMS", "MISSING_VAT_ARTICLE", "NO_ORIGIN_DECLARATION", "MISSING_COUNTRY_OF_ORIGIN", "EU_DESTINATION", "MISSING_DESTINATION", "MISSING_DESTINATION_COUNTRY",
+]
+MINOR_PENALTIES = {
+    "MISSING_VAT_ARTICLE": 5, "MISSING_NET_WEIGHT": 0, "NO_ORIGIN_DECLARATION": 0, "MISSING_COUNTRY_OF_ORIGIN": 0, "MISSING_DELIVERY_ADDRESS": 3, "INCOMPLETE_DELIVERY_ADDRESS": 3, "INVOICE_DATE_OLDER_THAN_180_DAYS": 10, "HS_CODE_NOT_ON_INVOICE": 5,
+    "DELIVERY_NOTE_DETECTED": 0, "CERTIFICATE_OF_ORIGIN_REFERENCED": 0, "PACKING_LIST_REFERENCED": 0, "EUR1_REFERENCED": 0, "LTSD_REFERENCED": 0, "DESCRIPTION_REVIEW_RECOMMENDED": 0, "TOTAL_VALUE_PARSING_ERROR": 8,
+}
+FUTURE_DATE = 50
+#: The most that a blocked and a reviewed document reach; labels from a score on.  Fixed values.
+CAPS = {"CUSTOMS_BLOCKED": 45, "CUSTOMS_REVIEW": 85}
+LABELS = [(90, "Ready for export declaration"), (75, "Mostly ready — review gaps"), (55, "Customs review required"), (0, "Significant gaps before filing")]
+
+
+def code_penalty(code: Column, kind: Column, critical: Column) -> Column:
+    """What an issue costs: minor codes their own, a date in the future 50, others by kind."""
+    own = F.create_map(*(x for k, v in sorted(MINOR_PENALTIES.items()) for x in (F.lit(k), F.lit(v))))
+    return F.coalesce(F.try_element_at(own, code), F.when(code == "INVOICE_DATE_IN_FUTURE", FUTURE_DATE), penalty(kind, critical))
+
+
+def customs_dimensions(gross: Column, declared_packages: Column, packages_: Column, pallets: Column, package_type: Column, incoterms: Column, vat_article: Column, origin_status: Column, evidence: Column, declared: Column, missing: Column, ready: Column, export_ready: Column, codes: Column) -> dict[str, Column]:
+    """The seven scores of a declaration, 0 to 100; ``codes`` are the codes of a document's issues (array), ``missing`` its number of missing fields (null: no verdict)."""
+    has = lambda code: F.coalesce(F.array_contains(codes, code), F.lit(False))
+    filled = lambda x: F.coalesce(F.trim(x), F.lit("")) != ""
+    present = F.when(F.coalesce(ready, F.lit(False)), 100.0).otherwise(clamp(rounded(F.greatest(F.lit(0), 10 - missing) / 10.0 * 100).cast("double")))
+    return {
+        "gross_weight": F.when(gross > 0, 100.0).when(has("MISSING_GROSS_WEIGHT"), 0.0).otherwise(40.0),
+        "package_count": F.when(declared_packages > 0, 100.0).when(packages_ > 0, 90.0).when(pallets > 0, 75.0).when(has("MISSING_PACKAGE_COUNT"), 0.0).otherwise(30.0),
+        "package_type": F.when(filled(package_type), 100.0).when(declared_packages.isNotNull(), 60.0).otherwise(35.0),
+        "incoterms": F.when(filled(incoterms) & (F.trim(incoterms) != "—"), 100.0).when(has("MISSING_INCOTERMS"), 0.0).otherwise(25.0),
+        "vat_article": F.when(filled(vat_article), 100.0).when(has("MISSING_VAT_ARTICLE"), 55.0).otherwise(70.0),
+        "origin_evidence": F.when((origin_status == "CONFIRMED") | (evidence == "DECLARED"), 100.0).when(declared, 85.0).when(evidence == "UNVERIFIED", 45.0).when(origin_status == "NOT_DECLARED", 60.0).otherwise(50.0),
+        "declaration": F.when(missing.isNull(), 50.0).when(F.coalesce(export_ready, F.lit(False)), present).otherwise(F.least(present, F.lit(75.0))),
+    }
+
+
+def customs_score(documents: DataFrame, issues: DataFrame, key: str = "invoice_id") -> DataFrame:
+    """(key, customs_score, label) of documents (key, base, status), from issues (key, code, kind, critical).
+
+    Each distinct code that bears on a declaration or is critical costs once (its dearest issue); a blocked document reaches 45, a reviewed
+    one 85.  Nulls count for nothing."""
+    counted = issues.where(F.col("code").isin(CUSTOMS_CODES) | F.coalesce("critical", F.lit(False)))
+    each = counted.groupBy(key, "code").agg(F.max(code_penalty(F.col("code"), F.col("kind"), F.coalesce("critical", F.lit(False)))).alias("cost"))
+    rows = documents.join(each.groupBy(key).agg(F.sum("cost").alias("_cost")), key, "left")
+    score = F.col("base") - F.coalesce("_cost", F.lit(0))
+    for status, most in CAPS.items():
+        score = F.when(F.col("status") == status, F.least(score, F.lit(most))).otherwise(score)
+    score = rounded(clamp(score.cast("double")))
+    label = F.when(F.col("status") == "CUSTOMS_BLOCKED", "Not ready for filing")
+    for least, name in LABELS:
+        label = label.when(score >= least, name)
+    return rows.select(key, score.alias("customs_score"), label.alias("label"))

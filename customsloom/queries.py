@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from customsloom.plans import activity, display, documents, entities, invoices, knowledge, languages, matching, places, pricing, quality, repair, rollups, sheets, shipment  # noqa: F401
+from customsloom.plans import activity, display, documents, entities, identity, invoices, knowledge, languages, matching, places, pricing, quality, repair, rollups, sheets, shipment  # noqa: F401
 from customsloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
