@@ -16,7 +16,7 @@ def words(t):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(m[1]) for q in queries.QUERIES if (m := re.match(r"op(\d+)_", q)))
-    assert numbers == list(range(1, 11)) and "pipeline" in __spark_entry__.queries() and len(corpus_pipeline.STAGES) == 4
+    assert numbers == list(range(1, 14)) and "pipeline" in __spark_entry__.queries() and len(corpus_pipeline.STAGES) == 4
 
 
 def test_stages_hand_on_documents(spark):
