@@ -91,9 +91,12 @@ def found(text: Column) -> dict[str, Column]:
     return {k: _any(text, p) for k, p in DECLARATIONS.items()}
 
 
-def named_positions(text: Column, kind: str) -> Column:
-    """Positions that the declarations of a kind name, sorted."""
-    parts = [F.regexp_extract_all(text, F.lit(f"(?i){p}"), 1) for p in DECLARATIONS[kind]]
+def named_positions(text: Column, kind: str, mode: str = "ranges") -> Column:
+    """Positions that the declarations of a kind name, sorted.  A dash makes a range; with mode ``reference`` a list ends before one."""
+    if mode not in ("ranges", "reference"):
+        raise ValueError(mode)
+    patterns = DECLARATIONS[kind] if mode == "ranges" else [p.replace(r"\-–", "") for p in DECLARATIONS[kind]]
+    parts = [F.regexp_extract_all(text, F.lit(f"(?i){p}"), 1) for p in patterns]
     return F.coalesce(positions(F.array_join(F.concat(*parts), " , ")), F.array().cast("array<int>"))
 
 
@@ -103,13 +106,14 @@ def authorisation_number(text: Column) -> Column:
     return F.when(number != "", F.upper(number))
 
 
-def line_preference(position: Column, text: Column, country: Column | None = None, description: Column | None = None) -> Column:
+def line_preference(position: Column, text: Column, country: Column | None = None, description: Column | None = None, mode: str = "ranges") -> Column:
     """YES, NO, UNKNOWN or NOT_DECLARED of a line by its document's declarations.
 
     In this order: marks by asterisk, exclusion, naming, a declaration for all (one at large too, if nothing is excluded or left open), the rest of an exception (if it says so), an authorised exporter's declaration,
     "except where otherwise indicated", references to suppliers' and manufacturers' declarations; without any a line of a known country isn't declared and others are unknown.
+    ``mode`` as for ``named_positions``.
     """
-    has, excluded, named = found(text), named_positions(text, "eur1_except"), named_positions(text, "positions_yes")
+    has, excluded, named = found(text), named_positions(text, "eur1_except", mode), named_positions(text, "positions_yes", mode)
     declared = _any(text, DECLARED)
     none_named, none_excluded = F.size(named) == 0, F.size(excluded) == 0
     all_yes = none_named & (has["all_yes"] | (declared & none_excluded & ~has["otherwise"]))
