@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from customsloom.functions.geo import islands
+from customsloom.sources.shared import stored
 
 #: Levels of the quadtree; at 10 a cell is 0.35 degrees wide and 0.18 high.
 DEPTH = 10
@@ -67,7 +68,7 @@ def _columns_of(border: DataFrame, level: int) -> DataFrame:
 
 def cells(rings: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(level, ix, iy, country, edges): cells wholly inside a country (no edges), and the smallest border cells with the edges above them."""
-    border = edges(rings)
+    border = stored(edges(rings), "edges")
     met = border.withColumns({"ix": F.lit(0), "iy": F.lit(0)})
     inside = []
     key = ["country", "ix", "iy"]
@@ -75,6 +76,7 @@ def cells(rings: DataFrame, depth: int = DEPTH) -> DataFrame:
         quarter = F.explode(F.array(*(F.struct((F.col("ix") * 2 + i).alias("ix"), (F.col("iy") * 2 + j).alias("iy")) for i in (0, 1) for j in (0, 1))))
         children = met.select(*key).distinct().select("country", quarter.alias("c")).select("country", "c.ix", "c.iy")
         met = met.select("country", "x1", "y1", "x2", "y2", quarter.alias("c")).select("country", "x1", "y1", "x2", "y2", "c.ix", "c.iy").where(_touches(level))
+        met = stored(met, "quadtree")  # each level comes from the one before, and is read twice
         w, h = _size(level)
         free = children.join(met.select(*key).distinct(), key, "left_anti").withColumns({"x": (F.col("ix") + 0.5) * w - 180.0, "y": (F.col("iy") + 0.5) * h - 90.0})
         crossed = free.join(_columns_of(border, level), ["country", "ix"]).where(_beyond(F.col("x"), F.col("y"), F.struct("x1", "y1", "x2", "y2")))
