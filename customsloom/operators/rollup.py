@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from customsloom.functions.numbers import round_money, round_weight
+from customsloom.functions.tariff import of_map
 from customsloom.functions.text import is_metadata, line_type
 
 
@@ -142,3 +143,73 @@ def status_of(lines: DataFrame, *keys: str) -> DataFrame:
 def traceability(rollup: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines of each roll-up row: by code and preference (equi-join; no list of positions is exploded)."""
     return rollup.select("hs_code", "preference").join(lines, ["hs_code", "preference"])
+
+
+#: Code of the one row that stands for the goods of an invoice without any declaration of preference.  Fixed value.
+EXPORT_CODE = "NON_PREFERENTIAL_EXPORT"
+_SECTIONS = {"YES": "preferential", "NO": "non_preferential"}
+
+
+def tariff_groups(lines: DataFrame, key: str = "invoice_id") -> DataFrame:
+    """Lines of an invoice by kind, code and preference with their sums, the one table that ``tariff_report`` and ``invoice_summary`` start from.
+
+    kind is GOODS (goods with a code), LINE (goods without one, and lines of data about the invoice) or SERVICE (services and packaging); code and
+    preference are null but for GOODS, where a null preference is NOT_DECLARED.  A group is a row whatever its number of lines.
+    """
+    named = F.coalesce(F.trim("hs_code"), F.lit("")) != ""
+    kind = F.when(line_type(F.col("description")) != "GOODS", "SERVICE").when(named & ~is_metadata(F.col("description")), "GOODS").otherwise("LINE")
+    own = F.col("kind") == "GOODS"
+    rows = lines.withColumn("kind", kind).withColumns({"hs_code": F.when(own, F.trim("hs_code")), "preference": F.when(own, F.coalesce("preference", F.lit("NOT_DECLARED")))})
+    filled = F.when(F.trim("country") != "", F.col("country"))
+    return rows.groupBy(key, "kind", "hs_code", "preference").agg(
+        F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("quantity"), F.coalesce(F.sum("line_total"), F.lit(0.0)).alias("value"), F.sum("net_weight").alias("weight"), F.count("*").alias("n"), F.array_sort(F.collect_set(filled)).alias("countries"),
+    )
+
+
+def tariff_report(groups: DataFrame, documents: DataFrame, key: str = "invoice_id") -> DataFrame:
+    """The whole roll-up of each invoice, a row per section and code, from ``tariff_groups`` and documents (key, shipment_weight).
+
+    Sections: codes (per code and preference; weights that aren't positive are unknown), preferential, non_preferential and unknown (per code; the last
+    also per status).  Of an invoice whose goods are all NOT_DECLARED, non_preferential is one row of EXPORT_CODE with the shipment's weight where no line has
+    one, and unknown is empty.  Where no line has a weight, the shipment's is dealt by value if all goods are preferential or all are not (the last code
+    takes the remainder; codes get their rounded share); if there are both, weight_unavailable is true outside of codes.  An invoice without goods has no rows; a share of no
+    value is null; documents must have one row a key, and an invoice without one has no shipment's weight.
+    """
+    goods_ = groups.where("kind = 'GOODS'").drop("kind").join(documents.select(key, F.col("shipment_weight").cast("double").alias("_ship")), key, "left")
+    all_ = Window.partitionBy(key)
+    of = lambda status: F.sum(F.when(F.col("preference") == status, F.col("n")).otherwise(0)).over(all_)
+    rows = goods_.withColumns({"_lines": F.sum("n").over(all_), "_yes": of("YES"), "_no": of("NO"), "_none": of("NOT_DECLARED"), "_value": F.sum("value").over(all_), "_weighed": F.max(F.col("weight").isNotNull()).over(all_)})
+    rows = rows.withColumns({"total_value": round_money(F.col("value")), "total_quantity": round_money(F.col("quantity")), "_sum": round_weight(F.col("weight"))})
+    dealt = F.col("_ship").isNotNull() & ~F.col("_weighed")
+    alone = dealt & ((F.col("_yes") == F.col("_lines")) | (F.col("_no") == F.col("_lines")))  # then a code is one group
+    rows = allocate(rows, F.col("_ship"), "total_value", "hs_code", key, name="_part")
+    share = round_weight(F.col("_ship") * F.col("total_value") / F.when(F.col("_value") != 0, F.col("_value")))
+    undeclared = F.col("_none") == F.col("_lines")
+    section = F.when(undeclared, F.lit(None)).otherwise(F.coalesce(of_map(F.col("preference"), _SECTIONS), F.lit("unknown")))
+    weights = {"codes": F.when(alone, share).otherwise(F.when(F.col("weight") > 0, F.col("_sum"))), "own": F.when(alone, F.col("_part")).otherwise(F.col("_sum"))}
+    mixed = dealt & (F.col("_yes") > 0) & (F.col("_no") > 0)
+    parts = F.array(F.struct(F.lit("codes").alias("section"), weights["codes"].alias("total_net_weight"), F.lit(False).alias("weight_unavailable")), F.struct(section.alias("section"), weights["own"].alias("total_net_weight"), mixed.alias("weight_unavailable")))
+    shown = [key, "section", "hs_code", "preference", "total_quantity", "total_value", "total_net_weight", "weight_unavailable", F.col("n").alias("item_count"), F.array_join("countries", ", ").alias("countries_of_origin")]
+    each = rows.withColumn("_parts", F.filter(parts, lambda x: x["section"].isNotNull())).select("*", F.inline("_parts")).select(*shown)
+    whole = rows.where(undeclared).groupBy(key).agg(
+        round_money(F.sum("quantity")).alias("total_quantity"), round_money(F.sum("value")).alias("total_value"), round_weight(F.coalesce(F.sum("weight"), F.first("_ship"))).alias("total_net_weight"), F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("countries")))).alias("countries"),
+    )
+    return each.unionByName(whole.withColumns({"section": F.lit("non_preferential"), "hs_code": F.lit(EXPORT_CODE), "preference": F.lit("NOT_DECLARED"), "weight_unavailable": F.lit(False)}).select(*shown))
+
+
+def invoice_summary(groups: DataFrame, documents: DataFrame, key: str = "invoice_id") -> DataFrame:
+    """One row an invoice with lines, from ``tariff_groups`` and documents (key, shipment_weight, gross_weight, canonical_total).
+
+    total_goods_lines counts all lines but services and packaging, unique_hs_codes pairs of code and preference, excluded_service_lines the others.  The document's total
+    goes before the goods' sum where it is positive; its weight stands in where no goods have one.
+    """
+    own = F.col("kind") == "GOODS"
+    sums = groups.groupBy(key).agg(
+        F.sum(F.when(F.col("kind") != "SERVICE", F.col("n")).otherwise(0)).alias("total_goods_lines"), F.count_if(own).alias("unique_hs_codes"), F.coalesce(F.sum(F.when(own, F.col("value"))), F.lit(0.0)).alias("_value"), F.sum(F.when(own, F.col("weight"))).alias("_weight"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(own, F.col("countries")))))), ", ").alias("countries_of_origin"), F.sum(F.when(F.col("kind") == "SERVICE", F.col("n")).otherwise(0)).alias("excluded_service_lines"),
+    )
+    rows = sums.join(documents.select(key, F.col("shipment_weight").alias("_ship"), F.col("gross_weight").alias("_gross"), F.col("canonical_total").alias("_total")), key, "left")
+    return rows.select(
+        key, "total_goods_lines", "unique_hs_codes", round_money(F.when(F.col("_total") > 0, F.col("_total")).otherwise(F.col("_value"))).alias("total_invoice_value"), round_weight(F.coalesce("_weight", "_ship")).alias("total_net_weight"),
+        round_weight(F.col("_gross")).alias("total_gross_weight"), "countries_of_origin", "excluded_service_lines",
+    )

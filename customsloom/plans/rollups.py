@@ -101,3 +101,41 @@ def rollup_traceability(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = rollup.goods(lines(spark, sf_dir))
     traced = rollup.traceability(rollup.by_preference(own), own)
     return traced.groupBy("hs_code", "preference").agg(F.count("*").alias("traced_lines"), round_money(F.sum("line_total")).alias("traced_value"))
+
+
+#: Lines with services, data about the invoice and lacking codes; invoices wholly preferential, wholly not, or as they are, a third of them without weights.
+_MIXED = f"""{LINES}, {INVOICES}, m AS (SELECT invoice_id, CASE WHEN part_id % 10 = 0 THEN 'Transport costs' WHEN part_id % 10 = 1 THEN 'Tel' ELSE description END AS description, quantity, line_total, CASE WHEN part_id % 13 > 0 THEN hs_code END AS hs_code, country,
+    CASE invoice_id % 4 WHEN 0 THEN 'YES' WHEN 2 THEN 'NO' ELSE preference END AS preference, CASE WHEN invoice_id % 3 > 0 THEN net_weight END AS net_weight FROM lines),
+  k AS (SELECT *, CASE WHEN description = 'Transport costs' THEN 'SERVICE' WHEN hs_code IS NULL OR description = 'Tel' THEN 'LINE' ELSE 'GOODS' END AS kind FROM m),
+  d AS (SELECT invoice_id, CASE WHEN invoice_id % 5 > 0 THEN (100 + invoice_id % 50)::DOUBLE END AS ship, (120 + invoice_id % 50)::DOUBLE AS gross, CASE WHEN invoice_id % 7 > 0 THEN total_value END AS total FROM invoices)"""
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part, key = F.col("part_id"), F.col("invoice_id")
+    rows = lines(spark, sf_dir).withColumns({
+        "description": F.when(part % 10 == 0, "Transport costs").when(part % 10 == 1, "Tel").otherwise(F.col("description")), "hs_code": F.when(part % 13 > 0, F.col("hs_code")),
+        "preference": F.when(key % 4 == 0, "YES").when(key % 4 == 2, "NO").otherwise(F.col("preference")), "net_weight": F.when(key % 3 > 0, F.col("net_weight")),
+    })
+    documents = invoices(spark, sf_dir).select("invoice_id", F.when(key % 5 > 0, (100 + key % 50).cast("double")).alias("shipment_weight"), (120 + key % 50).cast("double").alias("gross_weight"), F.when(key % 7 > 0, F.col("total_value")).alias("canonical_total"))
+    return rollup.tariff_groups(rows), documents
+
+
+@query(f"""WITH {_MIXED}, g AS (SELECT invoice_id, hs_code, preference, sum(quantity) AS q, sum(line_total) AS v, sum(net_weight) AS w, count(*) AS n, string_agg(DISTINCT country, ', ' ORDER BY country) AS c FROM k WHERE kind = 'GOODS' GROUP BY 1, 2, 3),
+  i AS (SELECT invoice_id, sum(q) AS q, sum(v) AS v, sum(w) AS w, sum(n) AS n, count(*) AS rows_, count(*) FILTER (preference = 'YES') AS y, count(*) FILTER (preference = 'NO') AS no, count(*) FILTER (preference = 'NOT_DECLARED') AS nd FROM g GROUP BY 1),
+  c AS (SELECT invoice_id, string_agg(DISTINCT country, ', ' ORDER BY country) AS c FROM k WHERE kind = 'GOODS' GROUP BY 1),
+  f AS (SELECT g.*, ship, i.v AS goods, y > 0 AND no > 0 AND ship IS NOT NULL AND i.w IS NULL AS mixed, ship IS NOT NULL AND i.w IS NULL AND (y = rows_ OR no = rows_) AS alone, nd = rows_ AS undeclared, {money('g.v')} AS tv FROM g JOIN i USING (invoice_id) LEFT JOIN d USING (invoice_id)),
+  s AS (SELECT *, {grams('ship * tv / sum(tv) OVER (PARTITION BY invoice_id)')} AS share, row_number() OVER (PARTITION BY invoice_id ORDER BY hs_code) AS nth, count(*) OVER (PARTITION BY invoice_id) AS many FROM f),
+  p AS (SELECT *, CASE WHEN many = 1 THEN {grams('ship')} WHEN nth = many THEN {grams('ship - coalesce(sum(share) OVER (PARTITION BY invoice_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} ELSE share END AS part FROM s)
+  SELECT invoice_id, 'codes' AS section, hs_code, preference, {money('q')} AS total_quantity, tv AS total_value, CASE WHEN alone THEN {grams('ship * tv / goods')} WHEN w > 0 THEN {grams('w')} END AS total_net_weight, false AS weight_unavailable, n AS item_count, c AS countries_of_origin FROM p
+  UNION ALL SELECT invoice_id, CASE preference WHEN 'YES' THEN 'preferential' WHEN 'NO' THEN 'non_preferential' ELSE 'unknown' END, hs_code, preference, {money('q')}, tv, CASE WHEN alone THEN part ELSE {grams('w')} END, mixed, n, c FROM p WHERE NOT undeclared
+  UNION ALL SELECT invoice_id, 'non_preferential', 'NON_PREFERENTIAL_EXPORT', 'NOT_DECLARED', {money('q')}, {money('v')}, {grams('coalesce(w, ship)')}, false, n, c FROM i JOIN c USING (invoice_id) LEFT JOIN d USING (invoice_id) WHERE nd = rows_""")
+def tariff_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composed roll-up of every invoice with all its sections and the dealt weights."""
+    return rollup.tariff_report(*_mixed(spark, sf_dir))
+
+
+@query(f"""WITH {_MIXED} SELECT k.invoice_id, count(*) FILTER (kind <> 'SERVICE') AS total_goods_lines, count(DISTINCT hs_code || preference) FILTER (kind = 'GOODS') AS unique_hs_codes,
+    {money("CASE WHEN any_value(total) > 0 THEN any_value(total) ELSE coalesce(sum(line_total) FILTER (kind = 'GOODS'), 0) END")} AS total_invoice_value, {grams("coalesce(sum(net_weight) FILTER (kind = 'GOODS'), any_value(ship))")} AS total_net_weight, {grams('any_value(gross)')} AS total_gross_weight,
+    coalesce(string_agg(DISTINCT country, ', ' ORDER BY country) FILTER (kind = 'GOODS'), '') AS countries_of_origin, count(*) FILTER (kind = 'SERVICE') AS excluded_service_lines FROM k LEFT JOIN d USING (invoice_id) GROUP BY 1""")
+def invoice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.invoice_summary(*_mixed(spark, sf_dir))
