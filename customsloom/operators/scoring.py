@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from customsloom.functions.country import in_eu
 from customsloom.functions.numbers import round_up
+from customsloom.functions.text import squeezed
 
 #: Weights of what a line should have, and of the dimensions of the two scores.  Fixed values.
 LINE_WEIGHTS = {"description": 0.25, "hs_code": 0.25, "country": 0.15, "line_total": 0.15, "quantity": 0.1, "unit_price": 0.1}
@@ -135,6 +137,7 @@ WARNING_CODES = [
 ]
 INFO_CODES = ["NO_ORIGIN_DECLARATION", "ORIGIN_DECLARATION_MISSING", "ORIGIN_DECLARATION_NOT_FOUND", "ORIGIN_DECLARATION_REQUIRED", "MISSING_ORIGIN_DECLARATION", "LTSD_REFERENCED", "PROFORMA_DETECTED", "DELIVERY_NOTE_DETECTED"]
 MESSAGE_CODES = [
+    (r"vat\s+(?:legal\s+)?article|missing\s+vat\s+article", "MISSING_VAT_ARTICLE"),
     ("net weight not found|missing net weight|net shipment weight is missing", "MISSING_NET_WEIGHT"),
     ("missing hs|no hs code|hs code.*missing|hs codes not present", "MISSING_HS_CODE"),
     ("country of origin.*missing|missing.*country of origin|no country of origin", "MISSING_COUNTRY_OF_ORIGIN"),
@@ -209,6 +212,63 @@ def without_resolved(issues: DataFrame, resolved: DataFrame, key: str = "invoice
     return issues.join(resolved.select(key, "code").distinct(), [key, "code"], "left_anti")
 
 
+#: What a document's state resolves, in the order in which it is looked at: condition, codes, and messages of issues with other codes.  Fixed values.
+RESOLUTIONS = [
+    (
+        "origin_declared",
+        ["NO_ORIGIN_DECLARATION", "ORIGIN_DECLARATION_MISSING", "ORIGIN_DECLARATION_NOT_FOUND", "ORIGIN_DECLARATION_REQUIRED", "MISSING_ORIGIN_DECLARATION", "MISSING_COUNTRY_OF_ORIGIN", "NO_COUNTRY_OF_ORIGIN"],
+        "no preferential origin declaration|no origin declaration|origin declaration not found|origin declaration missing|origin declaration required|missing.*country of origin|no country of origin|country of origin.*missing",
+    ),
+    ("outside_union", ["EU_DESTINATION"], "within the eu customs territory"),
+    (
+        "no_shipment_data",
+        ["MISSING_GROSS_WEIGHT", "MISSING_PACKAGE_COUNT", "MISSING_NET_WEIGHT"],
+        "missing gross weight|gross shipment weight is missing|missing package count|package count is missing|missing net weight|net weight not found",
+    ),
+    ("gross_known", ["MISSING_GROSS_WEIGHT"], "missing gross weight|gross shipment weight is missing"),
+    ("net_known", ["MISSING_NET_WEIGHT"], "missing net weight|net shipment weight is missing"),
+    ("packages_known", ["MISSING_PACKAGE_COUNT"], "missing package count|package count is missing"),
+    ("codes_known", ["MISSING_HS_CODE", "NO_HS_CODE", "NO_HS_CODES", "NO_HS_CODES_DETECTED"], "no hs code|missing hs|hs code.*missing|hs codes not present|hs codes not detected"),
+    ("countries_known", ["MISSING_COUNTRY_OF_ORIGIN", "NO_COUNTRY_OF_ORIGIN"], "missing.*country of origin|country of origin.*missing|no country of origin"),
+    ("vat_article", ["MISSING_VAT_ARTICLE"], None),
+]
+
+
+def root_code(field: Column, message: Column) -> Column:
+    """An issue's code: its field in capitals, else what its message tells, else the first word in capitals of the message, else the message in small letters."""
+    word = F.regexp_extract(message, r"\b([A-Z][A-Z0-9_]{2,})\b", 1)
+    return F.coalesce(issue_code(F.upper(F.trim(field)), message), F.when(word != "", word), squeezed(message))
+
+
+def resolutions(origin_declared: Column, destination: Column, gross: Column, net: Column, cartons: Column, pallets: Column, package_type: Column, codes: Column, countries: Column, shipment_data: Column, vat_article: Column) -> Column:
+    """Names of the RESOLUTIONS that a document's state meets, in order; an array.
+
+    codes and countries are numbers of codes and of countries of origin found, shipment_data whether any source held data of the shipment (null: it did).  Nulls are unknown, and an
+    unknown destination lies outside of the Union.
+    """
+    known = {
+        "origin_declared": origin_declared, "outside_union": ~F.coalesce(in_eu(F.upper(F.trim(destination))), F.lit(False)), "no_shipment_data": ~F.coalesce(shipment_data, F.lit(True)), "gross_known": gross > 0, "net_known": net.isNotNull(),
+        "packages_known": packages(cartons, pallets, package_type)[0].isNotNull(), "codes_known": codes > 0, "countries_known": countries > 0, "vat_article": vat_article,
+    }
+    return F.array_compact(F.array(*(F.when(known[name], name) for name, *_ in RESOLUTIONS)))
+
+
+def with_resolution(issues: DataFrame, states: DataFrame, key: str = "invoice_id") -> DataFrame:
+    """All issues (key, field, message and others) with code and resolved_by, the first condition of their document's state that settles them.
+
+    ``states`` has the key, once each, and the array ``resolved``; resolved_by is null where nothing settles an issue or its document isn't there.  Issues with a null
+    message go by their field.  The rest of them is what counts: ``where("resolved_by IS NULL")``.
+    """
+    rows = issues.withColumn("code", root_code(F.col("field"), F.col("message"))).join(states.select(key, F.col("resolved").alias("_resolved")), key, "left")
+    first = F.lit(None).cast("string")
+    for name, codes, message in reversed(RESOLUTIONS):
+        settles = F.col("code").isin(codes)
+        if message is not None:
+            settles = F.coalesce(settles, F.lit(False)) | F.coalesce(F.col("message").rlike(f"(?i){message}"), F.lit(False))
+        first = F.when(settles & F.array_contains("_resolved", name), name).otherwise(first)
+    return rows.withColumn("resolved_by", first).drop("_resolved")
+
+
 def top_reasons(own: Column, issue_messages: Column, missing: Column, limit: int = 3) -> Column:
     """The first reasons: the verdict's own, else the distinct messages of issues, else the first missing field; arrays."""
     filled = F.filter(own, lambda x: (F.trim(x) != "") & (x != "Required declaration data available"))

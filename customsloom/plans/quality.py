@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from customsloom.operators import golden, ingest
-from customsloom.plans.bindings import table
+from customsloom.operators import golden, ingest, scoring
+from customsloom.plans.bindings import INVOICES, LINES, invoices, lines, table
 from customsloom.plans.registry import query
 
 _RAW = """raw AS (SELECT l_orderkey * 10 + l_linenumber AS idx0, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS idx, l_orderkey AS o, l_partkey AS p, l_linenumber AS n,
@@ -122,3 +122,36 @@ def accuracy_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
     out = golden.accuracy(rows, "lang", F.col("quality") == 1, (F.col("toxic") == 0) & (F.col("n_chars") > 1000))
     return out.select(F.coalesce("lang", F.lit("TOTAL")).alias("category"), "n", "accuracy", "baseline_accuracy", "improved", "regressed")
+
+
+_MESSAGES = [
+    "No preferential origin declaration found", "Missing country of origin on lines", "Destination is within the EU customs territory", "Missing gross weight", "Net weight not found", "Package count is missing", "HS codes not detected", "Missing VAT article",
+    "VAT legal article absent", "Gross shipment weight is missing", "net shipment weight is missing", "Note: CHECK_TOTALS by hand", "Something  else", "Invoice value missing",
+]
+_FIELDS = ["NO_HS_CODES", " eu_destination ", "MISSING_NET_WEIGHT", "", "NO_COUNTRY_OF_ORIGIN"]
+_ISSUES = f"""{LINES}, {INVOICES}, f AS (SELECT l_orderkey AS invoice_id, l_linenumber AS position, l_partkey AS part_id, l_suppkey AS supplier_id, [{", ".join(f"'{m}'" for m in _MESSAGES)}][l_partkey % {len(_MESSAGES)} + 1] AS message,
+    CASE WHEN l_suppkey % 3 = 0 THEN [{", ".join(f"'{m}'" for m in _FIELDS)}][l_partkey % {len(_FIELDS)} + 1] END AS field FROM lineitem),
+  w AS (SELECT invoice_id, bool_or(preference = 'YES') AS yes, sum(net_weight) AS net, count(*) FILTER (brand < 'Brand#2') AS cartons, count(*) FILTER (brand > 'Brand#4') AS pallets, count(*) FILTER (part_id % 3 = 0) AS codes, count(DISTINCT CASE WHEN part_id % 4 = 0 THEN country END) AS countries, bool_or(part_id % 5 > 0) AS data FROM lines GROUP BY 1),
+  s AS (SELECT invoice_id, coalesce(yes, false) AS yes, n_name IN ('FRANCE', 'GERMANY', 'ROMANIA') AS eu, net, CASE WHEN i.status <> 'O' THEN net * 1.1 END AS gross, cartons, pallets, priority LIKE '1%' AS ct, coalesce(codes, 0) AS codes, coalesce(countries, 0) AS countries, coalesce(data, true) AS data, segment = 'BUILDING' AS vat
+    FROM invoices i JOIN nation ON destination = n_nationkey LEFT JOIN w USING (invoice_id)),
+  c AS (SELECT *, lower(message) AS m, CASE WHEN trim(coalesce(field, '')) <> '' THEN upper(trim(field)) WHEN regexp_matches(message, '(?i)vat (legal )?article') THEN 'MISSING_VAT_ARTICLE' WHEN message ILIKE 'net %' THEN 'MISSING_NET_WEIGHT' WHEN message LIKE 'Missing country%' THEN 'MISSING_COUNTRY_OF_ORIGIN'
+      WHEN message = 'Invoice value missing' THEN 'MISSING_INVOICE_VALUE' WHEN message LIKE '%CHECK_TOTALS%' THEN 'CHECK_TOTALS' WHEN message LIKE '%HS %' THEN lower(message) WHEN message LIKE '%VAT %' THEN 'VAT' ELSE lower(regexp_replace(message, ' +', ' ', 'g')) END AS code FROM f)"""
+
+
+@query(f"""WITH {_ISSUES} SELECT invoice_id, position, part_id, supplier_id, code, CASE
+    WHEN yes AND (code IN ('NO_COUNTRY_OF_ORIGIN', 'MISSING_COUNTRY_OF_ORIGIN') OR m LIKE '%no preferential origin%' OR m LIKE '%missing country of origin%') THEN 'origin_declared' WHEN NOT eu AND (code = 'EU_DESTINATION' OR m LIKE '%within the eu customs%') THEN 'outside_union'
+    WHEN NOT data AND (code IN ('MISSING_NET_WEIGHT', 'MISSING_GROSS_WEIGHT') OR m LIKE '%gross%missing%' OR m = 'missing gross weight' OR m LIKE '%package%' OR m = 'net weight not found') THEN 'no_shipment_data' WHEN gross > 0 AND m LIKE '%gross%' THEN 'gross_known'
+    WHEN net IS NOT NULL AND (code = 'MISSING_NET_WEIGHT' OR m LIKE 'net shipment%') THEN 'net_known' WHEN (coalesce(cartons, 0) > 0 OR coalesce(pallets, 0) > 0) AND m LIKE '%package%' THEN 'packages_known' WHEN codes > 0 AND (code = 'NO_HS_CODES' OR m LIKE 'hs codes%') THEN 'codes_known'
+    WHEN countries > 0 AND (code IN ('NO_COUNTRY_OF_ORIGIN', 'MISSING_COUNTRY_OF_ORIGIN') OR m LIKE '%country of origin%') THEN 'countries_known' WHEN vat AND code = 'MISSING_VAT_ARTICLE' THEN 'vat_article' END AS resolved_by FROM c LEFT JOIN s USING (invoice_id)""")
+def issue_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An issue a line, settled or not by what the invoice's other lines, destination and weights tell."""
+    part, pick = F.col("l_partkey"), lambda xs: F.get(F.array(*(F.lit(x) for x in xs)), (F.col("l_partkey") % len(xs)).cast("int"))
+    issues = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("invoice_id"), F.col("l_linenumber").alias("position"), part.alias("part_id"), F.col("l_suppkey").alias("supplier_id"), pick(_MESSAGES).alias("message"), F.when(F.col("l_suppkey") % 3 == 0, pick(_FIELDS)).alias("field"))
+    found = lines(spark, sf_dir).groupBy("invoice_id").agg(
+        F.max(F.col("preference") == "YES").alias("yes"), F.sum("net_weight").alias("net"), F.count_if(F.col("brand") < "Brand#2").alias("cartons"), F.count_if(F.col("brand") > "Brand#4").alias("pallets"),
+        F.count_if(F.col("part_id") % 3 == 0).alias("codes"), F.count_distinct(F.when(F.col("part_id") % 4 == 0, F.col("country"))).alias("countries"), F.max(F.col("part_id") % 5 > 0).alias("data"),
+    )
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("destination"), F.when(F.col("n_name") == "FRANCE", "FR").when(F.col("n_name") == "GERMANY", "DE").when(F.col("n_name") == "ROMANIA", "RO").otherwise("XX").alias("to"))
+    rows = invoices(spark, sf_dir).join(nation, "destination").join(found, "invoice_id", "left")
+    state = scoring.resolutions(F.col("yes"), F.col("to"), F.when(F.col("status") != "O", F.col("net") * 1.1), F.col("net"), F.col("cartons"), F.col("pallets"), F.when(F.col("priority").startswith("1"), "CT"), F.col("codes"), F.col("countries"), F.col("data"), F.col("segment") == "BUILDING")
+    return scoring.with_resolution(issues, rows.select("invoice_id", state.alias("resolved"))).drop("message", "field")
