@@ -131,6 +131,42 @@ VEHICLE_STEPS = [
     Step(1.25, family=("passenger_vehicle",), heading=("8703",)),
     Step(1.3, family=("trailer",), heading=("8716",)),
 ]
+_CHAPTER = 9.0  # points of the sensors' chapter
+_NEAR = ("inductive", "proximity")
+#: Industrial goods, in order.  ``sensor`` and ``automation`` are kinds of a query, ``sensor:x`` is family x of a sensor; ``hinted``, ``penalised`` and ``excluded`` are told of a candidate.  Fixed values.
+INDUSTRIAL_STEPS = [
+    Step(plus=_CHAPTER, family=("sensor",), heading=("90",)),
+    Step(plus=_S, family=("sensor:hinted",)),
+    Step(1.25, family=("sensor:temperature_sensor",), says=("thermometer", "pyrometer")),
+    Step(0.45, family=("sensor:proximity_sensor",), no_family=("sensor:temperature_sensor",), says=("thermometer", "pyrometer"), says_all=("clinical",)),
+    Step(1.2, family=("sensor:pressure_sensor",), says_all=("pressure", "gauge")),
+    Step(plus=_S * 1.85, family=("sensor:proximity_sensor",), heading=("8536",)),
+    Step(plus=_S, family=("sensor:proximity_sensor",), heading=("9032",), says=_NEAR),
+    Step(0.22, family=("sensor:proximity_sensor",), heading=("9032",), says_none=_NEAR),
+    Step(0.1, family=("sensor:proximity_sensor",), heading=("9025", "9026"), says_none=_NEAR),
+    Step(1.25, family=("sensor:proximity_sensor",), says=_NEAR),
+    Step(plus=_A, family=("automation",), heading=("8537",)),
+    Step(1.2, family=("automation",), heading=("8537",), says=("programmable", "controller")),
+    Step(plus=_A * 1.2, family=("frequency_inverter",), heading=("8504",)),
+    Step(plus=_A, family=("power_supply",), heading=("8504",)),
+    Step(0.05, family=("ups",), heading=("8543",)),
+    Step(0.04, family=("ups",), heading=("8536",)),
+    Step(0.15, family=("ups",), heading=("8536",), says=("battery", "clamp")),
+    Step(plus=_A * 1.55, family=("ups",), heading=("8504",)),
+    Step(1.35, family=("ups",), heading=("8504",), says=("uninterruptible", "static", "converter")),
+    Step(plus=_S * 1.2, family=("electronics_monitor",), heading=("8528",)),
+    Step(plus=_A * 1.3, family=("stationery_marker",), heading=("9608",), says=("marker", "pen")),
+    Step(0.06, family=("stationery_marker",), heading=("9612",)),
+    Step(0.06, family=("stationery_marker",), not_heading=("9612",), says=("ribbon",)),
+    Step(0.08, family=("frequency_inverter",), says=("diesel", "compression-ignition"), says_none=("inverter", "static")),
+    Step(plus=_A * 1.3, family=("electric_motor",), heading=("8501",)),
+    Step(0.05, family=("electric_motor",), heading=("87",)),
+    Step(plus=_S, family=("furniture_office_chair",), heading=("9401",)),
+    Step(plus=_A, family=("office_printer_consumable",), heading=("3215",)),
+    Step(0.05, family=("office_printer_consumable",), heading=("8443",)),
+    Step(0.03, family=("penalised",)),
+    Step(0.05, family=("excluded",)),
+]
 
 
 def _holds(step: Step, terms: Column, families: Column, heading: Column, says: Column, text: Column) -> Column:
@@ -181,3 +217,20 @@ def vehicle(score: Column, types: Column, heading: Column, hints: Column, condit
     condition = F.when((condition == "used") & says.contains("used"), 1.3).when((condition == "new") & says.rlike(r"\bnew\b"), 1.2).otherwise(1.0)
     none = F.array().cast("array<string>")
     return F.when(~heading.startswith("87"), score * OTHER_CHAPTER).otherwise(applied(base * F.coalesce(condition, F.lit(1.0)), VEHICLE_STEPS, none, types, heading, says))
+
+
+def industrial(score: Column, sensor: Column, automation: Column, families: Column, heading: Column, hints: Column, penalised: Column, matched: Column, excluded: Column, says: Column) -> Column:
+    """The score of a candidate for industrial goods: points of chapters and headings by kind and family, then factors of false headings and of matches by model words alone.
+
+    families, hints and penalised (headings of four digits), matched (the query's terms found in the candidate) and excluded (terms that are but a model's) are arrays; heading is of four digits,
+    says in lower case.  Nulls count as no or none; a null score stays null.
+    """
+    none = F.array().cast("array<string>")
+    families, hints, penalised, matched, excluded = (F.coalesce(x, none) for x in (families, hints, penalised, matched, excluded))
+    heading, says = F.coalesce(heading, F.lit("")), F.coalesce(says, F.lit(""))
+    told = F.array_compact(F.array(
+        F.when(sensor, "sensor"), F.when(sensor & F.array_contains(hints, heading), "sensor:hinted"), F.when(automation, "automation"), F.when(F.array_contains(penalised, heading), "penalised"),
+        F.when((F.size(matched) > 0) & (F.size(F.array_except(matched, excluded)) == 0), "excluded"),
+    ))
+    own = F.when(sensor, F.transform(families, lambda x: F.concat(F.lit("sensor:"), x))).otherwise(none)
+    return applied(score, INDUSTRIAL_STEPS, none, F.concat(told, families, own), heading, says)
