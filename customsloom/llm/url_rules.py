@@ -7,7 +7,9 @@ one token less is as confident.  A rule is indexed under its rarest token; a url
 the most confident of those that it holds entirely decides (then larger support, fewer tokens, block before allow).  Urls of
 equal tokens are judged once.  Before mining, tokens below the least support go, as no rule can hold them, and tokens that the
 labelled urls hold together or not at all become one item, which a url holds if it has any of them: a rule with two of them is
-no more confident than one with either.  So a crowd of equal urls is one item, however many tokens they have.
+no more confident than one with either.  So a crowd of equal urls is one item, however many tokens they have.  Items
+whose urls all have one verdict are rules by themselves, with confidence 1, and any larger set with one of them has less support and is no
+more confident: they are left out of mining.  What is mined are sets of items that stand under both verdicts.
 
 Defined cases.  A null url, or one without ``://``, has empty host, path and tokens; it fits no given rule.  A url that no rule
 decides gets the labelled urls' most frequent verdict (allow, if there are none).  Repeated rows count each time in mining and
@@ -66,18 +68,18 @@ def tokens(url: Column, host: Column, path: Column, rest: Column) -> Column:
 
 
 def alike(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
-    """(token, item) of the frequent tokens of column tokens: item is the least of the tokens that the same rows hold."""
+    """(token, item, n, pure) of the frequent tokens of columns tokens and verdict: item is the least of the tokens that the same n rows hold, pure the verdict of all of them if it is one."""
     least = math.ceil(min_support * labelled.count())
-    sets = labelled.groupBy("tokens").agg(F.count("*").alias("n"))
+    sets = labelled.groupBy("tokens").agg(F.count("*").alias("n"), F.min("verdict").alias("lo"), F.max("verdict").alias("hi"))
     total = lambda salt: F.sum(F.xxhash64("tokens", F.lit(salt)).cast("decimal(38,0)")).alias(f"h{salt}")
-    each = sets.select("tokens", "n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n"), total(1), total(2)).where(F.col("n") >= least)
-    groups = each.groupBy("n", "h1", "h2").agg(F.min("token").alias("item"), F.collect_list("token").alias("all"))
-    return groups.select(F.explode("all").alias("token"), "item")
+    each = sets.select("tokens", "n", "lo", "hi", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), total(1), total(2)).where(F.col("n") >= least)
+    groups = each.groupBy("n", "h1", "h2").agg(F.min("token").alias("item"), F.collect_list("token").alias("all"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return groups.select(F.explode("all").alias("token"), "item", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("pure"))
 
 
 def itemised(sets: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct rows of column tokens that hold an item, with held: item to the last of its tokens that the row has."""
-    each = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(items, "token")
+    each = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(items.select("token", "item"), "token")
     return each.groupBy("tokens", "item").agg(F.max("token").alias("token")).groupBy("tokens").agg(F.map_from_entries(F.collect_list(F.struct("item", "token"))).alias("held"))
 
 
@@ -99,6 +101,11 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return rules.join(rarest, ["items", "verdict"]).select("items", "verdict", "support", "confidence", F.col("m.token").alias("rarest"))
 
 
+def single_rules(items: DataFrame, total: int) -> DataFrame:
+    """Rules of one item, of those whose rows have one verdict; no rule with more items is as good, so that these items needn't be mined."""
+    return items.where("pure IS NOT NULL AND token = item").select(F.array("item").alias("items"), F.col("pure").alias("verdict"), (F.col("n") / F.lit(max(total, 1))).alias("support"), F.lit(1.0).alias("confidence"), F.col("item").alias("rarest"))
+
+
 def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str]] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """All rows and columns with host, path, rule (given rule or null), verdict, mined (the deciding token set or null) and confidence."""
     host, path, rest = parts(F.col(url_col))
@@ -117,7 +124,8 @@ def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str]] =
         min_support = max(min_support, min(1.0, MIN_COUNT / total))
         items = written(alike(labelled, min_support), "items")
         held = F.coalesce(F.array_sort(F.map_keys("held")), F.array().cast("array<string>"))
-        mined = mine(labelled.join(itemised(labelled, items), "tokens", "left").select(held.alias("tokens"), "verdict"), min_support, min_confidence)
+        mined = mine(labelled.join(itemised(labelled, items.where("pure IS NULL")), "tokens", "left").select(held.alias("tokens"), "verdict"), min_support, min_confidence)
+        mined = mined.unionByName(single_rules(items, total))
         sets = itemised(rows.where(F.col(given_).isNull() & some).select(F.col(tokens_).alias("tokens")), items)
         met = sets.select("tokens", "held", F.explode(F.map_keys("held")).alias("rarest")).join(mined, "rarest").where(F.size(F.array_except("items", F.map_keys("held"))) == 0)
         met = met.withColumn("items", F.array_sort(F.transform("items", lambda x: F.col("held")[x])))

@@ -89,6 +89,15 @@ def test_every_part_of_a_url_counts(spark):
     assert got[901]["verdict"] == "allow" and got[902]["verdict"] == "allow" and "key:k9" in got[902]["mined"]
 
 
+def test_urls_that_each_lack_another_key(spark):
+    """Item sets of such keys double with each of them: keys under one verdict alone aren't mined."""
+    keys = [f"k{i}" for i in range(200)]
+    rows = [(i, "http://a.bad.com/x?" + "&".join(f"{k}=1" for k in keys if k != keys[i])) for i in range(200)] + [(300 + i, f"http://good.com/y/{i}?q=1") for i in range(100)] + [(500, "http://other.net/z?k7=1&q=2"), (501, "http://other.net/z?q=1"), (502, "http://other.net/w")]
+    got = {r["page_id"]: r for r in ur.judge(spark.createDataFrame(rows, "page_id bigint, url string"), rules=[("block", "bad.com/"), ("allow", "good.com/")]).collect()}
+    assert (got[500]["verdict"], got[500]["mined"], got[500]["confidence"]) == ("block", "key:k7", 1.0)
+    assert (got[501]["verdict"], got[501]["mined"]) == ("allow", "key:q") and (got[502]["verdict"], got[502]["mined"]) == ("block", None)
+
+
 def test_no_labels_and_empty_table(spark):
     pages = spark.createDataFrame([(1, "http://x.net/a"), (2, None)], "page_id bigint, url string")
     assert [r["verdict"] for r in ur.judge_pages(pages).collect()] == ["allow", "allow"]
