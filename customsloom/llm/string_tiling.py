@@ -10,8 +10,8 @@ their words are the same byte by byte.
 The distinct items are taken in blocks of at most about ``block_bytes`` of text, each broadcast in turn; documents are never
 shuffled, and what is found is joined with the ids of equal items.
 
-Defined cases.  Null and empty texts match nothing, nor do items without words.  An item of fewer than ``min_match`` words is
-matched where it is a whole line of a text (a word or two within a sentence are no leak).  Of equally long matches the first in
+Defined cases.  Null and empty texts match nothing, nor do items without words.  An item of two to ``min_match`` - 1
+words is matched where they stand in a row, one of a single word where it is a whole line of a text (the word alone would be met in clean texts).  Of equally long matches the first in
 the item, then in the text, goes first.  Repeated rows and items are judged one by one; a null id is carried through.  Texts and
 items that repeat words take time in proportion to their words, for each length of a tile.  Other columns of the inputs are
 ignored by ``matches`` and kept by ``decontaminate``.
@@ -31,6 +31,8 @@ from customsloom.llm.common import U64, HashIndex, Tokens, blocks, grams, lowere
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
 BLOCK_BYTES = 16 << 20
+#: Least words of an item that is found within a line.
+ANYWHERE = 2
 
 
 class Items:
@@ -195,20 +197,24 @@ def covered(texts: pa.Array, items: Items, least: float) -> Iterator[tuple[int,
 
 
 def _entire(t: Tokens, items: Items) -> Iterator[tuple[int, int]]:
-    """(text, item) of the items of fewer than min_match words that are a whole line of the text."""
+    """(text, item) of the items of fewer than min_match words that the text holds: their words in a row, or a whole line that is the item's one word."""
     if not items.short or not len(t.hashes):
         return
     line = np.cumsum(t.data == 10)[t.begin]
     new = np.concatenate([[True], np.diff(line) != 0])
     new[t.doc_start[:-1][t.doc_start[:-1] < len(new)]] = True
-    first = np.flatnonzero(new)
-    size, text = np.diff(np.append(first, len(new))), t.doc_of[first]
     for n, (index, item) in items.short.items():
-        own = size == n
-        if own.any():
-            key = index.find(grams(t.hashes, n)[first[own]])
-            for k in np.unique(text[own][key >= 0] * len(item) + key[key >= 0]).tolist():
-                yield k // len(item), int(item[k % len(item)])
+        window, text, at = windows(t.hashes, t.doc_start, n)
+        key = index.find(window)
+        hit = key >= 0
+        if n < ANYWHERE:
+            hit &= new & np.append(new[1:], True)  # windows of one word are the words
+        text, key, at = text[hit], key[hit], (t.doc_start[text] + at)[hit]
+        met, first = np.unique(text * len(item) + key, return_index=True)
+        for k, place in zip(met.tolist(), at[first].tolist(), strict=True):
+            own = int(item[k % len(item)])
+            if items.spelt(own, 0, n) == [t.data[b:e].tobytes() for b, e in zip(t.begin[place : place + n], t.end[place : place + n], strict=True)]:
+                yield k // len(item), own
 
 
 def _keyed(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:

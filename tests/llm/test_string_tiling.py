@@ -89,11 +89,12 @@ def test_long_texts_of_one_word_take_seconds(spark):
     assert time.monotonic() - began < 30
 
 
-def test_short_items_are_found_as_whole_lines(spark):
-    docs = spark.createDataFrame([(1, "Two words."), (2, "First line here\n two WORDS \nlast line here"), (3, "these two words stand within"), (4, "two\nwords"), (5, "yes"), (6, None)], "doc_id bigint, text string")
-    bench = spark.createDataFrame([(1, "two words"), (2, "Yes!"), (3, "..."), (4, "two words")], "item_id bigint, text string")
-    assert sorted((r["doc_id"], r["item_id"]) for r in gst.matches(docs, bench).collect()) == [(1, 1), (1, 4), (2, 1), (2, 4), (5, 2)]
-    assert sorted(r["doc_id"] for r in gst.decontaminate(docs, bench).collect()) == [3, 4, 6]
+def test_short_items_are_found_anywhere_as_words_and_single_words_as_lines(spark):
+    docs = [(1, "Two words."), (2, "First line here\n two WORDS \nlast line here"), (3, "these two words stand within"), (4, "two\nwords"), (5, "yes"), (6, None), (7, "Q: buy now?"), (8, "please buy now today, yes"), (9, "buy\nYes\nnow"), (10, "twotwo words buynow"), (11, "words two")]
+    bench = [(1, "two words"), (2, "Yes!"), (3, "..."), (4, "two words"), (5, "buy now"), (6, "one two three four")]
+    docs, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in gst.matches(docs, bench).collect()) == [(d, i) for d in (1, 2, 3, 4) for i in (1, 4)] + [(5, 2), (7, 5), (8, 5), (9, 2)]
+    assert sorted(r["doc_id"] for r in gst.decontaminate(docs, bench).collect()) == [6, 10, 11]
 
 
 def test_empty_tables(spark):
