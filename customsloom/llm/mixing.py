@@ -15,7 +15,8 @@ A document goes (rate 0) exactly where a domain of target 0 is likelier than eve
 ``LEAST_RATE``, whatever the fit.  Documents that go count for nothing in the totals, but for the domains' shares at rates 1.
 
 Defined cases.  A null or empty text has no tokens, the posteriors of an empty text and the rate that goes with them.  Labels
-that are null, or whose document isn't there, teach nothing; repeated ones count each time.  Target weights of domains without
+that are null, or whose document isn't there, teach nothing; repeated ones count each time in the
+domains' sizes and once in the sample.  Target weights of domains without
 a labelled document are dropped and the rest rescaled; a domain without a target has weight 0.  Without any labelled document
 posteriors are null and rates 1.  A null id is carried through.  Other columns are ignored (``rates``) or kept (``mix``).
 """
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from customsloom.llm.common import U64, blocks, tokenise, written
 from customsloom.llm.common import mix as mix_hash
@@ -37,6 +38,8 @@ from customsloom.llm.common import mix as mix_hash
 BITS, DENSE = 18, 9
 #: Labelled documents of a domain that the classifier is fitted on, about.
 SAMPLE_DOCS = 1_000
+#: Most rows, as a multiple of SAMPLE_DOCS, and most bytes of text of a domain that reach the driver.
+SAMPLE_OVER, SAMPLE_BYTES = 2, 32 << 20
 #: Standard errors by which a feature's document share must differ between a domain and the rest to count.
 TELLING = 5.0
 #: Pull of rates towards 1: large enough that a small chance of an unwanted domain lowers a rate and does not end it.
@@ -157,16 +160,33 @@ def _fitted(domains: list[str], label: np.ndarray, f: Features, rounds: int = 15
     return out
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Classifier | None:
-    """From about ``sample_docs`` labelled documents of each domain; ``domain`` is an expression over ``labels``."""
+def _sample(docs: DataFrame, labels: DataFrame, have: Mapping[str, int], id_col: str, text_col: str, sample_docs: int, sample_bytes: int) -> DataFrame:
+    """(id, domain, text) of at most SAMPLE_OVER * sample_docs rows and sample_bytes of text a domain.
+
+    Labels are drawn by their id, each once.  Of the documents with them only lengths and hashes are looked at first, equal texts of an id as one; where there are still
+    too many (ids that repeat) or too long ones, a share of the texts is drawn by hash, and then those within the bounds in order of hash.
+    """
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
+    share = F.create_map(*[F.lit(x) for d, n in sorted(have.items()) for x in (d, min(1.0, sample_docs / n))])
+    picked = F.broadcast(labels.where(drawn < share[F.col("domain")]).distinct())  # about sample_docs a domain
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text", F.lit(7)))
+    sizes = written(rows.select("id", "h", F.octet_length("text").cast("bigint").alias("size")).join(picked, "id").groupBy("id", "h", "domain").agg(F.max("size").alias("size")), "sample")
+    fits = F.col("size") <= sample_bytes
+    most = {r["domain"]: max(r["n"] / (SAMPLE_OVER * sample_docs), r["size"] / sample_bytes) for r in sizes.where(fits).groupBy("domain").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
+    again = F.create_map(*[F.lit(x) for d, over in sorted(most.items()) for x in (d, min(1.0, 1.5 / over if over > 1 else 1.0))]) if most else F.create_map(F.lit(""), F.lit(1.0))
+    order = Window.partitionBy("domain").orderBy("h", "id")
+    sizes = sizes.where(fits & ((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) < F.try_element_at(again, F.col("domain"))))
+    kept = sizes.withColumns({"nth": F.row_number().over(order), "sum": F.sum("size").over(order)}).where((F.col("nth") <= SAMPLE_OVER * sample_docs) & (F.col("sum") <= sample_bytes))
+    return rows.join(F.broadcast(kept.select("id", "h", "domain")), ["id", "h"]).groupBy("id", "h", "domain").agg(F.first("text").alias("text"))
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Classifier | None:
+    """From about ``sample_docs`` labelled documents and at most ``sample_bytes`` of text of each domain (longer texts teach nothing); ``domain`` is an expression over ``labels``."""
     named = labels.select(F.col(id_col).alias("id"), domain.alias("domain")).where("id IS NOT NULL AND domain IS NOT NULL")
     have = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not have:
         return None
-    share = F.create_map(*[F.lit(x) for d, n in sorted(have.items()) for x in (d, min(1.0, sample_docs / n))])
-    picked = named.where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)) < share[F.col("domain")])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # sample_docs a domain
-    got = rows.select("id", "domain", F.coalesce("text", F.lit("")).alias("text")).orderBy("id", "domain").toArrow()
+    got = _sample(docs, named, have, id_col, text_col, sample_docs, sample_bytes).select("id", "domain", "text").orderBy("id", "domain", "text").toArrow()
     names = got.column("domain").to_pylist()
     if not names:
         return None

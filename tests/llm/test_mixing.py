@@ -89,3 +89,15 @@ def test_without_labels_and_rows(spark):
     one = mixing.rates(docs, labelled(spark, {0: "high", 3: "high"})).collect()
     assert all(abs(r["rate"] - 1) < 1e-6 for r in one)
     assert mixing.rates(docs.where("false"), labelled(spark, kinds)).count() == 0
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    """Ids that repeat, with other texts each time, and texts longer than the bound."""
+    docs = spark.range(4_000).select(F.lit(5).cast("bigint").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionAll(spark.range(50).select((F.col("id") + 100).alias("doc_id"), F.repeat(F.lit("long text "), 3_000).alias("text"))).unionAll(spark.range(50).select((F.col("id") + 200).alias("doc_id"), F.lit("same").alias("text")))
+    docs = docs.unionAll(docs.where("doc_id >= 200"))
+    labels = spark.createDataFrame([(i, "a") for i in (5, 5, 5)] + [(100 + i, "b") for i in range(50)] + [(200 + i, "c") for i in range(50)], "id bigint, domain string")
+    got = mixing._sample(docs, labels, {"a": 3, "b": 50, "c": 50}, "doc_id", "text", 50, 20_000).groupBy("domain").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
+    found = {r["domain"]: (r["n"], r["size"]) for r in got}
+    assert set(found) == {"a", "c"} and found["c"] == (50, 200)  # a repeated row is one; no text of b is within the bound
+    assert 50 <= found["a"][0] <= 100 and found["a"][1] <= 20_000
