@@ -243,7 +243,7 @@ _SAYS = [
     CASE WHEN 'stationery_marker' NOT IN (f, g) THEN s11 ELSE (s11 + CASE WHEN h = '9608' AND d = 'marker pen' THEN 7 * 1.3::DOUBLE ELSE 0 END) * CASE WHEN h = '9612' OR d = 'ribbon' THEN 0.06::DOUBLE ELSE 1 END END AS s12,
     s12 * CASE WHEN 'frequency_inverter' IN (f, g) AND d IN ('diesel engine', 'compression-ignition') THEN 0.08::DOUBLE ELSE 1 END AS s13, CASE WHEN 'electric_motor' NOT IN (f, g) THEN s13 WHEN h = '8501' THEN s13 + 7 * 1.3::DOUBLE WHEN h LIKE '87%' THEN s13 * 0.05::DOUBLE ELSE s13 END AS s14,
     s14 + CASE WHEN h = '9401' AND 'furniture_office_chair' IN (f, g) THEN 6.5::DOUBLE ELSE 0 END AS s15, CASE WHEN 'office_printer_consumable' NOT IN (f, g) THEN s15 WHEN h = '3215' THEN s15 + 7 WHEN h = '8443' THEN s15 * 0.05::DOUBLE ELSE s15 END AS s16 FROM p)
-  SELECT id, position, part_id, supplier_id, round(s16 * CASE WHEN pe THEN 0.03::DOUBLE ELSE 1 END * CASE WHEN ex THEN 0.05::DOUBLE ELSE 1 END, 4) AS score FROM q""")
+  SELECT id, position, part_id, supplier_id, floor(s16 * CASE WHEN pe THEN 0.03::DOUBLE ELSE 1 END * CASE WHEN ex THEN 0.05::DOUBLE ELSE 1 END * 10000 + 0.5) / 10000 AS score FROM q""")
 def industrial_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda xs, k: F.get(F.array(*(F.lit(x) for x in xs)), (k % len(xs)).cast("int"))
     order, part, supplier, at, flag = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"))
@@ -252,4 +252,4 @@ def industrial_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = tuning.industrial(
         F.col("l_quantity"), F.col("position") % 2 == 0, F.col("position") % 3 == 0, F.col("f"), F.col("h"), F.when(flag == "A", F.array("h")), F.when((flag == "R") & (F.col("part_id") % 4 == 0), F.array("h")), model, F.array(F.lit("x12")), F.col("d")
     )
-    return rows.select("id", "position", "part_id", "supplier_id", F.round(score, 4).alias("score"))
+    return rows.select("id", "position", "part_id", "supplier_id", (F.floor(score * 10000 + 0.5) / 10000).alias("score"))
