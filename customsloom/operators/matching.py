@@ -15,6 +15,8 @@ from customsloom.functions.text import search_tokens
 
 #: Phrases of one word and at most so many characters match whole words only; letters that longer ones are found by.
 SHORT_PHRASE, GROUP = 5, 4
+#: Phrases up to which their table is sent to all tasks.
+FEW_PHRASES = 1 << 14
 
 
 def _texts(values: Sequence[str]) -> Column:
@@ -50,16 +52,18 @@ def containing(texts: DataFrame, phrases: DataFrame, whole_upto: int = SHORT_PHR
 
     Phrases of one word of at most ``whole_upto`` characters must be words of the text, others may stand within words.  The
     first are joined by the word; the others by their first four letters, and then looked for; phrases of fewer letters than
-    that hold a word sign and are joined by their first word.
+    that hold a word sign and are joined by their first word.  However small they look in
+    their files, texts and their words aren't broadcast: a short table of phrases is, a long one is joined by sorting.
     """
     low = texts.select("id", F.lower("text").alias("text")).where("text IS NOT NULL")
     known = phrases.select(F.trim(F.lower("phrase")).alias("phrase")).where("phrase != ''").distinct()
+    meet = F.broadcast if known.limit(FEW_PHRASES + 1).count() <= FEW_PHRASES else lambda rows: rows.hint("merge")
     short = (F.length("phrase") <= whole_upto) & ~F.col("phrase").contains(" ")
-    words = low.select("id", F.explode(_words(F.col("text"))).alias("phrase")).join(known.where(short), "phrase")
+    words = low.select("id", F.explode(_words(F.col("text"))).alias("phrase")).join(meet(known.where(short)), "phrase")
     long = known.where(~short).withColumn("key", F.substring("phrase", 1, GROUP))
     keys = long.select("key").distinct()
-    met = low.select("id", F.explode(_groups(F.col("text"))).alias("key")).join(keys, "key").join(long, "key").select("id", "phrase")
-    held = met.join(low, "id").where(F.col("text").contains(F.col("phrase"))).select("id", "phrase")
+    met = low.select("id", F.explode(_groups(F.col("text"))).alias("key")).join(meet(keys), "key").join(meet(long), "key").select("id", "phrase")
+    held = met.join(low.hint("merge"), "id").where(F.col("text").contains(F.col("phrase"))).select("id", "phrase")
     return words.select("id", "phrase").unionByName(held).distinct()
 
 
