@@ -225,15 +225,15 @@ def vehicle_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.round(score, 4).alias("score"), layers.alias("layers"))
 
 
-_HEADINGS = ["9025", "9026", "9032", "8536", "8537", "8504", "8543", "8528", "9608", "9612", "8501", "8703", "9401", "3215", "8443"]
+_MACHINE_HEADINGS = ["9025", "9026", "9032", "8536", "8537", "8504", "8543", "8528", "9608", "9612", "8501", "8703", "9401", "3215", "8443"]
 _GOODS = ["temperature_sensor", "proximity_sensor", "pressure_sensor", "frequency_inverter", "power_supply", "ups", "electronics_monitor", "stationery_marker", "electric_motor", "furniture_office_chair", "office_printer_consumable"]
-_SAYS = [
+_MACHINE_SAYS = [
     "clinical thermometer", "pyrometer", "pressure gauge", "inductive proximity switch", "programmable controller", "battery clamp", "uninterruptible supply", "static converter", "marker pen", "ribbon", "diesel engine", "diesel inverter", "compression-ignition", "other",
 ]
 
 
-@query(f"""WITH o AS (SELECT l_orderkey AS id, l_linenumber AS position, l_partkey AS part_id, l_suppkey AS supplier_id, l_quantity AS s0, [{", ".join(f"'{x}'" for x in _HEADINGS)}][l_partkey % {len(_HEADINGS)} + 1] AS h, [{", ".join(f"'{x}'" for x in _GOODS)}][l_suppkey % {len(_GOODS)} + 1] AS f,
-    [{", ".join(f"'{x}'" for x in _GOODS)}][l_orderkey % {len(_GOODS)} + 1] AS g, [{", ".join(f"'{x}'" for x in _SAYS)}][(l_partkey + l_orderkey) % {len(_SAYS)} + 1] AS d, l_linenumber % 2 = 0 AS se, l_linenumber % 3 = 0 AS au, l_returnflag = 'A' AS hi, l_returnflag = 'R' AND l_partkey % 4 = 0 AS pe, l_suppkey % 7 = 0 AS ex FROM lineitem),
+@query(f"""WITH o AS (SELECT l_orderkey AS id, l_linenumber AS position, l_partkey AS part_id, l_suppkey AS supplier_id, l_quantity AS s0, [{", ".join(f"'{x}'" for x in _MACHINE_HEADINGS)}][l_partkey % {len(_MACHINE_HEADINGS)} + 1] AS h, [{", ".join(f"'{x}'" for x in _GOODS)}][l_suppkey % {len(_GOODS)} + 1] AS f,
+    [{", ".join(f"'{x}'" for x in _GOODS)}][l_orderkey % {len(_GOODS)} + 1] AS g, [{", ".join(f"'{x}'" for x in _MACHINE_SAYS)}][(l_partkey + l_orderkey) % {len(_MACHINE_SAYS)} + 1] AS d, l_linenumber % 2 = 0 AS se, l_linenumber % 3 = 0 AS au, l_returnflag = 'A' AS hi, l_returnflag = 'R' AND l_partkey % 4 = 0 AS pe, l_suppkey % 7 = 0 AS ex FROM lineitem),
   p AS (SELECT *, se AND 'temperature_sensor' IN (f, g) AS te, se AND 'proximity_sensor' IN (f, g) AS pr, se AND 'pressure_sensor' IN (f, g) AS ps, d LIKE '%inductive%' AS ne, d LIKE '%meter' AS th FROM o),
   q AS (SELECT *, s0 + CASE WHEN se AND h LIKE '90%' THEN 9.0::DOUBLE ELSE 0 END AS s1, s1 + CASE WHEN se AND hi THEN 6.5::DOUBLE ELSE 0 END AS s2, s2 * CASE WHEN th AND te THEN 1.25::DOUBLE WHEN d LIKE 'clinical%' AND pr THEN 0.45::DOUBLE ELSE 1 END AS s3,
     s3 * CASE WHEN ps AND d = 'pressure gauge' THEN 1.2::DOUBLE ELSE 1 END AS s4, CASE WHEN pr AND h = '8536' THEN s4 + 6.5::DOUBLE * 1.85::DOUBLE WHEN pr AND h = '9032' AND ne THEN s4 + 6.5::DOUBLE WHEN pr AND h = '9032' THEN s4 * 0.22::DOUBLE WHEN pr AND h IN ('9025', '9026') AND NOT ne THEN s4 * 0.1::DOUBLE ELSE s4 END AS s5,
@@ -247,7 +247,7 @@ _SAYS = [
 def industrial_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda xs, k: F.get(F.array(*(F.lit(x) for x in xs)), (k % len(xs)).cast("int"))
     order, part, supplier, at, flag = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"))
-    rows = table(spark, sf_dir, "lineitem").select(order.alias("id"), at.alias("position"), part.alias("part_id"), supplier.alias("supplier_id"), "l_quantity", "l_returnflag", pick(_HEADINGS, part).alias("h"), F.array(pick(_GOODS, supplier), pick(_GOODS, order)).alias("f"), pick(_SAYS, part + order).alias("d"))
+    rows = table(spark, sf_dir, "lineitem").select(order.alias("id"), at.alias("position"), part.alias("part_id"), supplier.alias("supplier_id"), "l_quantity", "l_returnflag", pick(_MACHINE_HEADINGS, part).alias("h"), F.array(pick(_GOODS, supplier), pick(_GOODS, order)).alias("f"), pick(_MACHINE_SAYS, part + order).alias("d"))
     model = F.when(F.col("supplier_id") % 7 == 0, F.array(F.lit("x12"))).otherwise(F.array(F.lit("x12"), F.lit("relay")))
     score = tuning.industrial(
         F.col("l_quantity"), F.col("position") % 2 == 0, F.col("position") % 3 == 0, F.col("f"), F.col("h"), F.when(flag == "A", F.array("h")), F.when((flag == "R") & (F.col("part_id") % 4 == 0), F.array("h")), model, F.array(F.lit("x12")), F.col("d")
