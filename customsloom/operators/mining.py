@@ -14,10 +14,32 @@ def brand_map(rows: DataFrame, brands: DataFrame, text_col: str = "description")
     return words.join(brands.select("brand").distinct(), "brand").groupBy("brand", "cn8").agg(round_up(F.sum("weight"), 2).alias("frequency"))
 
 
+#: Words of 64 bits of the table of common beginnings, as a power of two.
+SLOTS = 20
+
+
+def _phrases(rows: DataFrame, sizes: tuple[int, int], gain: Column, least: float) -> DataFrame:
+    """Rows (cn8, words, ...) with each of their phrases once, but for most of those that can't gain ``least`` in all texts of their code.
+
+    A phrase gains at most what its first words do.  These are added up by hash, and each that gains enough sets a bit in a table of fixed size,
+    which all tasks get; equal hashes and bits only let more through.  So rare phrases aren't shuffled as texts.
+    """
+    each = rows.withColumn("phrase", F.explode(ngrams(F.col("words"), *sizes)))
+    if least <= 0:
+        return each.drop("words")
+    slot = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit((1 << SLOTS) - 1))
+    heads = F.transform(ngrams(F.col("words"), sizes[0], sizes[0], 0), lambda p: F.xxhash64("cn8", p))
+    gains = rows.select(F.greatest(gain, F.lit(0.0)).alias("gain"), F.explode(heads).alias("h")).groupBy("h").agg(F.sum("gain").alias("gain"))
+    bits = gains.where(F.col("gain") >= least).groupBy(slot(F.col("h")).alias("_slot")).agg(F.expr("bit_or(shiftleft(1L, CAST(h & 63 AS INT)))").alias("_bits"))
+    each = each.withColumn("_h", F.xxhash64("cn8", F.substring_index("phrase", " ", sizes[0]))).withColumn("_at", slot(F.col("_h")))
+    near = each.join(F.broadcast(bits), F.col("_at") == F.col("_slot")).where("getbit(_bits, CAST(_h & 63 AS INT)) = 1")  # at most 2^SLOTS rows
+    return near.drop("words", "_h", "_at", "_slot", "_bits")
+
+
 def phrase_lexicon(rows: DataFrame, text_col: str = "description", least: float = 5.0, sizes: tuple[int, int] = (2, 4)) -> DataFrame:
     """Phrases of neighbouring tokens with the weight of the texts that hold them, by code, from ``least`` on."""
     words = rows.select("cn8", "weight", search_tokens(fold(F.col(text_col)), 2).alias("words"))
-    phrases = words.select("cn8", "weight", F.explode(ngrams(F.col("words"), *sizes)).alias("phrase"))
+    phrases = _phrases(words, sizes, F.col("weight"), least - 0.01)  # sums are rounded
     return phrases.groupBy("phrase", "cn8").agg(round_up(F.sum("weight"), 2).alias("weight")).where(F.col("weight") >= least)
 
 
@@ -37,11 +59,12 @@ def heading_profiles(rows: DataFrame, text_col: str = "description", codes: int
     return weight.join(best, "heading", "left").join(common, "heading", "left")
 
 
-def phrase_stats(rows: DataFrame, text_col: str = "description", sizes: tuple[int, int] = (2, 3)) -> DataFrame:
-    """Per (phrase, cn8): texts that hold it, distinct ones, and those of the seed beside the others."""
+def phrase_stats(rows: DataFrame, text_col: str = "description", sizes: tuple[int, int] = (2, 3), least: int = 1) -> DataFrame:
+    """Per (phrase, cn8) in at least ``least`` texts: texts that hold it, distinct ones, and those of the seed beside the others."""
     words = rows.select("cn8", "source", F.xxhash64(text_col).alias("text"), search_tokens(fold(F.col(text_col)), 2).alias("words"))
-    each = words.select("cn8", "source", "text", F.explode(ngrams(F.col("words"), *sizes)).alias("phrase"))
-    return each.groupBy("phrase", "cn8").agg(F.count("*").alias("frequency"), F.count_distinct("text").alias("unique_descriptions"), F.count_if(F.col("source") == "seed").alias("seed_hits"), F.count_if(F.col("source") != "seed").alias("other_hits"))
+    each = _phrases(words, sizes, F.lit(1.0), least if least > 1 else 0)
+    stats = each.groupBy("phrase", "cn8").agg(F.count("*").alias("frequency"), F.count_distinct("text").alias("unique_descriptions"), F.count_if(F.col("source") == "seed").alias("seed_hits"), F.count_if(F.col("source") != "seed").alias("other_hits"))
+    return stats.where(F.col("frequency") >= least) if least > 1 else stats
 
 
 def without_covered(phrases: DataFrame, taxonomy: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def ngram_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_FOLDED}, g AS (SELECT cn8, source, description, unnest(list_distinct(list_filter(flatten(list_transform([2, 3, 4], lambda n: list_transform(generate_series(1, greatest(len(w) - n + 1, 0)), lambda i: array_to_string(w[i : i + n - 1], ' ')))), lambda p: length(p) >= 6))) AS phrase FROM fw)
   SELECT phrase, cn8, count(*) AS frequency, count(DISTINCT description) AS unique_descriptions, count(*) FILTER (source = 'seed') AS seed_hits, count(*) FILTER (source <> 'seed') AS other_hits FROM g GROUP BY 1, 2 HAVING count(*) >= 3""")
 def phrase_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.phrase_stats(declarations(spark, sf_dir), sizes=(2, 4)).where("frequency >= 3")
+    return mining.phrase_stats(declarations(spark, sf_dir), sizes=(2, 4), least=3)
 
 
 @query(ORACLES["ngram_lexicon"].removesuffix(">= 2") + ">= 5")
