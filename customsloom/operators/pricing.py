@@ -61,40 +61,58 @@ def _score() -> Column:
     return round_up(sum((F.abs(F.col(f"h{i}") - F.col(f)) * u for i, (f, u) in enumerate(zip(FEATURES, UNITS, strict=True))), F.lit(0.0)), 6)
 
 
-def nearest_price(requests: DataFrame, history: DataFrame, pairs: int = PAIRS) -> DataFrame:
+def nearest_price(requests: DataFrame, history: DataFrame, pairs: int | None = None) -> DataFrame:
     """For each request (request_id, distance_km, weight_kg, pallets, loading_meters) the price of the most alike trip of 0.5 to 1.5 times its distance.
 
     The score is a sum of differences, so a trip that differs by more than ``side`` in one feature can't be better than one of a
-    lesser score.  Past trips lie in cells of that side over distance, weight and pallets; equal requests meet the 27 cells around
-    theirs, and what scores less than the side is the best of all.  The rest goes on with cells of twice the side, and when few pairs
-    are left, all within bands of the distance.  The first side follows from the trips' number and spread, so that a request meets
+    lesser score.  Requests and past trips lie in cells of that side over the four features; the fewer of both are dealt to the 81 cells around
+    theirs, and of what scores less than the side, which few pairs do, the best is the best of all.  The rest goes on with cells of twice the side, and when few pairs
+    are left (``pairs``; by default PAIRS, or eight requests), all within bands of the distance.  The first side follows from the trips' number and spread, so that a request meets
     about as many trips at any size.  Ties go to the smaller transport_id; requests and trips with a null feature have no part.
     """
     past = history.dropna(subset=[*FEATURES, "price"]).select("transport_id", *(F.col(f).cast("double").alias(f"h{i}") for i, f in enumerate(FEATURES)), "price")
     asked = requests.select("request_id", *(F.col(f).cast("double").alias(f) for f in FEATURES)).dropna(subset=FEATURES)
     spread = past.agg(F.count("*").alias("n"), *(F.coalesce(F.max(f"h{i}") - F.min(f"h{i}"), F.lit(0.0)).alias(f"r{i}") for i in range(4))).first()
-    todo, found = asked.select(*FEATURES).distinct().persist(), []
-    side = 1.3 * (1.5 * math.prod(max(1.0, spread[f"r{i}"] * u) for i, u in enumerate(UNITS)) / max(1, spread["n"])) ** 0.25
+    n, todo, found = spread["n"], asked.select(*FEATURES).distinct().persist(), []
+    pairs = max(PAIRS, 8 * n) if pairs is None else pairs
+    side = 1.3 * (1.5 * math.prod(max(1.0, spread[f"r{i}"] * u) for i, u in enumerate(UNITS)) / max(1, n)) ** 0.25
+    session = requests.sparkSession
+    tasks = max(2 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
     within = (F.col("h0") >= F.col(FEATURES[0]) * 0.5) & (F.col("h0") <= F.col(FEATURES[0]) * 1.5)
     price = F.struct(_score().alias("score"), "transport_id", "price")
-    while todo.count() * spread["n"] > pairs:
-        cell = lambda c, u, side=side: F.floor(F.col(c) * (u / side)).cast("bigint")
-        cells = past.select("*", *(cell(f"h{i}", UNITS[i]).alias(f"c{i}") for i in range(3)))
-        around = todo
-        for i in range(3):
-            at = cell(FEATURES[i], UNITS[i])
-            around = around.withColumn(f"c{i}", F.explode(F.sequence(at - 1, at + 1)))
-        best = around.join(cells, ["c0", "c1", "c2"], "left").groupBy(*FEATURES).agg(F.min(F.when(within, price)).alias("b")).persist()
-        sure = F.coalesce(F.col("b.score") < side - 1e-5, F.lit(False))
-        found.append(best.where(sure))
-        todo, side = best.where(~sure).select(*FEATURES), side * 2
-        if side > 4 * max(spread[f"r{i}"] * u for i, u in enumerate(UNITS[:3])):
+    while (left := todo.count()) * n > pairs:
+        own, trips = FEATURES, [f"h{i}" for i in range(4)]
+        asking, held = (_around(todo, own, side), _in_cells(past, trips, side)) if left <= n else (_in_cells(todo, own, side), _around(past, trips, side))
+        asking, held = asking.repartition(tasks, "_cell"), held.repartition(tasks, "_cell")  # few bytes, much work
+        close = asking.join(held.hint("merge"), "_cell").where(within & (_score() < side - 1e-5))
+        sure = close.groupBy(*FEATURES).agg(F.min(price).alias("b")).persist()
+        found.append(sure)
+        todo, side = todo.join(sure.select(*FEATURES).hint("merge"), FEATURES, "left_anti").persist(), side * 2
+        if side > 4 * max(spread[f"r{i}"] * u for i, u in enumerate(UNITS)):
             break
     found.append(_nearest_in_bands(todo, past, within, price))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return asked.join(out, FEATURES).select("request_id", "b.transport_id", "b.score", F.col("b.price").alias("similar_price"))
+    return asked.join(out.hint("merge"), FEATURES).select("request_id", "b.transport_id", "b.score", F.col("b.price").alias("similar_price"))
+
+
+def _cell(x: str, unit: float, side: float) -> Column:
+    return F.floor(F.col(x) * (unit / side)).cast("bigint")
+
+
+def _in_cells(rows: DataFrame, features: list[str], side: float) -> DataFrame:
+    """With the hash of each row's cell; two cells of one hash are compared in vain, no more."""
+    return rows.withColumn("_cell", F.xxhash64(*(_cell(x, u, side) for x, u in zip(features, UNITS, strict=True))))
+
+
+def _around(rows: DataFrame, features: list[str], side: float) -> DataFrame:
+    """Each row with its cell and the 80 around it."""
+    for i, (x, u) in enumerate(zip(features, UNITS, strict=True)):
+        at = _cell(x, u, side)
+        rows = rows.withColumn(f"_c{i}", F.explode(F.array(at - 1, at, at + 1)))
+    at = [f"_c{i}" for i in range(len(features))]
+    return rows.withColumn("_cell", F.xxhash64(*at)).drop(*at)
 
 
 def _nearest_in_bands(asked: DataFrame, past: DataFrame, within: Column, price: Column) -> DataFrame:
