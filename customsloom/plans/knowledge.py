@@ -135,9 +135,9 @@ def validation_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT query_id, cn8, stage, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, cn8) AS place FROM o) WHERE place <= 12""")
 def candidate_pool_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _nomenclature(spark, sf_dir)
-    asked = _terms(spark, sf_dir).select("query_id", "term")
-    stage = lambda layer: asked.join(words.where(F.col("layer") == layer).select("cn8", "term").distinct(), "term").select("query_id", "cn8", F.col("term").alias("hint"), F.lit(0).alias("ord"))
-    return search.pool([(stage("heading"), 5), (stage("cn8"), 10)], 12).select("query_id", "cn8", "stage", F.col("place").cast("bigint").alias("place"))
+    asked = _terms(spark, sf_dir).select("query_id", F.col("term").alias("hint"))
+    stage = lambda layer, k: (asked.join(search.first_of_hints(words.where(F.col("layer") == layer).select("cn8", F.col("term").alias("hint")).distinct().withColumn("ord", F.lit(0)), k), "hint"), k)
+    return search.pool([stage("heading", 5), stage("cn8", 10)], 12).select("query_id", "cn8", "stage", F.col("place").cast("bigint").alias("place"))
 
 
 _FOLDED = f"""{DECLARATIONS}, fw AS (SELECT id, cn8, heading, weight, source, description, {_TOKENS.format(x='strip_accents(lower(description))', n=2)} AS w FROM declarations)"""
