@@ -23,6 +23,8 @@ CO_TERMS = [
 MISSING_CO = 0.15
 #: Shares of the base score that bonuses add at most.  Fixed values.
 KNOWLEDGE, BRAND, VALIDATION, HEADING_ONLY = 0.20, 0.10, 0.18, 0.2
+#: Sets of terms up to which they are sent to all tasks.
+FEW_SETS = 1 << 14
 
 
 def weighted_terms(phrases: DataFrame) -> DataFrame:
@@ -73,7 +75,10 @@ def best(terms: DataFrame, words: DataFrame, hints: DataFrame | None, keep: int)
     factors = words.groupBy("cn8", "term").agg(F.max(layer).alias("factor"))
     codes = factors.repartition(2 * words.sparkSession.sparkContext.defaultParallelism, "cn8")  # few bytes, much work
     queries, sets = term_sets(terms, hints)
-    asked = sets.select("set_id", F.inline("asked"))
+    sets = sets.persist()
+    # codes then stay where they are dealt, and no pair of a set and a code is shuffled
+    to_all = F.broadcast if sets.limit(FEW_SETS + 1).count() <= FEW_SETS else lambda rows: rows
+    asked = to_all(sets.select("set_id", F.inline("asked")))
     scored = codes.join(asked, "term").groupBy("set_id", "cn8").agg(round_up(F.sum(F.col("weight") * F.col("factor")), 6).alias("score"), F.count("*").alias("terms"))
     scored = with_co_match(scored, sets, words)
     if hints is None:
@@ -81,7 +86,7 @@ def best(terms: DataFrame, words: DataFrame, hints: DataFrame | None, keep: int)
     else:
         spaces = F.concat(F.array(F.lit("")), F.array_intersect(F.array(F.substring("cn8", 1, 2), F.substring("cn8", 1, 4)), F.col("hints")))
         # at large only what reaches the floor by itself; hinted codes may reach it by their hint
-        each = scored.join(sets.select("set_id", "hints"), "set_id").select("set_id", "cn8", "score", "terms", F.explode(spaces).alias("space")).where((F.col("space") != "") | (F.col("score") >= FLOOR))
+        each = scored.join(to_all(sets.select("set_id", "hints")), "set_id").select("set_id", "cn8", "score", "terms", F.explode(spaces).alias("space")).where((F.col("space") != "") | (F.col("score") >= FLOOR))
     top = each.withColumn("k", F.row_number().over(Window.partitionBy("set_id", "space").orderBy(F.desc("score"), "cn8"))).where(F.col("k") <= keep).drop("k")
     if hints is None:
         met = queries.join(top, "set_id").select("query_id", "cn8", "score", "terms", "focus").withColumn("prior", F.lit(False))

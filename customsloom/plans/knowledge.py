@@ -123,7 +123,7 @@ def validation_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     from customsloom.functions.numbers import round_up
 
     top = ranking.best(_terms(spark, sf_dir), _nomenclature(spark, sf_dir), None, 8)
-    top = top.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cn8")))
+    top = top.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cn8"))).persist()  # read three times
     exact = top.where(F.substring("cn8", 3, 6).cast("int") % 5 == 0).select("query_id", "cn8", F.substring("cn8", 1, 4).alias("heading"), F.lit(0.9).alias("confidence"))
     first = top.where("k = 1").select("query_id", F.lit("none").alias("cn8"), F.substring("cn8", 1, 4).alias("heading"), F.lit(0.9).alias("confidence"))
     return ranking.validation(top, exact.unionByName(first)).select("query_id", "cn8", round_up(F.col("score"), 4).alias("score"))
