@@ -1,10 +1,11 @@
 """Repair of texts whose fonts lost letters: control signs stand for letters, by a substitution that each source has for itself.
 
 Tokens with signs are aligned with a list of words of equal pattern: both with their signs, and the letters that may be broken, masked,
-so that one equi-join finds all words that a token may be.  An alignment says which letter each sign would be; it has a vote, shared
-among the token's words, and less the fewer of its letters are sure.  Votes are added up by source and set of claims before a source is settled, so that a source's size doesn't
-matter.  Settling propagates: the claim with most votes among those that contradict nothing fixed is fixed, alignments that
-contradict it fall, and the rest is counted again.  A claim needs ``LEAST`` votes and ``MARGIN`` times those of its sign's next one.  A sign
+so that one equi-join finds all words that a token may be.  An alignment says which letter each sign would be.  A token has a vote, less the
+fewer of its letters are sure, and shares it among its alignments.  Votes are added up by source and the alignments to choose from before a source is
+settled, so that repeated tokens don't matter.  Settling propagates: the claim with most votes among those that contradict nothing fixed is fixed,
+alignments that contradict it fall, their tokens' votes go to the rest, and all is counted again.  A claim needs ``LEAST`` votes, and against each other letter of
+its sign ``MARGIN`` times the votes: those of tokens that may have the one and not the other, as tokens that may have both tell nothing.  A sign
 may also stand for nothing (a soft hyphen, say): tokens that fit no word are aligned without it.  Known maps (``known``) are fixed from the start.
 
 Words not in the list are repaired as well, as the map holds for the whole source.  A letter is a capital at the start of a token if
@@ -46,9 +47,9 @@ def _masked(text: Column, letters: str) -> Column:
 
 
 def alignments(texts: DataFrame, words: DataFrame, letters: str = LOST) -> DataFrame:
-    """(source, claims, initials, votes): sets of claims (sign, letter; '' is nothing) of the tokens of texts (source, text), added up.
+    """(source, choices, votes): what tokens of texts (source, text) may be, each choice with its claims (sign, letter; '' is nothing), added up.
 
-    ``initials`` are the claims' signs at a token's start with whether the word begins with a capital there."""
+    A choice's ``initial`` is its sign at a token's start with whether the word begins with a capital there."""
     low = letters.lower()
     known = words.select(F.col("word").alias("own")).where(F.length("own") > 1).distinct()
     known = known.select("own", F.lower("own").alias("word")).where(F.length("own") == F.length("word")).withColumn("key", _masked(F.col("word"), low))
@@ -69,34 +70,48 @@ def alignments(texts: DataFrame, words: DataFrame, letters: str = LOST) -> DataF
     initial = F.when(F.substring("left", 1, 1).rlike(_SIGN), F.struct(F.substring("left", 1, 1).alias("sign"), (F.lower(F.substring("own", 1, 1)) != F.substring("own", 1, 1)).alias("capital")))
     met = met.groupBy("source", "token", "n", "claims", (F.col("gone") != "").alias("less")).agg(F.min(initial).alias("initial"), F.max("plain").alias("plain"))
     # a token is read without a sign only if no word fits it with one
-    choice = F.struct("claims", "initial", "plain")
-    each = met.groupBy("source", "token", "n").agg(F.collect_list(F.when(~F.col("less"), choice)).alias("full"), F.collect_list(F.when(F.col("less"), choice)).alias("short"))
-    each = each.withColumn("all", F.when(F.size("full") > 0, F.col("full")).otherwise(F.col("short")))
-    by = each.select("source", (F.col("n") / F.size("all")).alias("share"), F.explode("all").alias("c"))
-    return by.groupBy("source", "c.claims", "c.initial").agg(F.sum(F.col("share") * F.least("c.plain", F.lit(6)) / 6).alias("votes"))
+    choice = F.struct("claims", "initial")
+    each = met.groupBy("source", "token", "n").agg(F.collect_list(F.when(~F.col("less"), choice)).alias("full"), F.collect_list(F.when(F.col("less"), choice)).alias("short"), F.max("plain").alias("plain"))
+    choices = F.array_sort(F.when(F.size("full") > 0, F.col("full")).otherwise(F.col("short")))
+    return each.select("source", choices.alias("choices"), (F.col("n") * F.least("plain", F.lit(6)) / 6).alias("votes")).groupBy("source", "choices").agg(F.sum("votes").alias("votes"))
 
 
-def settle(sets: Iterable[tuple[list[tuple[str, str]], float]], known: dict[str, str]) -> dict[str, tuple[str, float]]:
+Claims = list[tuple[str, str]] | tuple[tuple[str, str], ...]
+
+
+def settle(sets: Iterable[tuple[Claims, float]], known: dict[str, str]) -> dict[str, tuple[str, float]]:
+    """The same as ``settle_choices`` for tokens that may be one thing only."""
+    return settle_choices((([claims], votes) for claims, votes in sets), known)
+
+
+def settle_choices(tokens: Iterable[tuple[list[Claims], float]], known: dict[str, str]) -> dict[str, tuple[str, float]]:
     """Letter and votes of each sign that is settled: known ones first, then the strongest claims one after another."""
     fixed = {s: (c, 0.0) for s, c in known.items()}
-    sets = [(claims, votes) for claims, votes in sets if votes > 0]
-    lettered = {s for claims, _ in sets for s, c in claims if c}
+    tokens = [(choices, votes) for choices, votes in tokens if votes > 0]
+    lettered = {s for choices, _ in tokens for claims in choices for s, c in claims if c}
     for nothing in (False, True):  # that a sign is nothing counts only if no word fits it as a letter
-        rest = [(claims, votes) for claims, votes in sets if nothing or all(c for _, c in claims)]
+        rest = [([claims for claims in choices if nothing or all(c for _, c in claims)], votes) for choices, votes in tokens]
         while True:
             taken = {c: s for s, (c, _) in fixed.items() if c}
-            rest = [(claims, votes) for claims, votes in rest if all((s not in fixed or fixed[s][0] == c) and taken.get(c, s) == s for s, c in claims)]
+            rest = [([claims for claims in choices if all((s not in fixed or fixed[s][0] == c) and taken.get(c, s) == s for s, c in claims)], votes) for choices, votes in rest]
+            rest = [(choices, votes) for choices, votes in rest if choices]
             count: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-            for claims, votes in rest:
-                for s, c in claims:
-                    if s not in fixed and (c or s not in lettered):
-                        count[s][c] += votes
+            may: dict[str, dict[frozenset[str], float]] = defaultdict(lambda: defaultdict(float))  # votes by the letters that a token leaves open for a sign
+            for choices, votes in rest:
+                open_: dict[str, set[str]] = defaultdict(set)
+                for claims in choices:
+                    for s, c in claims:
+                        if s not in fixed and (c or s not in lettered):
+                            count[s][c] += votes / len(choices)
+                            open_[s].add(c)
+                for s, letters in open_.items():
+                    may[s][frozenset(letters)] += votes
             best = None
             for s in sorted(count):
-                order = sorted(count[s].items(), key=lambda x: (-x[1], x[0]))
-                votes, other = order[0][1], order[1][1] if len(order) > 1 else 0.0
-                if votes >= LEAST and votes >= MARGIN * other and (best is None or votes > best[2]):
-                    best = (s, order[0][0], votes)
+                c, votes = min(count[s].items(), key=lambda x: (-x[1], x[0]))
+                only = lambda a, b: sum(v for letters, v in may[s].items() if a in letters and b not in letters)  # noqa: B023, E731
+                if votes >= LEAST and (best is None or votes > best[2]) and all((mine := only(c, d)) >= MARGIN * only(d, c) and mine > 0 for d in count[s] if d != c):
+                    best = (s, c, votes)
             if best is None:
                 break
             fixed[best[0]] = (best[1], best[2])
@@ -106,27 +121,29 @@ def settle(sets: Iterable[tuple[list[tuple[str, str]], float]], known: dict[str,
 def maps(texts: DataFrame, words: DataFrame, known: DataFrame | None = None, letters: str = LOST) -> DataFrame:
     """(source, sign, letter, votes, capital): what each source's signs stand for; ``known`` (source, sign, letter) is taken as it is."""
     kind = dict(texts.dtypes)["source"]
-    found = alignments(texts, words, letters).select("source", F.col("claims"), F.col("initial.sign").alias("at"), F.col("initial.capital").alias("capital"), "votes")
+    found = alignments(texts, words, letters)
     if known is not None:
         own = known.groupBy("source").agg(F.collect_set(F.struct("sign", "letter")).alias("claims"))
-        found = found.unionByName(own.select("source", "claims", F.lit(None).cast("string").alias("at"), F.lit(None).cast("boolean").alias("capital"), F.lit(-1.0).alias("votes")))
+        choice = F.struct("claims", F.lit(None).cast("struct<sign: string, capital: boolean>").alias("initial"))
+        found = found.unionByName(own.select("source", F.array(choice).alias("choices"), F.lit(-1.0).alias("votes")))
     # null sources make a group of their own
     return found.groupBy("source").applyInPandas(_settled, f"source {kind}, sign string, letter string, votes double, capital boolean")
 
 
 def _settled(rows: pd.DataFrame) -> pd.DataFrame:
-    sets: dict[tuple, float] = defaultdict(float)
+    tokens: dict[tuple, float] = defaultdict(float)
     known: dict[str, str] = {}
     capitals: dict[str, float] = defaultdict(float)
-    for claims, at, capital, votes in zip(rows["claims"], rows["at"], rows["capital"], rows["votes"], strict=True):
-        pairs = tuple((p["sign"], p["letter"]) for p in claims)
+    for choices, votes in zip(rows["choices"], rows["votes"], strict=True):
+        each = tuple(tuple((p["sign"], p["letter"]) for p in choice["claims"]) for choice in choices)
         if votes < 0:
-            known.update(sorted(pairs))
+            known.update(sorted(each[0]))
             continue
-        sets[pairs] += votes
-        if at is not None and at == at:
-            capitals[at] += votes if capital else -votes
-    done = settle(sorted(sets.items()), known)
+        tokens[each] += votes
+        for at in (choice["initial"] for choice in choices):
+            if at is not None:
+                capitals[at["sign"]] += (votes if at["capital"] else -votes) / len(choices)
+    done = settle_choices(sorted(tokens.items()), known)
     source = rows["source"].iloc[0]
     return pd.DataFrame([(source, s, c, v, capitals.get(s, 0.0) > 0) for s, (c, v) in sorted(done.items())], columns=["source", "sign", "letter", "votes", "capital"])
 

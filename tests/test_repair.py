@@ -58,3 +58,10 @@ def test_propagation(spark):
 def test_empty_tables(spark):
     df, found = maps(spark, [(1, "a", "kuća")])
     assert found.count() == 0 and repair.repaired(df.limit(0), found).count() == 0
+
+
+def test_tokens_that_may_be_either_letter_tell_nothing_and_the_others_settle():
+    both = [((("s", "a"),), (("s", "b"),))]  # by shares alone a has 60 votes and b 50, which is no margin
+    assert repair.settle_choices([(list(both[0]), 100.0), ([(("s", "a"),)], 10.0)], {}) == {"s": ("a", 60.0)}
+    assert repair.settle_choices([(list(both[0]), 100.0), ([(("s", "a"),)], 5.0), ([(("s", "b"),)], 4.0)], {}) == {}
+    assert repair.settle_choices([(list(both[0]), 100.0)], {"t": "b"}) == {"t": ("b", 0.0), "s": ("a", 100.0)}  # what falls leaves its votes to the rest
