@@ -38,7 +38,7 @@ def fold(text: Column) -> Column:
 
 def search_tokens(text: Column, least: int = 4) -> Column:
     """Runs of a-z and 0-9 of at least ``least`` characters; other letters separate."""
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1), lambda t: F.length(t) >= least)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"([a-z0-9]{{{max(1, least)},}})"), 1)
 
 
 def keywords(text: Column, stopwords: list[str], least: int = 3) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from customsloom.operators import mining, ranking, search
 from customsloom.plans.bindings import DECLARATIONS, code_of, declarations, table
 from customsloom.plans.registry import ORACLES, query
+from customsloom.sources.shared import stored
 
 
 def _r(x: str, n: int) -> str:
@@ -42,9 +43,13 @@ _FOUND = f"""{_HITS}, e AS (SELECT query_id, cn8, heading, sum(weight) AS w, cou
   found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match_count DESC, confidence DESC, cn8) AS rank FROM found0) WHERE rank <= 5)"""
 
 
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with what their declarations say; the hits are of known size, so that few don't shuffle all declarations."""
+    return stored(_hits(spark, sf_dir), "hits").join(declarations(spark, sf_dir).select("id", "cn8", "heading", "weight", "country"), "id")
+
+
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = declarations(spark, sf_dir).select("id", "cn8", "heading", "weight", "country")
-    return search.evidence(_hits(spark, sf_dir).join(own, "id"), "EN")
+    return search.evidence(_told(spark, sf_dir), "EN")
 
 
 @query(f"WITH {_FOUND} SELECT query_id, cn8, heading, hits, match_count, {_r('confidence', 3)} AS confidence, {_r('country_match', 3)} AS country_match FROM found")
@@ -57,7 +62,7 @@ def evidence_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_FOUND}, c AS (SELECT DISTINCT query_id, cn8 FROM found WHERE match_count >= 1), pool AS (SELECT DISTINCT query_id, cn8 FROM found WHERE rank = 1), nom AS (SELECT DISTINCT cn8 FROM declarations WHERE id % 2 = 0)
   SELECT query_id, cn8, false AS injected FROM pool UNION ALL SELECT query_id, cn8, true FROM c JOIN nom USING (cn8) WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.query_id = c.query_id AND p.cn8 = c.cn8)""")
 def knowledge_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _found(spark, sf_dir)
+    found = stored(_found(spark, sf_dir), "found")  # read three times
     return search.inject(found.where("rank = 1"), found, declarations(spark, sf_dir).where("id % 2 = 0").select("cn8"))
 
 
@@ -202,8 +207,7 @@ def maximal_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from customsloom.functions.numbers import round_up
 
-    own = declarations(spark, sf_dir).select("id", "cn8", "heading", "weight", "country")
-    found = search.evidence(_hits(spark, sf_dir).join(own, "id"), "EN", weighted=False)
+    found = search.evidence(_told(spark, sf_dir), "EN", weighted=False)
     return found.select("query_id", "cn8", "match_count", round_up(F.col("confidence"), 3).alias("confidence"))
 
 
