@@ -6,9 +6,16 @@ Rounding is half towards plus infinity on the scaled double,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with x worked out once a row, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def round_up(x: Column, digits: int = 2) -> Column:
     scale = float(10**digits)
     return F.floor(x * scale + 0.5) / scale
@@ -47,7 +54,10 @@ def parse_locale_number(text: Column) -> Column:
     With both separators the last is the decimal one.  A single comma is decimal before one to three digits, a single dot
     before one or two; otherwise they separate thousands.
     """
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\d,.\-]", "")
+    return once(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\d,.\-]", ""), _of_locale)
+
+
+def _of_locale(s: Column) -> Column:
     comma, dot = s.contains(","), s.contains(".")
     no_dots, no_commas = F.regexp_replace(s, r"\.", ""), F.regexp_replace(s, ",", "")
     european = F.length(s) - F.instr(F.reverse(s), ",") > F.length(s) - F.instr(F.reverse(s), ".")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from customsloom.functions.numbers import parse_locale_number, round_money
+from customsloom.functions.numbers import once, parse_locale_number, round_money
 from customsloom.functions.tariff import normalise
 
 #: Totals that differ by more than this factor aren't of one invoice.  Fixed value.
@@ -60,7 +60,7 @@ def destination(consignee: Column, exporter: Column, stated: Column, terms_place
 def amount_eur(text: Column) -> Column:
     """The first labelled amount in euros above 0."""
     found = [round_money(parse_locale_number(F.regexp_extract(text, p, 1))) for p in AMOUNT_EUR]
-    return F.coalesce(*(F.when(x > 0, x) for x in found))
+    return F.coalesce(*(once(x, lambda y: F.when(y > 0, y)) for x in found))
 
 
 def amounts(line: Column) -> Column:
@@ -75,18 +75,21 @@ def tabular_total(text: Column) -> Column:
     else under that of the sum to be paid.
     """
     pattern = r"(?i)(?:^|\n)([^\n]*\btotal\s+invoice\s+amount\b[^\n]*)\n\s*([^\n]+)"
-    head, values = F.regexp_extract(text, pattern, 1), amounts(F.regexp_extract(text, pattern, 2))
-    at = {k: F.regexp_instr(head, F.lit(p)) for k, p in TOTAL_COLUMNS.items()}
+    found = F.struct(F.regexp_extract(text, pattern, 1).alias("head"), amounts(F.regexp_extract(text, pattern, 2)).alias("values"))
+    return once(found, lambda x: F.when(x["head"] != "", once(F.struct(*(F.regexp_instr(x["head"], F.lit(p)).alias(k) for k, p in TOTAL_COLUMNS.items())), lambda at: _total(at, x["values"]))))
 
+
+def _total(at: Column, values: Column) -> Column:
     def under(name: str) -> Column:
         before = sum(((at[k] > 0) & (at[k] < at[name])).cast("int") for k in TOTAL_COLUMNS if k != name)
-        value = F.get(values, before)
-        return F.when((at[name] > 0) & (value > 0), value)
+        return once(F.get(values, before), lambda value: F.when((at[name] > 0) & (value > 0), value))
+
+    def chosen(total: Column) -> Column:
+        first, second, third = (F.get(values, F.lit(i)) for i in range(3))
+        plain = (F.size(values) >= 3) & (first > second) & (F.abs(first - second - third) < 0.02) & (total.isNull() | (F.abs(total - third) < 0.02))
+        return F.when(F.coalesce(plain, F.lit(False)), third).otherwise(F.coalesce(total, under("amount_to_be_paid")))
 
-    first, second, third = (F.get(values, F.lit(i)) for i in range(3))
-    total = under("total_invoice_amount")
-    plain = (F.size(values) >= 3) & (first > second) & (F.abs(first - second - third) < 0.02) & (total.isNull() | (F.abs(total - third) < 0.02))
-    return F.when((head != "") & (F.size(values) > 0), F.when(F.coalesce(plain, F.lit(False)), third).otherwise(F.coalesce(total, under("amount_to_be_paid"))))
+    return F.when(F.size(values) > 0, once(under("total_invoice_amount"), chosen))
 
 
 def before_discount(value: Column, gross: Column, discount: Column) -> Column:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from customsloom.functions.numbers import once
+
 
 @dataclass(frozen=True)
 class Step:
@@ -207,8 +209,13 @@ def applied(score: Column, steps: Sequence[Step], terms: Column, families: Colum
     text = says if text is None else text
     if not steps:
         return score
-    each = F.array(*(F.struct(F.coalesce(_holds(s, terms, families, heading, says, text), F.lit(False)).alias("holds"), F.lit(float(s.times)).alias("times"), F.lit(float(s.plus)).alias("plus")) for s in steps))
-    return F.aggregate(F.filter(each, lambda s: s["holds"]), score.cast("double"), lambda x, s: x * s["times"] + s["plus"])
+    told = F.struct(terms.alias("terms"), families.alias("families"), heading.alias("heading"), says.alias("says"), text.alias("text"))
+
+    def factors(x: Column) -> Column:
+        each = (F.when(_holds(s, x["terms"], x["families"], x["heading"], x["says"], x["text"]), F.struct(F.lit(float(s.times)).alias("times"), F.lit(float(s.plus)).alias("plus"))) for s in steps)
+        return F.array_compact(F.array(*each))
+
+    return F.aggregate(once(told, factors), score.cast("double"), lambda x, s: x * s["times"] + s["plus"])
 
 
 def vehicle(score: Column, types: Column, heading: Column, hints: Column, condition: Column, says: Column) -> Column:
