@@ -3,7 +3,8 @@
 Pointers are doubled: in each round a node's pointer goes twice as far up and its stretch of the path grows by its pointer's, so that
 rounds grow with the logarithm of the depth.  Distances go first, without titles; nodes that reach no root within as many rounds as
 bring no change lie on a cycle or under one, and are left out before paths are joined.  Nodes that have arrived stand aside, and a
-join has one row a node on the side that is looked up, so that an ancestor of many nodes is no hot group.
+join has one row a node on the side that is looked up, so that an ancestor of many nodes is no hot group.  Joins are by sorting: tables of
+all nodes would go through the driver in every round if they were broadcast.
 
 Defined cases.  A node without a parent is a root; one whose parent isn't in the table is an orphan and begins a path of its own.  Nodes of
 a cycle, or below one, have status ``cycle`` and no path.  Of repeated codes the least parent and title count; null codes are left out.
@@ -24,7 +25,7 @@ def _doubled(state: DataFrame, grown: dict[str, Column]) -> DataFrame:
     """One round: rows (node, up, ...) whose pointer isn't null take their pointer's row into account; ``grown`` says how."""
     going = state.where("up IS NOT NULL")
     above = state.select(*(F.col(c).alias(f"_{c}") for c in state.columns))
-    moved = going.join(above, F.col("up") == F.col("_node")).select("node", F.col("_up").alias("up"), *(c.alias(n) for n, c in grown.items()))
+    moved = going.join(above.hint("merge"), F.col("up") == F.col("_node")).select("node", F.col("_up").alias("up"), *(c.alias(n) for n, c in grown.items()))
     return state.where("up IS NULL").unionByName(moved)
 
 
@@ -32,14 +33,14 @@ def paths(nodes: DataFrame) -> DataFrame:
     """(code, status, depth, path) of nodes (code, parent, title): titles from the root down to the node's own; depth 1 is a root."""
     own = nodes.where("code IS NOT NULL").groupBy("code").agg(F.min(F.struct("parent", "title")).alias("n")).select("code", "n.parent", "n.title")
     known = own.select(F.col("code").alias("_known"))
-    rows = stored(own.join(known, F.col("parent") == F.col("_known"), "left"), "nodes")
+    rows = stored(own.join(known.hint("merge"), F.col("parent") == F.col("_known"), "left"), "nodes")
     base = rows.select(F.col("code").alias("node"), F.col("_known").alias("up"), "title", (F.col("parent").isNotNull() & F.col("_known").isNull()).alias("lost"))
     state, open_before = stored(base.select("node", "up", F.lit(1).cast("bigint").alias("depth")), "distance"), -1
     while (still := state.where("up IS NOT NULL").count()) and still != open_before:
         open_before = still
         state = stored(_doubled(state, {"depth": F.col("depth") + F.col("_depth")}), "distance")
     sound = state.where("up IS NULL").select("node", "depth")
-    part = base.join(sound, "node").select("node", "up", F.array("title").alias("path"), "lost")
+    part = base.join(sound.hint("merge"), "node").select("node", "up", F.array("title").alias("path"), "lost")
     part = stored(part, "path")
     while part.where("up IS NOT NULL").limit(1).count():
         part = stored(_doubled(part, {"path": F.concat("_path", "path"), "lost": F.col("_lost")}), "path")
