@@ -63,8 +63,9 @@ def declaration_summary(lines: DataFrame, *keys: str) -> DataFrame:
     """Lines, code-and-preference pairs (unique_hs_codes), distinct codes, value, weight and countries."""
     return lines.groupBy(*keys).agg(
         F.count("*").alias("total_goods_lines"),
-        F.count_distinct("hs_code", "preference").alias("unique_hs_codes"),
-        F.count_distinct("hs_code").alias("distinct_hs_codes"),
+        # sets and not count_distinct, for which Spark would send each line three times
+        F.size(F.collect_set(F.when(F.col("hs_code").isNotNull() & F.col("preference").isNotNull(), F.struct("hs_code", "preference")))).cast("bigint").alias("unique_hs_codes"),
+        F.size(F.collect_set("hs_code")).cast("bigint").alias("distinct_hs_codes"),
         round_money(F.sum("line_total")).alias("total_invoice_value"),
         round_weight(F.sum("net_weight")).alias("total_net_weight"),
         _sorted("country").alias("countries_of_origin"),
