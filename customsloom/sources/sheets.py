@@ -2,7 +2,7 @@
 
 A workbook is a ZIP of XML.  A sheet's XML is cut into ranges of bytes, as text files are: a partition reads the rows whose element
 begins in its range.  The member is inflated from its start, which is fast; only the partition's own rows are parsed.  Of the
-shared strings a partition keeps those that its rows refer to.  Only the columns of the schema are read (pruning), and conditions
+shared strings a partition keeps all if they are ``MOST_STRINGS`` bytes at most, else those that a batch of rows refers to, read again for each.  Only the columns of the schema are read (pruning), and conditions
 are applied before a batch leaves the reader, in the source's own process.  They are an option, ``where``, and not taken from the
 plan: Spark 4.1 keeps what a Python reader was told for later queries of the same DataFrame, which would then lack rows.
 
@@ -26,6 +26,7 @@ removed.  Control characters are written as _xHHHH_, as the format has it.
 
 from __future__ import annotations
 
+import functools
 import glob
 import json
 import os
@@ -53,6 +54,8 @@ from customsloom.sources.shared import local_path
 BATCH_ROWS, CHUNK = 8_192, 1 << 20
 #: Rows of a sheet, and distinct texts of a written file that are shared; further texts are written in place.
 MOST_ROWS, MOST_SHARED = 1_048_576, 50_000
+#: Bytes of XML of shared strings that a partition reads once and keeps.
+MOST_STRINGS = 16 << 20
 #: Built-in formats of days and times.  Fixed values.
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 _ROW = re.compile(rb"<(?:\w+:)?row[\s/>]")
@@ -71,6 +74,7 @@ def column_number(reference: str) -> int:
     return n - 1
 
 
+@functools.lru_cache(1024)
 def column_letters(number: int) -> str:
     out = ""
     number += 1
@@ -80,6 +84,7 @@ def column_letters(number: int) -> str:
     return out
 
 
+@functools.lru_cache(1024)
 def _local(tag: str) -> str:
     return re.sub(r"^(?:\{.*\}|\w+:)", "", tag)
 
@@ -212,12 +217,12 @@ def cells_of(pieces: Iterable[bytes]) -> Iterator[tuple[int | None, list[tuple[i
     yield from out
 
 
-def shared_strings(z: zipfile.ZipFile, member: str | None, wanted: set[int]) -> dict[int, str]:
-    """The wanted ones of the shared strings, by number; the others are passed over."""
+def shared_strings(z: zipfile.ZipFile, member: str | None, wanted: set[int] | None) -> dict[int, str]:
+    """The wanted ones of the shared strings, by number; the others are passed over.  All if wanted is None."""
     found: dict[int, str] = {}
-    if member is None or not wanted:
+    if member is None or wanted is not None and not wanted:
         return found
-    n, most = -1, max(wanted)
+    n, most = -1, None if wanted is None else max(wanted)
     with z.open(member) as f:
         inside, phonetic = [], 0
         for event, e in ElementTree.iterparse(f, events=("start", "end")):
@@ -229,10 +234,10 @@ def shared_strings(z: zipfile.ZipFile, member: str | None, wanted: set[int]) ->
             elif event == "end" and tag == "t" and not phonetic:
                 inside.append(e.text or "")
             elif event == "end" and tag == "si":
-                if n in wanted:
+                if wanted is None or n in wanted:
                     found[n] = _unescaped("".join(inside))
                 e.clear()
-                if n >= most:
+                if most is not None and n >= most:
                     break
     return found
 
@@ -372,6 +377,8 @@ class SheetReader(ds.DataSourceReader):
             member = book.pick(self.options.get("sheet"), self.options.get("kind"))
             columns = self._columns(z, member, book)
             rows: list[dict[int, tuple]] = []
+            few = book.strings is not None and z.getinfo(book.strings).file_size <= MOST_STRINGS
+            strings = shared_strings(z, book.strings, None) if few else None
             with z.open(member) as f:
                 number = 0
                 for at, cells in cells_of(row_pieces(f, partition.lo, partition.hi)):
@@ -386,14 +393,15 @@ class SheetReader(ds.DataSourceReader):
                     if any(c[3] is not None for c in cells):
                         rows.append(mine)
                     if len(rows) >= BATCH_ROWS:
-                        yield from self._batch(z, book, rows)
+                        yield from self._batch(z, book, rows, strings)
                         rows = []
-            yield from self._batch(z, book, rows)
+            yield from self._batch(z, book, rows, strings)
 
-    def _batch(self, z: zipfile.ZipFile, book: Book, rows: list[dict[int, tuple]]) -> Iterator[pa.RecordBatch]:
+    def _batch(self, z: zipfile.ZipFile, book: Book, rows: list[dict[int, tuple]], strings: dict[int, str] | None = None) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
-        strings = shared_strings(z, book.strings, {int(c[3]) for r in rows for c in r.values() if c[1] == "s" and c[3] is not None})
+        if strings is None:
+            strings = shared_strings(z, book.strings, {int(c[3]) for r in rows for c in r.values() if c[1] == "s" and c[3] is not None})
         arrays = []
         for i, field in enumerate(self.arrow):
             arrays.append(pa.array([value_of(r[i], strings, book, field.type) if i in r else None for r in rows], field.type))

@@ -129,3 +129,18 @@ def test_long_tables_take_several_files(spark, tmp_path, monkeypatch):
     m = writer.write(iter([pa.RecordBatch.from_pydict({"n": [1], "t": ["x"]})]))
     writer.abort([m, None])
     assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_shared_strings_are_read_once_a_partition_where_they_are_few(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)], "id int, note string").coalesce(1)
+    sheets.write_sheets(rows, str(tmp_path / "s"))
+    monkeypatch.setattr(sheets, "BATCH_ROWS", 5)
+    reads, own = [], sheets.shared_strings
+    monkeypatch.setattr(sheets, "shared_strings", lambda z, member, wanted: reads.append(wanted) or own(z, member, wanted))
+    for most, times in ((1 << 20, 1), (0, 8)):
+        monkeypatch.setattr(sheets, "MOST_STRINGS", most)
+        reader = sheets.SheetReader({"path": str(tmp_path / "s")}, sheets.StructType.fromDDL("id int, note string"))
+        (part,) = reader.partitions()
+        reads.clear()
+        got = [r for b in reader.read(part) for r in b.to_pylist()]
+        assert got == [{"id": i, "note": f"text {i % 7}"} for i in range(40)] and len(reads) == 1 + times  # and one of the names
