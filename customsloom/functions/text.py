@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 #: Patterns of lines that are no goods.  Fixed values.
@@ -28,7 +30,19 @@ _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttu
 
 
 def any_of(patterns: list[str]) -> str:
-    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+    """One pattern that is found where one of them is; those that begin at a word's boundary (and have no alternatives outside of groups) look for it once."""
+    words = [p for p in patterns if p.startswith(r"\b") and "|" not in _outside_groups(p)]
+    whole = [f"(?:{p})" for p in patterns if p not in words]
+    return "(?i)" + "|".join([*whole, *([r"\b(?:" + "|".join(f"(?:{p[2:]})" for p in words) + ")"] if words else [])])
+
+
+def _outside_groups(pattern: str) -> str:
+    """What stands outside of round brackets; escaped signs and sets of signs are left out."""
+    out, depth = "", 0
+    for sign in re.sub(r"\\.|\[\^?\]?[^\]]*\]", "", pattern):
+        depth += (sign == "(") - (sign == ")")
+        out += sign if depth == 0 else ""
+    return out
 
 
 def fold(text: Column) -> Column:

@@ -74,7 +74,8 @@ def declaration_summary(lines: DataFrame, *keys: str) -> DataFrame:
 
 def allocate(rows: DataFrame, total: Column, value: str, order: str, *keys: str, name: str = "allocated") -> DataFrame:
     """Splits ``total`` by the share of ``value``, rounded to 3 digits; the last row by ``order`` takes what is left."""
-    group, run = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(order)
+    run = Window.partitionBy(*keys).orderBy(order)
+    group = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the same order, so that rows are sorted once
     out = rows.withColumns({"_all": F.sum(value).over(group), "_n": F.count("*").over(group), "_at": F.row_number().over(run)})
     out = out.withColumn("_share", round_weight(total * F.col(value) / F.when(F.col("_all") > 0, F.col("_all"))))
     before = F.coalesce(F.sum("_share").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -177,10 +178,10 @@ def tariff_report(groups: DataFrame, documents: DataFrame, key: str = "invoice_i
     value is null; documents must have one row a key, and an invoice without one has no shipment's weight.
     """
     goods_ = groups.where("kind = 'GOODS'").drop("kind").join(documents.select(key, F.col("shipment_weight").cast("double").alias("_ship")), key, "left")
-    all_ = Window.partitionBy(key)
+    all_ = Window.partitionBy(key).orderBy("hs_code").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the order of allocate
     of = lambda status: F.sum(F.when(F.col("preference") == status, F.col("n")).otherwise(0)).over(all_)
-    rows = goods_.withColumns({"_lines": F.sum("n").over(all_), "_yes": of("YES"), "_no": of("NO"), "_none": of("NOT_DECLARED"), "_value": F.sum("value").over(all_), "_weighed": F.max(F.col("weight").isNotNull()).over(all_)})
-    rows = rows.withColumns({"total_value": round_money(F.col("value")), "total_quantity": round_money(F.col("quantity")), "_sum": round_weight(F.col("weight"))})
+    rows = goods_.withColumns({"_lines": F.sum("n").over(all_), "_yes": of("YES"), "_no": of("NO"), "_none": of("NOT_DECLARED"), "_value": F.sum("value").over(all_), "_quantity": F.sum("quantity").over(all_), "_weight": F.sum("weight").over(all_), "_place": F.row_number().over(Window.partitionBy(key).orderBy("hs_code"))})
+    rows = rows.withColumns({"_weighed": F.col("_weight").isNotNull(), "total_value": round_money(F.col("value")), "total_quantity": round_money(F.col("quantity")), "_sum": round_weight(F.col("weight"))})
     dealt = F.col("_ship").isNotNull() & ~F.col("_weighed")
     alone = dealt & ((F.col("_yes") == F.col("_lines")) | (F.col("_no") == F.col("_lines")))  # then a code is one group
     rows = allocate(rows, F.col("_ship"), "total_value", "hs_code", key, name="_part")
@@ -189,13 +190,17 @@ def tariff_report(groups: DataFrame, documents: DataFrame, key: str = "invoice_i
     section = F.when(undeclared, F.lit(None)).otherwise(F.coalesce(of_map(F.col("preference"), _SECTIONS), F.lit("unknown")))
     weights = {"codes": F.when(alone, share).otherwise(F.when(F.col("weight") > 0, F.col("_sum"))), "own": F.when(alone, F.col("_part")).otherwise(F.col("_sum"))}
     mixed = dealt & (F.col("_yes") > 0) & (F.col("_no") > 0)
-    parts = F.array(F.struct(F.lit("codes").alias("section"), weights["codes"].alias("total_net_weight"), F.lit(False).alias("weight_unavailable")), F.struct(section.alias("section"), weights["own"].alias("total_net_weight"), mixed.alias("weight_unavailable")))
-    shown = [key, "section", "hs_code", "preference", "total_quantity", "total_value", "total_net_weight", "weight_unavailable", F.col("n").alias("item_count"), F.array_join("countries", ", ").alias("countries_of_origin")]
-    each = rows.withColumn("_parts", F.filter(parts, lambda x: x["section"].isNotNull())).select("*", F.inline("_parts")).select(*shown)
-    whole = rows.where(undeclared).groupBy(key).agg(
-        round_money(F.sum("quantity")).alias("total_quantity"), round_money(F.sum("value")).alias("total_value"), round_weight(F.coalesce(F.sum("weight"), F.first("_ship"))).alias("total_net_weight"), F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("countries")))).alias("countries"),
+    whole = undeclared & (F.col("_place") == 1)  # the one row of such an invoice is told by its first group
+    seen = F.collect_set(F.when(undeclared, F.col("countries"))).over(all_)  # distinct lists, of few countries; not kept in a window that others are worked out from
+    rows = rows.withColumn("_seen", F.when(whole, F.array_join(F.array_sort(F.array_distinct(F.flatten(seen))), ", ")))
+    one = lambda kind, section, weight, unavailable: F.struct(F.lit(kind).alias("_kind"), section.alias("section"), weight.alias("total_net_weight"), unavailable.alias("weight_unavailable"))
+    parts = F.array(one(0, F.lit("codes"), weights["codes"], F.lit(False)), one(1, section, weights["own"], mixed), one(2, F.when(whole, "non_preferential"), round_weight(F.coalesce("_weight", "_ship")), F.lit(False)))
+    each = rows.withColumn("_countries", F.array_join("countries", ", ")).select("*", F.inline(parts)).where("section IS NOT NULL")
+    or_whole = lambda own, value: F.when(F.col("_kind") == 2, value).otherwise(F.col(own)).alias(own)
+    return each.select(
+        key, "section", or_whole("hs_code", F.lit(EXPORT_CODE)), or_whole("preference", F.lit("NOT_DECLARED")), or_whole("total_quantity", round_money(F.col("_quantity"))), or_whole("total_value", round_money(F.col("_value"))),
+        "total_net_weight", "weight_unavailable", or_whole("n", F.col("_lines")).alias("item_count"), or_whole("_countries", F.col("_seen")).alias("countries_of_origin"),
     )
-    return each.unionByName(whole.withColumns({"section": F.lit("non_preferential"), "hs_code": F.lit(EXPORT_CODE), "preference": F.lit("NOT_DECLARED"), "weight_unavailable": F.lit(False)}).select(*shown))
 
 
 def invoice_summary(groups: DataFrame, documents: DataFrame, key: str = "invoice_id") -> DataFrame:

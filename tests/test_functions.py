@@ -162,3 +162,17 @@ def test_ranking_keeps_the_best_of_all_pairs(spark):
     for r in ranking.best(terms, known, asked, 4).collect():
         got.setdefault(r["query_id"], []).append((-round(r["score"], 6), r["cn8"]))
     assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x)[:4] for q, x in want.items()}
+
+
+def test_any_of_finds_what_its_patterns_find():
+    import re
+
+    from customsloom.functions import text
+
+    own = [*text.SERVICE, *text.PACKAGING, *text.METADATA, *text.VEHICLE]
+    assert text.any_of(own).count(r"|\b(?:") == 1
+    says = "transport|a transport|freight|airfreight|free freight|courier|2 pallets|pal|opal|palate|boxes|box|1 box|wooden  case|stroški izvoza|vin 1|kw|12345678901234567|x 12345678901234567|total|subtotal|cm3|lkw|kompletno vozilo|3 actros|Actros|steel bolts|".split("|")
+    odd = [r"\bred|blue", r"\b[|(]x", r"\b\(a|b\)", r"\bone(?:s|d)?\b", "two"]
+    for patterns, texts in ((own, says), (odd, ["red", "xblue", "blue", "a|x", "(a", "b)", "bones", "ones", "twofold", ""]), ([], ["a"]), ([r"\ba"], ["ba", "a"])):
+        plain = "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+        assert [bool(re.search(text.any_of(patterns), t)) for t in texts] == [bool(re.search(plain, t)) for t in texts]

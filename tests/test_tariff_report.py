@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 from customsloom.operators import rollup
 
 LINES = "invoice_id int, description string, hs_code string, preference string, quantity double, line_total double, net_weight double, country string"
@@ -40,3 +42,19 @@ def test_other_lines_nulls_and_empty_tables(spark):
     assert rows[2, "codes", "1", "YES"]["total_net_weight"] is None and rows[2, "preferential", "1", "YES"]["total_net_weight"] == 7.0 and sums[2]["total_invoice_value"] == 0.0
     assert rows[None, "non_preferential", "1", "NO"]["item_count"] == 1
     assert report(spark, [], []) == ({}, {})
+
+
+def test_lines_are_read_and_grouped_once(spark):
+    groups = rollup.tariff_groups(spark.createDataFrame([(1, "steel bolts", "1", "NOT_DECLARED", 1.0, 1.0, None, "SI")], LINES))
+    plan = rollup.tariff_report(groups, spark.createDataFrame([(1, 1.0, 1.0, 1.0)], DOCUMENTS))._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("ObjectHashAggregate") == 2 and plan.count("Sort [") == 3  # of the join's two sides, and once for all windows
+
+
+def test_undeclared_invoices_of_many_groups(spark):
+    lines = [(k, "steel bolts", str(c), "NOT_DECLARED", 1.0, 0.125, w, o) for k, w in ((1, None), (2, 0.5), (None, 0.25)) for c in range(40) for o in ("SI", "AT", None)[: 1 + c % 3]]
+    rows, _ = report(spark, lines, [(1, 7.0, None, None), (2, 7.0, None, None)])
+    n = sum(1 + c % 3 for c in range(40))
+    for k, weight in ((1, 7.0), (2, n * 0.5), (None, n * 0.25)):
+        one = rows[k, "non_preferential", rollup.EXPORT_CODE, "NOT_DECLARED"]
+        assert (one["total_quantity"], one["total_value"], one["total_net_weight"], one["item_count"], one["countries_of_origin"]) == (float(n), math.floor(n * 12.5 + 0.5) / 100, weight, n, "AT, SI")
+    assert len(rows) == 3 * 41
