@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from customsloom.functions.numbers import round_up
-from customsloom.functions.text import fold, ngrams, search_tokens
+from customsloom.functions.text import fold, search_tokens
 
 
 def brand_map(rows: DataFrame, brands: DataFrame, text_col: str = "description") -> DataFrame:
@@ -14,33 +21,185 @@ def brand_map(rows: DataFrame, brands: DataFrame, text_col: str = "description")
     return words.join(brands.select("brand").distinct(), "brand").groupBy("brand", "cn8").agg(round_up(F.sum("weight"), 2).alias("frequency"))
 
 
-#: Words of 64 bits of the table of common beginnings, as a power of two.
+#: Beginnings of phrases that a task counts at a time, as a power of two.
 SLOTS = 20
+#: Bytes of words that a task takes at a time, if codes are that short; and of a code from which on its phrases are dealt out to several tasks.
+CHUNK, MOST_TEXT = 1 << 23, 1 << 25
+Batches = Iterator[pa.RecordBatch]
 
 
 def _phrases(rows: DataFrame, sizes: tuple[int, int], gain: Column, least: float) -> DataFrame:
-    """Rows (cn8, words, ...) with each of their phrases once, but for most of those that can't gain ``least`` in all texts of their code.
+    """(phrase, cn8, texts, and the other columns' sums) of the phrases that gain at least ``least`` in the texts of their code.
 
-    A phrase gains at most what its first words do.  These are added up by hash, and each that gains enough sets a bit in a table of fixed size,
-    which all tasks get; equal hashes and bits only let more through.  So rare phrases aren't shuffled as texts.
+    Rows are (cn8, words, figures, and perhaps ``text``, which tells texts apart, and ``bytes``, their length); each text counts once a phrase.  The texts are
+    shuffled and their phrases aren't: those of a code meet in a task, or if they are long in several, each with the phrases of other first words.
     """
-    each = rows.withColumn("phrase", F.explode(ngrams(F.col("words"), *sizes)))
-    if least <= 0:
-        return each.drop("words")
-    slot = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit((1 << SLOTS) - 1))
-    heads = F.transform(ngrams(F.col("words"), sizes[0], sizes[0], 0), lambda p: F.xxhash64("cn8", p))
-    gains = rows.select(F.greatest(gain, F.lit(0.0)).alias("gain"), F.explode(heads).alias("h")).groupBy("h").agg(F.sum("gain").alias("gain"))
-    bits = gains.where(F.col("gain") >= least).groupBy(slot(F.col("h")).alias("_slot")).agg(F.expr("bit_or(shiftleft(1L, CAST(h & 63 AS INT)))").alias("_bits"))
-    each = each.withColumn("_h", F.xxhash64("cn8", F.substring_index("phrase", " ", sizes[0]))).withColumn("_at", slot(F.col("_h")))
-    near = each.join(F.broadcast(bits), F.col("_at") == F.col("_slot")).where("getbit(_bits, CAST(_h & 63 AS INT)) = 1")  # at most 2^SLOTS rows
-    return near.drop("words", "_h", "_at", "_slot", "_bits")
+    figures = [c for c in rows.columns if c not in ("cn8", "words", "text", "bytes")]
+    text, size = F.col("text") if "text" in rows.columns else F.xxhash64("words"), F.col("bytes") if "bytes" in rows.columns else F.octet_length(F.array_join("words", " "))
+    long = rows.groupBy("cn8").agg(F.sum(size).alias("_bytes")).where(F.col("_bytes") > MOST_TEXT).select(F.col("cn8").alias("_code"), F.ceil(F.col("_bytes") * sizes[1] / MOST_TEXT).cast("int").alias("_parts"))
+    rows = rows.select("cn8", F.lit(None).cast("int").alias("part"), text.alias("text"), F.array_join("words", " ").alias("words"), F.greatest(gain, F.lit(0.0)).alias("_gain"), *figures)
+    if not long.isEmpty():
+        own = F.col("cn8").eqNullSafe(F.col("_code"))
+        dealt = rows.join(F.broadcast(long), own).drop("part", "_code").mapInArrow(_dealer(sizes), rows.select(*(c for c in rows.columns if c != "part"), "part").schema)  # at most a row of ``long`` for MOST_TEXT of input
+        rows = rows.join(F.broadcast(long), own, "left_anti").unionByName(dealt)
+    kinds = dict(rows.dtypes)
+    sums = {c: "double" if kinds[c] in ("float", "double") else "bigint" for c in figures}
+    schema = ", ".join(["phrase string", f"cn8 {kinds['cn8']}", "texts bigint", *(f"`{c}` {k}" for c, k in sums.items())])
+    return rows.repartition("cn8", "part").sortWithinPartitions("cn8", "part", "text").mapInArrow(_counter(sizes, sums, least, 1 << SLOTS), schema)
+
+
+def _dealer(sizes: tuple[int, int]) -> Callable[[Batches], Batches]:
+    """A text as rows of the distinct phrases of most words that begin in it, a line each, by number of their first words."""
+
+    def deal(batches: Batches) -> Batches:
+        for batch in batches:
+            words, parts = batch.column("words"), batch.column("_parts").to_pylist()
+            row, part, lines, size = [], [], [], 0
+
+            def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                out = batch.take(pa.array(row)).drop_columns(["_parts"])  # noqa: B023
+                return out.set_column(out.schema.get_field_index("words"), "words", pa.array(lines, pa.string())).append_column("part", pa.array(part, pa.int32()))  # noqa: B023
+
+            for i, n in enumerate(parts):
+                each = words[i].as_py().split(" ")
+                by = defaultdict(list)
+                for phrase in dict.fromkeys(tuple(each[j : j + sizes[1]]) for j in range(len(each) - sizes[0] + 1)):
+                    by[zlib.crc32(" ".join(phrase[: sizes[0]]).encode()) % n].append(" ".join(phrase))
+                for p, found in by.items():
+                    row.append(i)
+                    part.append(p)
+                    lines.append("\n".join(found))
+                    size += len(lines[-1])
+                if size > CHUNK:
+                    yield made()
+                    row, part, lines, size = [], [], [], 0
+            if row:
+                yield made()
+
+    return deal
+
+
+def _counter(sizes: tuple[int, int], sums: dict[str, str], least: float, at_once: int) -> Callable[[Batches], Batches]:
+    """Phrases with their sums of rows that are sorted by code, part and text; several short codes are counted together, a long one by itself."""
+
+    def counted(held: list[pa.RecordBatch]) -> Batches:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        if rows.num_rows:
+            yield from _of_codes(rows, sizes, sums, least, at_once)
+
+    def count(batches: Batches) -> Batches:
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begins, own = _changes(batch, "cn8", "part"), (batch.column("cn8")[0].as_py(), batch.column("part")[0].as_py())
+            begins[0] = own != last
+            last = (batch.column("cn8")[-1].as_py(), batch.column("part")[-1].as_py())
+            at, ends = 0, np.cumsum(pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64))
+            for i in np.flatnonzero(begins).tolist():
+                here = int(ends[i - 1]) if i else 0
+                if size + here - (int(ends[at - 1]) if at else 0) >= CHUNK:
+                    yield from counted([*held, batch.slice(at, i - at)])
+                    held, size, at = [], 0, i
+            held.append(batch.slice(at))
+            size += int(ends[-1]) - (int(ends[at - 1]) if at else 0)
+        if held:
+            yield from counted(held)
+
+    return count
+
+
+def _changes(rows: pa.RecordBatch | pa.Table, *columns: str) -> np.ndarray:
+    """Where a row differs from the one before; true for the first."""
+    out = np.zeros(rows.num_rows, bool)
+    out[0] = True
+    for c in columns:
+        column = rows.column(c)
+        coded = pc.dictionary_encode(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, null_encoding="encode")
+        number = (coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded).indices.to_numpy()
+        out[1:] |= number[1:] != number[:-1]
+    return out
+
+
+def _of_codes(rows: pa.Table, sizes: tuple[int, int], sums: dict[str, str], least: float, at_once: int) -> Batches:
+    """The phrases of whole codes, or of their parts; only those whose beginnings gain enough grow by a word.  About ``at_once`` of them are counted at a time, dealt by their first words."""
+    code = np.cumsum(_changes(rows, "cn8", "part")) - 1
+    first = np.flatnonzero(_changes(rows, "cn8", "part", "text"))  # equal texts of a code are one, with all their figures
+    added = {c: np.add.reduceat(rows.column(c).to_numpy(), first) for c in ["_gain", *sums]}
+    codes, texts, code, dealt = rows.column("cn8").take(first), rows.column("words").take(first).combine_chunks(), code[first], rows.column("part").is_valid().to_numpy()[first]
+    # words by number, and what holds them
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    signs = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    letter = signs > 32
+    begins, stops = np.zeros(len(signs) + 1, bool), np.zeros(len(signs) + 1, bool)
+    begins[:-1], stops[1:] = letter, letter
+    begins[1:-1] &= ~letter[:-1]
+    stops[1:-1] &= ~letter[1:]
+    edge = np.unique(ends)
+    begins[edge[edge < len(signs)]] = letter[edge[edge < len(signs)]]
+    stops[edge[edge > 0]] = letter[edge[edge > 0] - 1]
+    begin, stop = np.flatnonzero(begins), np.flatnonzero(stops)
+    if not len(begin):
+        return
+    text = (np.searchsorted(ends, begin, "right") - 1).astype(np.int32)
+    at = np.zeros(len(begin) + 1, np.int32)
+    np.cumsum(stop - begin, out=at[1:])
+    words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(at), pa.py_buffer(signs[letter])).dictionary_encode()
+    names, word, chars = words.dictionary, words.indices.to_numpy(), pc.binary_length(words.dictionary).to_numpy()
+    fresh = np.ones(len(begin), bool)
+    fresh[1:] = text[1:] != text[:-1]
+    line = dealt[text] & (signs[begin - 1] == 10) | fresh
+    run = np.cumsum(line, dtype=np.int32)
+    starts = np.flatnonzero(line | ~dealt[text]).astype(np.int32)
+    blocks = -(-len(starts) // at_once)
+    if blocks > 1:
+        mixed = code[text[starts]].astype(np.uint64)
+        for j in range(sizes[0]):
+            mixed = (mixed ^ word[np.minimum(starts + j, len(word) - 1)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        block = (mixed % np.uint64(blocks)).astype(np.int32)
+    for b in range(blocks):
+        place, most = starts[block == b] if blocks > 1 else starts, int(code[-1]) + 1
+        phrase = code[text[place]].astype(np.int64)
+        for n in range(1, sizes[1] + 1):
+            inside = np.minimum(place + n - 1, len(word) - 1)
+            inside = (run[inside] == run[place]) & (place + n - 1 < len(word))
+            place, phrase = place[inside], phrase[inside]
+            if not len(place):
+                break
+            key, most = phrase * len(names) + word[place + n - 1], most * len(names)
+            if n < sizes[0] and most * len(names) < 1 << 62:
+                phrase = key
+                continue
+            order = np.argsort(key, kind="stable")
+            key, place = key[order], place[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            phrase, held = np.cumsum(new) - 1, text[place]
+            most = int(phrase[-1]) + 1
+            once = new.copy()
+            once[1:] |= held[1:] != held[:-1]
+            number, held, example = phrase[once], held[once], place[new]
+            good = ~(np.bincount(number, added["_gain"][held], most) < least)
+            if n >= sizes[0]:
+                shown = np.flatnonzero(good & (sum(chars[word[example + j]] for j in range(n)) + n - 1 >= 6))
+                example = example[shown]
+                of = lambda w: np.bincount(number, w, most)[shown]  # noqa: B023, E731
+                columns = [pc.binary_join_element_wise(*(names.take(pa.array(word[example + j])) for j in range(n)), " "), codes.take(pa.array(text[example])).combine_chunks(), pa.array(of(None))]
+                columns += [pa.array(of(added[c][held]).astype(np.float64 if k == "double" else np.int64)) for c, k in sums.items()]
+                if len(shown):
+                    yield pa.RecordBatch.from_arrays(columns, ["phrase", "cn8", "texts", *sums])
+            more = good[phrase]
+            place, phrase = place[more], phrase[more]
 
 
 def phrase_lexicon(rows: DataFrame, text_col: str = "description", least: float = 5.0, sizes: tuple[int, int] = (2, 4)) -> DataFrame:
     """Phrases of neighbouring tokens with the weight of the texts that hold them, by code, from ``least`` on."""
-    words = rows.select("cn8", "weight", search_tokens(fold(F.col(text_col)), 2).alias("words"))
+    words = rows.where("weight IS NOT NULL").select("cn8", "weight", F.octet_length(text_col).alias("bytes"), search_tokens(fold(F.col(text_col)), 2).alias("words"))
     phrases = _phrases(words, sizes, F.col("weight"), least - 0.01)  # sums are rounded
-    return phrases.groupBy("phrase", "cn8").agg(round_up(F.sum("weight"), 2).alias("weight")).where(F.col("weight") >= least)
+    return phrases.select("phrase", "cn8", round_up(F.col("weight"), 2).alias("weight")).where(F.col("weight") >= least)
 
 
 def heading_profiles(rows: DataFrame, text_col: str = "description", codes: int = 8, phrases: int = 12) -> DataFrame:
@@ -61,10 +220,12 @@ def heading_profiles(rows: DataFrame, text_col: str = "description", codes: int
 
 def phrase_stats(rows: DataFrame, text_col: str = "description", sizes: tuple[int, int] = (2, 3), least: int = 1) -> DataFrame:
     """Per (phrase, cn8) in at least ``least`` texts: texts that hold it, distinct ones, and those of the seed beside the others."""
-    words = rows.select("cn8", "source", F.xxhash64(text_col).alias("text"), search_tokens(fold(F.col(text_col)), 2).alias("words"))
-    each = _phrases(words, sizes, F.lit(1.0), least if least > 1 else 0)
-    stats = each.groupBy("phrase", "cn8").agg(F.count("*").alias("frequency"), F.count_distinct("text").alias("unique_descriptions"), F.count_if(F.col("source") == "seed").alias("seed_hits"), F.count_if(F.col("source") != "seed").alias("other_hits"))
-    return stats.where(F.col("frequency") >= least) if least > 1 else stats
+    hits = lambda mine: F.when(mine, 1).otherwise(0)
+    words = rows.select(
+        "cn8", F.xxhash64(text_col).alias("text"), F.octet_length(text_col).alias("bytes"), search_tokens(fold(F.col(text_col)), 2).alias("words"),
+        F.lit(1).alias("frequency"), hits(F.col("source") == "seed").alias("seed_hits"), hits(F.col("source") != "seed").alias("other_hits"),
+    )
+    return _phrases(words, sizes, F.lit(1.0), least).select("phrase", "cn8", "frequency", F.col("texts").alias("unique_descriptions"), "seed_hits", "other_hits")
 
 
 def without_covered(phrases: DataFrame, taxonomy: DataFrame) -> DataFrame:
