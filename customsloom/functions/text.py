@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 #: Patterns of lines that are no goods.  Fixed values.
@@ -55,6 +57,33 @@ def search_tokens(text: Column, least: int = 4) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"([a-z0-9]{{{max(1, least)},}})"), 1)
 
 
+def words_of(texts: pa.StringArray, letters: np.ndarray, least: int = 1) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, and of each word in order its number, its text's, the byte before it) of whole texts within a task: runs of at least ``least`` bytes of ``letters`` (true or false by byte); 10 is before a text's first."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    signs = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends, letter = ends - ends[0], letters[signs]
+    begins, stops = np.zeros(len(signs) + 1, bool), np.zeros(len(signs) + 1, bool)
+    begins[:-1], stops[1:] = letter, letter
+    begins[1:-1] &= ~letter[:-1]
+    stops[1:-1] &= ~letter[1:]
+    edge = np.unique(ends)  # a word ends with its text
+    begins[edge[edge < len(signs)]] = letter[edge[edge < len(signs)]]
+    stops[edge[edge > 0]] = letter[edge[edge > 0] - 1]
+    begin, stop = np.flatnonzero(begins), np.flatnonzero(stops)
+    if least > 1:
+        long = stop - begin >= least
+        begin, stop = begin[long], stop[long]
+        change = np.zeros(len(signs) + 1, np.int8)
+        change[begin] += 1
+        change[stop] -= 1
+        letter = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
+    at = np.zeros(len(begin) + 1, np.int32)
+    np.cumsum(stop - begin, out=at[1:])
+    words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(at), pa.py_buffer(signs[letter])).dictionary_encode()
+    text = (np.searchsorted(ends, begin, "right") - 1).astype(np.int32)
+    return words.dictionary, words.indices.to_numpy(), text, np.where(begin == ends[text], 10, signs[begin - 1] if len(begin) else 0)
+
+
 def keywords(text: Column, stopwords: list[str], least: int = 3) -> Column:
     """Sorted distinct tokens without stopwords."""
     return F.array_sort(F.array_distinct(F.array_except(search_tokens(text, least), F.array(*(F.lit(w) for w in stopwords)).cast("array<string>"))))

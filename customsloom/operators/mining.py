@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from customsloom.functions.numbers import round_up
-from customsloom.functions.text import fold, search_tokens
+from customsloom.functions.text import fold, search_tokens, words_of
 
 
 def brand_map(rows: DataFrame, brands: DataFrame, text_col: str = "description") -> DataFrame:
@@ -128,29 +128,12 @@ def _of_codes(rows: pa.Table, sizes: tuple[int, int], sums: dict[str, str], leas
     first = np.flatnonzero(_changes(rows, "cn8", "part", "text"))  # equal texts of a code are one, with all their figures
     added = {c: np.add.reduceat(rows.column(c).to_numpy(), first) for c in ["_gain", *sums]}
     codes, texts, code, dealt = rows.column("cn8").take(first), rows.column("words").take(first).combine_chunks(), code[first], rows.column("part").is_valid().to_numpy()[first]
-    # words by number, and what holds them
-    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    signs = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    letter = signs > 32
-    begins, stops = np.zeros(len(signs) + 1, bool), np.zeros(len(signs) + 1, bool)
-    begins[:-1], stops[1:] = letter, letter
-    begins[1:-1] &= ~letter[:-1]
-    stops[1:-1] &= ~letter[1:]
-    edge = np.unique(ends)
-    begins[edge[edge < len(signs)]] = letter[edge[edge < len(signs)]]
-    stops[edge[edge > 0]] = letter[edge[edge > 0] - 1]
-    begin, stop = np.flatnonzero(begins), np.flatnonzero(stops)
-    if not len(begin):
+    names, word, text, before = words_of(texts, np.arange(256) > 32)
+    if not len(word):
         return
-    text = (np.searchsorted(ends, begin, "right") - 1).astype(np.int32)
-    at = np.zeros(len(begin) + 1, np.int32)
-    np.cumsum(stop - begin, out=at[1:])
-    words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(at), pa.py_buffer(signs[letter])).dictionary_encode()
-    names, word, chars = words.dictionary, words.indices.to_numpy(), pc.binary_length(words.dictionary).to_numpy()
-    fresh = np.ones(len(begin), bool)
+    chars, fresh = pc.binary_length(names).to_numpy(), np.ones(len(word), bool)
     fresh[1:] = text[1:] != text[:-1]
-    line = dealt[text] & (signs[begin - 1] == 10) | fresh
+    line = dealt[text] & (before == 10) | fresh
     run = np.cumsum(line, dtype=np.int32)
     starts = np.flatnonzero(line | ~dealt[text]).astype(np.int32)
     blocks = -(-len(starts) // at_once)
